@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("particle_queries",)
+_MODULES = ("particle_queries", "grid_queries")
 
 
 def load_all() -> None:

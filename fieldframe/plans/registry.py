@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,10 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
         QUERIES[name] = function
         if sql is not None:
             ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
-            SQL[name] = (f"WITH {ctes} {sql}" if ctes else sql)
-            if ctes and sql.lstrip().upper().startswith("WITH "):
-                SQL[name] = f"WITH {ctes}, {sql.lstrip()[5:]}"
+            text = sql.strip()
+            if ctes:
+                text = f"WITH {ctes}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {ctes} {text}"
+            # the field component "by" is also a keyword, which these texts write in capitals
+            SQL[name] = re.sub(r'(?<!")\bby\b(?!")', '"by"', text)
         return function
     return add
