@@ -33,51 +33,57 @@ def gaussian_kernel(fwhm: float, truncate: float = 4.0) -> list[float]:
     return [v / math.fsum(raw) for v in raw]
 
 
-def _smooth_axis(cube: DataFrame, line: list[str], dim: str, value: str,
+def _smooth_axis(cube: DataFrame, line: list[str], dim: str, values: list[str],
                  taps: list[tuple[int, Column]]) -> DataFrame:
-    """Weighted sum of shifted values along a dense line, the ends repeated."""
+    """Weighted sums of shifted values along a dense line, the ends repeated."""
     w = W.partitionBy(*line).orderBy(dim)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first, last = F.first(value).over(whole), F.last(value).over(whole)
-    total = None
-    for offset, tap in taps:
-        if offset < 0:
-            v = F.coalesce(F.lag(value, -offset).over(w), first)
-        elif offset > 0:
-            v = F.coalesce(F.lead(value, offset).over(w), last)
-        else:
-            v = F.col(value)
-        total = v * tap if total is None else total + v * tap
-    return cube.withColumn(value, total)
-
-
-def beam_convolve(cube: DataFrame, keys: list[str], value: str = "value", fwhm: float | Column = 3.0,
-                  max_fwhm: float | None = None) -> DataFrame:
+    smoothed = {}
+    for value in values:
+        first, last = F.first(value).over(whole), F.last(value).over(whole)
+        total = None
+        for offset, tap in taps:
+            if offset < 0:
+                v = F.coalesce(F.lag(value, -offset).over(w), first)
+            elif offset > 0:
+                v = F.coalesce(F.lead(value, offset).over(w), last)
+            else:
+                v = F.col(value)
+            total = v * tap if total is None else total + v * tap
+        smoothed[value] = total
+    return cube.withColumns(smoothed)
+
+
+def beam_convolve(cube: DataFrame, keys: list[str], value: str | list[str] = "value",
+                  fwhm: float | Column = 3.0, max_fwhm: float | None = None) -> DataFrame:
     """Separable Gaussian beam convolution with repeated edges (GRD10).
 
-    Two window passes over grid lines. Every line must be dense (see ``densify``). ``fwhm``
-    may be a Column that is constant per key; ``max_fwhm`` then bounds the kernel radius.
+    Two window passes over grid lines; several value columns share both passes. Every line
+    must be dense (see ``densify``). ``fwhm`` may be a Column that is constant per key;
+    ``max_fwhm`` then bounds the kernel radius.
     """
+    values = [value] if isinstance(value, str) else list(value)
     if isinstance(fwhm, Column):
         if max_fwhm is None:
             raise ValueError("a Column beam width needs max_fwhm")
         radius = math.ceil(4.0 * max_fwhm * R.SIGMA_PER_FWHM)
         sigma = fwhm * R.SIGMA_PER_FWHM
         reach = F.ceil(sigma * 4.0)
-        raw = {k: F.when(F.lit(abs(k)) <= reach, F.exp(F.lit(-0.5 * k * k) / (sigma * sigma)))
-               .otherwise(0.0) for k in range(-radius, radius + 1)}
-        norm = F.lit(0.0)
-        for tap in raw.values():
-            norm = norm + tap
-        staged = cube.withColumns({f"_k{abs(k)}": raw[k] / norm for k in range(0, radius + 1)})
+        raw = {k: F.when(F.lit(k) <= reach, F.exp(F.lit(-0.5 * k * k) / (sigma * sigma))).otherwise(0.0)
+               for k in range(radius + 1)}
+        norm = raw[0]
+        for k in range(1, radius + 1):
+            norm = norm + raw[k] * 2.0
+        staged = cube.withColumn("_norm", norm).withColumns(
+            {f"_k{k}": raw[k] / F.col("_norm") for k in range(radius + 1)})
         taps = [(k, F.col(f"_k{abs(k)}")) for k in range(-radius, radius + 1)]
     else:
         kernel = gaussian_kernel(fwhm)
         radius = len(kernel) // 2
         staged = cube
         taps = [(k - radius, F.lit(v)) for k, v in enumerate(kernel)]
-    smooth = _smooth_axis(staged, [*keys, "ix"], "iy", value, taps)
-    smooth = _smooth_axis(smooth, [*keys, "iy"], "ix", value, taps)
+    smooth = _smooth_axis(staged, [*keys, "ix"], "iy", values, taps)
+    smooth = _smooth_axis(smooth, [*keys, "iy"], "ix", values, taps)
     return smooth.select(*cube.columns)
 
 

@@ -115,16 +115,14 @@ def parse_counts(lines: DataFrame, keys: list[str], line_no: str = "line_no", te
     the query.
     """
     fields = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    staged = lines.withColumn("_f", fields).withColumn(
-        "_ok", F.when(F.col(line_no) == 0, F.col(text).contains(header_column)).otherwise(F.size("_f") >= 2))
-    rows = staged.filter((F.col(line_no) == 0) | (F.trim(text) != ""))
-    checked = rows.withColumn("_row", F.when(F.col("_ok"), F.col("_f")).otherwise(
-        F.raise_error(F.concat(F.lit("invalid count line: "), F.col(text))).cast("array<string>")))
-    # the header is compared through its array, so that a bad header is noticed
-    data = checked.filter((F.col(line_no) > 0) & F.col("_row").isNotNull()
-                          | (F.col(line_no) == 0) & (F.size("_row") < 0))
-    return data.groupBy(*keys, F.get("_row", F.lit(0)).cast("int").alias("frame")).agg(
-        F.max_by(F.get("_row", F.lit(1)).cast("double"), line_no).alias("particle_count"))
+    failed = F.raise_error(F.concat(F.lit("invalid count line: "), F.col(text)))
+    is_header, known = F.col(line_no) == 0, F.col(text).contains(header_column)
+    frame = F.when(is_header, F.when(known, F.lit(None).cast("int")).otherwise(failed.cast("int"))).otherwise(
+        F.when(F.size("_f") >= 2, F.get("_f", F.lit(0)).cast("int")).otherwise(failed.cast("int")))
+    count = F.when(~is_header, F.get("_f", F.lit(1)).cast("double"))
+    rows = lines.filter(is_header | (F.trim(text) != "")).withColumn("_f", fields)
+    data = rows.select(*keys, line_no, frame.alias("frame"), count.alias("_count")).filter(F.col("frame").isNotNull())
+    return data.groupBy(*keys, "frame").agg(F.max_by("_count", line_no).alias("particle_count"))
 
 
 def parse_manifest(lines: DataFrame, keys: list[str], line_no: str = "line_no", text: str = "value") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("particle_queries", "grid_queries", "image_queries", "sampling_queries", "run_queries")
+_MODULES = ("particle_queries", "grid_queries", "image_queries", "sampling_queries", "run_queries", "source_queries")
 
 
 def load_all() -> None:

@@ -92,7 +92,7 @@ def _split(spark, sf):
 
 
 @query("smp4_split", f"""WITH {_SPLIT_SQL}
-SELECT frame, CASE WHEN is_child THEN child ELSE particle_id END AS particle_id, CASE WHEN outcome='split' THEN weight*5e-1 ELSE weight END AS weight, CAST(CASE WHEN outcome='split' THEN split_level+1 ELSE split_level END AS INTEGER) AS split_level,
+SELECT frame, CAST(CASE WHEN is_child THEN child ELSE particle_id END AS BIGINT) AS particle_id, CASE WHEN outcome='split' THEN weight*5e-1 ELSE weight END AS weight, CAST(CASE WHEN outcome='split' THEN split_level+1 ELSE split_level END AS INTEGER) AS split_level,
  CASE WHEN outcome='skipped_baseline' AND energy>0 THEN energy ELSE initial_kinetic_energy END AS initial_kinetic_energy, outcome, is_child
 FROM k JOIN (SELECT false AS is_child UNION ALL SELECT true) c ON NOT is_child OR outcome='split'""", ("event_particles",))
 def smp4(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     # Joins on cell or frame keys can be dominated by one hot key. AQE splits such
@@ -15,6 +15,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Lets the binary sources skip whole files by frame.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 _fallback_scratch: str | None = None
@@ -43,3 +45,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             _fallback_scratch = tempfile.mkdtemp(prefix="fieldframe-")
         root = _fallback_scratch
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several results need to the scratch folder and read it back.
+
+    Unlike a cache the files survive the loss of executors, and the plan behind them is cut.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
