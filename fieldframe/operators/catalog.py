@@ -141,7 +141,7 @@ def flatten_json(df: DataFrame, keys: list[str], column: str, depth: int = 3,
         leaves = children.filter(~is_object if step < depth - 1 else F.lit(True))
         done = leaves if done is None else done.unionAll(leaves)
         level = children.filter(is_object)
-    text = F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v"))
+    text = F.when(~F.is_variant_null("_v"), F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v")))
     return done.select(*keys, F.col("_path").alias(name), text.alias("value"))
 
 
