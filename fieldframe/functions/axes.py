@@ -158,10 +158,20 @@ class Axis:
         inside = F.least(raw, F.lit(self.n - 1)).cast("int")
         return F.when((x >= self.lower) & (x <= self.upper), inside)
 
+    def floor_bin(self, x: Column) -> Column:
+        """Uniform image bin of a coordinate known to be inside (AGG6 rule)."""
+        return F.floor((x - self.lower) / self.width * self.n).cast("int")
+
+    def inside_floor(self, x: Column) -> Column:
+        """Whether the floor bin lies on the image, the upper edge excluded.
+
+        The two comparisons let the scan skip rows; the bin itself decides at the rim.
+        """
+        return (x >= self.lower) & (x <= self.upper) & (self.floor_bin(x) < self.n)
+
     def floor_index(self, x: Column) -> Column:
         """Uniform image bin with the upper edge excluded, NULL outside (AGG6 rule)."""
-        raw = F.floor((x - self.lower) / self.width * self.n)
-        return F.when((raw >= 0) & (raw < self.n), raw.cast("int"))
+        return F.when(self.inside_floor(x), self.floor_bin(x))
 
     def wrap(self, x: Column) -> Column:
         """Wrap a coordinate into [lower, upper) (PRJ28)."""
@@ -202,3 +212,29 @@ def pixel_centers(lo: float, hi: float, n: int) -> Column:
 def edge_index(edges: Column, value: Column) -> Column:
     """Number of edges <= value, minus one, for an array Column of edges (AGG6 rule)."""
     return F.size(F.filter(edges, lambda e: e <= value)) - 1
+
+
+def fixed_edge_index(edges: list[float], value: Column) -> Column:
+    """The same for edges known beforehand: a binary search written as nested conditions.
+
+    It stays inside generated code and needs log2(n) comparisons per row.
+    """
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo - 1)
+        middle = (lo + hi) // 2
+        return F.when(value < float(edges[middle]), search(lo, middle)).otherwise(search(middle + 1, hi))
+
+    return search(0, len(edges))
+
+
+def log_edge_index(edges: Column, value: Column) -> Column:
+    """The same for evenly spaced log edges: a closed-form guess, settled by its two edges."""
+    n = F.size(edges) - 1
+    first = F.log10(F.get(edges, F.lit(0)))
+    step = (F.log10(F.get(edges, n)) - first) / n
+    guess = F.floor((F.log10(value) - first) / step)
+    near = F.greatest(F.least(guess, n), F.lit(-1)).cast("int")
+    lower, upper = F.get(edges, near), F.get(edges, near + 1)
+    settled = F.when(value >= upper, near + 1).when(value < lower, near - 1).otherwise(near)
+    return F.when(value > 0.0, settled).otherwise(-1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.functions import constants as C
-from fieldframe.functions.axes import Axis, edge_index, log_edges
+from fieldframe.functions.axes import Axis, edge_index, fixed_edge_index, log_edge_index, log_edges
 from fieldframe.functions.kinematics import transport_energy_kev
 from fieldframe.functions.numeric import finite_positive
 
@@ -72,12 +72,12 @@ def deposit(particles: DataFrame, x_axis: Axis, y_axis: Axis, keys: tuple[str, .
     ``values`` adds further sums, for example conditional weights, in the same pass.
     """
     sums = {"weight": F.col("weight")} | (values or {})
-    binned = particles.select(
+    inside = particles.filter(x_axis.contains(F.col("x")) & y_axis.contains(F.col("y")))
+    binned = inside.select(
         *keys, x_axis.histogram_index(F.col("x")).alias("ix"),
         y_axis.histogram_index(F.col("y")).alias("iy"),
         *[v.alias(f"_v_{n}") for n, v in sums.items()])
-    out = (binned.filter(F.col("ix").isNotNull() & F.col("iy").isNotNull())
-           .groupBy(*keys, "iy", "ix").agg(*[F.sum(f"_v_{n}").alias(n) for n in sums]))
+    out = binned.groupBy(*keys, "iy", "ix").agg(*[F.sum(f"_v_{n}").alias(n) for n in sums])
     if dense:
         out = densify(out, particles.select(*keys), list(keys), {"iy": y_axis.n, "ix": x_axis.n},
                       {n: 0.0 for n in sums})
@@ -109,28 +109,30 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 def cell_energy_histogram(particles: DataFrame, x_axis: Axis, y_axis: Axis, edges: DataFrame | list,
                           keys: tuple[str, ...] = ("frame",), energy: str = "energy_ev",
-                          include_top: bool = False) -> DataFrame:
+                          include_top: bool = False, log_spaced: bool = True) -> DataFrame:
     """Weights per (cell, energy bin); upper edges are excluded (AGG6).
 
-    ``edges`` is a list shared by all keys or a DataFrame (keys, edges). The hottest
+    ``edges`` is a list shared by all keys or a DataFrame (keys, edges), evenly spaced in the
+    logarithm as ``energy_edges`` makes them unless ``log_spaced`` is off. The hottest
     particle falls on the top edge and is dropped unless ``include_top`` is set.
     """
+    e = F.col(energy)
     if isinstance(edges, list):
         if len(edges) < 2 or any(not b > a for a, b in zip(edges, edges[1:])):
             raise ValueError("energy edges must be strictly increasing")
-        known = particles.withColumn("edges", F.array(*[F.lit(float(e)) for e in edges]))
+        known, raw = particles, fixed_edge_index(edges, e)
+        bottom, top, last = F.lit(float(edges[0])), F.lit(float(edges[-1])), F.lit(len(edges) - 2)
     else:
         known = particles.join(edges, list(keys))
-    e = F.col(energy)
-    raw = edge_index(F.col("edges"), e)
-    nbins = F.size("edges") - 1
-    if include_top:
-        raw = F.when(e == F.element_at("edges", -1), nbins - 1).otherwise(raw)
-    binned = known.select(
-        *keys, x_axis.floor_index(F.col("x")).alias("ix"), y_axis.floor_index(F.col("y")).alias("iy"),
-        F.when((raw >= 0) & (raw < nbins), raw).alias("ie"), "weight")
-    return (binned.filter(F.col("ix").isNotNull() & F.col("iy").isNotNull() & F.col("ie").isNotNull())
-            .groupBy(*keys, "iy", "ix", "ie").agg(F.sum("weight").alias("weight")))
+        raw = log_edge_index(F.col("edges"), e) if log_spaced else edge_index(F.col("edges"), e)
+        bottom, top, last = F.get("edges", F.lit(0)), F.element_at("edges", -1), F.size("edges") - 2
+    # rows are filtered by plain comparisons, so that the bin expressions are evaluated once
+    inside = (e >= bottom) & ((e <= top) if include_top else (e < top))
+    kept = known.filter(x_axis.inside_floor(F.col("x")) & y_axis.inside_floor(F.col("y")) & inside)
+    binned = kept.select(
+        *keys, x_axis.floor_bin(F.col("x")).alias("ix"), y_axis.floor_bin(F.col("y")).alias("iy"),
+        F.least(raw, last).alias("ie"), "weight")
+    return binned.groupBy(*keys, "iy", "ix", "ie").agg(F.sum("weight").alias("weight"))
 
 
 def coarse_average(field: DataFrame, x_axis: Axis, y_axis: Axis, nx: int, ny: int,

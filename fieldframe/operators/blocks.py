@@ -4,21 +4,22 @@ A window over (keys, order) sorts each whole key group in one task. The function
 here cut every group into blocks of the order value, work inside (keys, block), and
 carry a small summary from block to block: one row per block for running sums, at
 most ``n`` rows per block for lags. The big side is shuffled once on (keys, block);
-the summaries join back on the same partitioning.
+the summaries join back on the same key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldframe.functions.axes import fixed_edge_index
+
 #: Default width of a block in units of an integer order column.
 BLOCK_WIDTH = 1 << 20
 
 _BLOCK = "_block"
+_KEY = "_key"
 
 
 def fixed_blocks(order: str, width: int = BLOCK_WIDTH) -> Column:
@@ -37,50 +38,41 @@ def value_boundaries(df: DataFrame, value: str, blocks: int) -> list[float]:
 
 def value_blocks(value: Column, boundaries: list[float]) -> Column:
     """Block number of a value among sorted boundaries."""
-    if not boundaries:
-        return F.lit(0).cast("long")
-    known = F.array(*[F.lit(b) for b in boundaries])
-    return F.size(F.filter(known, lambda b: b <= value)).cast("long")
-
+    return (fixed_edge_index(boundaries, value) + 1).cast("long")
 
-def _same_block(keys: list[str]) -> Column:
-    """Plain equality, so that the join reuses the (keys, block) partitioning of the window."""
-    return reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys],
-                  F.col(_BLOCK) == F.col("_k_block"))
 
+def _keyed(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Add the (keys, block) struct that windows, summaries and joins share.
 
-def _checked(keys: list[str], value: Column) -> Column:
-    """Fail on NULL keys instead of losing what is carried between their blocks."""
-    if not keys:
-        return value
-    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    failed = F.raise_error(F.lit(f"keys {keys} must not be NULL"))
-    return F.when(~missing, value).otherwise(failed)
+    A struct is never NULL and compares NULL fields as equal: NULL keys form a group like any
+    other, and the join adds no filters that would keep Spark from reusing an exchange.
+    """
+    return df.withColumn(_KEY, F.struct(*keys, block.alias(_BLOCK)))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-                block: Column | None = None, width: int = BLOCK_WIDTH) -> DataFrame:
+                block: Column | None = None, width: int = BLOCK_WIDTH,
+                totals: dict[str, str] | None = None) -> DataFrame:
     """Inclusive running sums per key; ``values`` maps output name to input column.
 
     ``order`` must be unique inside a key; ``block`` must not decrease along it and
-    defaults to fixed blocks of the first order column.
+    defaults to fixed blocks of the first order column. ``totals`` adds the sum over the
+    whole key, output name to the name of a running sum.
     """
-    blocked = df.withColumn(_BLOCK, fixed_blocks(order[0], width) if block is None else block)
-    inside = (W.partitionBy(*keys, _BLOCK).orderBy(*order)
+    blocked = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
+    inside = (W.partitionBy(_KEY).orderBy(*order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    totals = blocked.groupBy(*keys, _BLOCK).agg(
-        *[F.sum(c).alias(f"_total_{o}") for o, c in values.items()])
-    before = (W.partitionBy(*keys).orderBy(_BLOCK)
-              .rowsBetween(W.unboundedPreceding, -1))
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_BLOCK).alias("_k_block"),
-        *[F.coalesce(F.sum(f"_total_{o}").over(before), F.lit(0)).alias(f"_before_{o}")
-          for o in values])
+    sums = blocked.groupBy(_KEY).agg(*[F.sum(c).alias(f"_total_{o}") for o, c in values.items()])
+    group = W.partitionBy(*[f"{_KEY}.{k}" for k in keys])
+    before = group.orderBy(f"{_KEY}.{_BLOCK}").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        _KEY,
+        *[F.coalesce(F.sum(f"_total_{o}").over(before), F.lit(0)).alias(f"_before_{o}") for o in values],
+        *[F.sum(f"_total_{o}").over(group).alias(name) for name, o in (totals or {}).items()])
     local = blocked.withColumns({f"_local_{o}": F.sum(c).over(inside) for o, c in values.items()})
-    joined = local.join(offsets, _same_block(keys), "left")
-    return joined.select(
-        *df.columns,
-        *[_checked(keys, F.col(f"_local_{o}") + F.col(f"_before_{o}")).alias(o) for o in values])
+    return local.join(offsets, _KEY).select(
+        *df.columns, *[(F.col(f"_local_{o}") + F.col(f"_before_{o}")).alias(o) for o in values],
+        *(totals or {}))
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str,
@@ -96,32 +88,29 @@ def shifted_rows(df: DataFrame, keys: list[str], order: list[str],
     """Earlier rows of the same key: output name -> (column, rows back) (WIN2)."""
     depth = max(back for _, back in outputs.values())
     columns = sorted({c for c, _ in outputs.values()})
-    blocked = df.withColumn(_BLOCK, fixed_blocks(order[0], width) if block is None else block)
-    group = W.partitionBy(*keys, _BLOCK)
-    ordered = group.orderBy(*order)
+    blocked = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
+    ordered = W.partitionBy(_KEY).orderBy(*order)
     local = blocked.withColumns(
         {"_rn": F.row_number().over(ordered)}
         | {f"_lag_{o}": F.lag(c, back).over(ordered) for o, (c, back) in outputs.items()})
-    # the last rows of every block, oldest first
-    from_end = group.orderBy(*[F.col(c).desc() for c in order])
+    # the last rows of every block, oldest first; Spark cuts to them before the shuffle
+    from_end = W.partitionBy(_KEY).orderBy(*[F.col(c).desc() for c in order])
     tails = (blocked.withColumn("_rev", F.row_number().over(from_end))
              .filter(F.col("_rev") <= depth)
-             .groupBy(*keys, _BLOCK)
+             .groupBy(_KEY)
              .agg(F.array_sort(F.collect_list(
                  F.struct((-F.col("_rev")).alias("pos"), *columns))).alias("_tail")))
-    before = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(-depth, -1)
-    carried = tails.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_BLOCK).alias("_k_block"),
-        F.flatten(F.collect_list("_tail").over(before)).alias("_carry"))
+    before = (W.partitionBy(*[f"{_KEY}.{k}" for k in keys]).orderBy(f"{_KEY}.{_BLOCK}")
+              .rowsBetween(-depth, -1))
+    carried = tails.select(_KEY, F.flatten(F.collect_list("_tail").over(before)).alias("_carry"))
 
     def pick(name: str, column: str, back: int) -> Column:
         index = F.size("_carry") - (F.lit(back) - (F.col("_rn") - 1))
         from_carry = F.get(F.col("_carry"), F.when(index >= 0, index))[column]
-        value = F.when(F.col("_rn") > back, F.col(f"_lag_{name}")).otherwise(from_carry)
-        return _checked(keys, value).alias(name)
+        return F.when(F.col("_rn") > back, F.col(f"_lag_{name}")).otherwise(from_carry).alias(name)
 
-    joined = local.join(carried, _same_block(keys), "left")
-    return joined.select(*df.columns, *[pick(o, c, b) for o, (c, b) in outputs.items()])
+    return local.join(carried, _KEY).select(
+        *df.columns, *[pick(o, c, b) for o, (c, b) in outputs.items()])
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
@@ -134,14 +123,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
     """
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     boundaries = value_boundaries(df.select(value), value, blocks)
-    ranked = running_sum(counted, keys, [value], {"_cum": "_n"},
-                         block=value_blocks(F.col(value), boundaries))
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    if keys:
-        sized = ranked.join(totals, keys)
-    else:
-        rows = totals.first()["_rows"]
-        sized = ranked.withColumn("_rows", F.lit(rows))
+    sized = running_sum(counted, keys, [value], {"_cum": "_n"}, totals={"_rows": "_cum"},
+                        block=value_blocks(F.col(value), boundaries))
     start = F.col("_cum") - F.col("_n")
     picks = []
     for name, fraction in points.items():

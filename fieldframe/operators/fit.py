@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.functions.numeric import clip, finite
-from fieldframe.operators.binning import densify
 
 
 def power_law_fit(hist: DataFrame, keys: list[str], fallback: float | str = 4.0,
@@ -59,11 +58,21 @@ def power_law_map(hist: DataFrame, keys: list[str], ny: int, nx: int, fallback:
         *keys, F.col("delta").alias("global_delta"), F.col("r2").alias("global_r2"),
         F.col("accepted").alias("global_accepted"))
     local = power_law_fit(hist, [*keys, "iy", "ix"], fallback, **rules)
-    dense = densify(local, hist.select(*keys), keys, {"iy": ny, "ix": nx},
-                    {"r2": 0.0, "accepted": False, "bins": 0})
-    joined = dense.join(overall, keys)
-    return joined.withColumn(
-        "delta", F.when(F.col("accepted"), F.col("delta")).otherwise(clip(F.col("global_delta"), *bounds)))
+    # the one row per key of the whole-image fit opens up into the image grid
+    grid = overall
+    for name, n in (("iy", ny), ("ix", nx)):
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # joining on a struct, which is never NULL, adds no filter to the local side: both sides
+    # then share the exchange of the histogram, and the particles are read once
+    cell = F.struct(*keys, "iy", "ix")
+    fits = local.select(cell.alias("_cell"), "delta", "r2", "accepted", "bins")
+    joined = grid.withColumn("_cell", cell).join(fits, "_cell", "left")
+    accepted = F.coalesce(F.col("accepted"), F.lit(False))
+    delta = F.when(accepted, F.col("delta")).otherwise(clip(F.col("global_delta"), *bounds))
+    return joined.select(
+        *keys, "iy", "ix", delta.alias("delta"), F.coalesce("r2", F.lit(0.0)).alias("r2"),
+        accepted.alias("accepted"), F.coalesce("bins", F.lit(0)).alias("bins"),
+        "global_delta", "global_r2", "global_accepted")
 
 
 # -- per-pixel spectral fits -----------------------------------------------------------
@@ -71,44 +80,57 @@ def power_law_map(hist: DataFrame, keys: list[str], ny: int, nx: int, fallback:
 FIT_SCHEMA = "params array<double>, errors array<double>, spec array<struct<freq:double,obs:double,err:double,fit:double>>"
 
 
-def log_polynomial_fit(pdf: pd.DataFrame, degree: int = 1) -> dict:
+def log_polynomial_fit(freq: np.ndarray, obs: np.ndarray, err: np.ndarray, degree: int = 1) -> dict:
     """Fit log10 flux by a polynomial of log10 frequency; the bundled solver of UDF4.
 
     Points without positive finite flux are ignored. Too few points give NaN parameters.
     """
-    freq = pdf["freq"].to_numpy(float)
-    obs = pdf["obs"].to_numpy(float)
-    err = pdf["err"].to_numpy(float) if "err" in pdf else np.zeros_like(obs)
     good = np.isfinite(obs) & (obs > 0.0) & (freq > 0.0)
     params = np.full(degree + 1, np.nan)
     errors = np.full(degree + 1, np.nan)
     fit = np.full(obs.shape, np.nan)
     if good.sum() > degree:
         x, y = np.log10(freq[good]), np.log10(obs[good])
-        params = np.polyfit(x, y, degree)
-        residual = y - np.polyval(params, x)
-        spare = max(int(good.sum()) - degree - 1, 1)
         basis = np.vander(x, degree + 1)
+        params = np.linalg.lstsq(basis, y, rcond=None)[0]
+        residual = y - basis @ params
+        spare = max(int(good.sum()) - degree - 1, 1)
         covariance = np.linalg.pinv(basis.T @ basis) * (residual @ residual) / spare
         errors = np.sqrt(np.clip(np.diag(covariance), 0.0, None))
-        fit[freq > 0.0] = 10.0 ** np.polyval(params, np.log10(freq[freq > 0.0]))
-    rows = [{"freq": f, "obs": o, "err": e, "fit": m} for f, o, e, m in zip(freq, obs, err, fit)]
-    return {"params": params.tolist(), "errors": errors.tolist(), "spec": rows}
+        shown = freq > 0.0
+        fit[shown] = 10.0 ** (np.vander(np.log10(freq[shown]), degree + 1) @ params)
+    return {"params": params, "errors": errors, "fit": fit}
+
 
+#: Maps (freq, obs, err) arrays to params, errors and the fitted spectrum.
+Solver = Callable[[np.ndarray, np.ndarray, np.ndarray], dict]
 
-def fit_spectra(observed: DataFrame, keys: list[str],
-                solver: Callable[[pd.DataFrame], dict] = log_polynomial_fit,
-                schema: str = FIT_SCHEMA) -> DataFrame:
+
+def fit_spectra(observed: DataFrame, keys: list[str], solver: Solver = log_polynomial_fit,
+                partitions: int | None = None) -> DataFrame:
     """Run a solver once per pixel spectrum (UDF4).
 
     ``observed`` has the keys, ``freq``, ``obs`` and ``err``. Repeated measurements of one
-    (pixel, frequency) are averaged first, with partial aggregation, so a pixel group is
-    never longer than the frequency list. The solver maps a pandas frame to one row.
+    (pixel, frequency) are averaged first, with partial aggregation, so the spectrum of a
+    pixel is never longer than the frequency list. Pixels are few and expensive:
+    ``partitions`` spreads them over more tasks than their bytes would ask for.
     """
     once = observed.groupBy(*keys, "freq").agg(F.avg("obs").alias("obs"), F.avg("err").alias("err"))
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in once.select(*keys).schema)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([dict(zip(keys, key)) | solver(pdf.sort_values("freq"))])
-
-    return once.groupBy(*keys).applyInPandas(run, f"{key_types}, {schema}")
+    points = F.array_sort(F.collect_list(F.struct("freq", "obs", "err")))
+    spectra = once.groupBy(*keys).agg(points.alias("_s")).select(
+        *keys, *[F.col("_s").getField(n).alias(n) for n in ("freq", "obs", "err")])
+    if partitions:
+        spectra = spectra.repartition(partitions, *keys)
+    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spectra.select(*keys).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for freq, obs, err in zip(batch["freq"], batch["obs"], batch["err"]):
+                found = solver(np.asarray(freq, float), np.asarray(obs, float), np.asarray(err, float))
+                spec = [{"freq": f, "obs": o, "err": e, "fit": m} for f, o, e, m in zip(freq, obs, err, found["fit"])]
+                rows.append((list(found["params"]), list(found["errors"]), spec))
+            done = pd.DataFrame(rows, columns=["params", "errors", "spec"])
+            yield pd.concat([batch[keys].reset_index(drop=True), done], axis=1)
+
+    return spectra.mapInPandas(run, f"{key_types}, {FIT_SCHEMA}")

@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldframe.operators.blocks import value_boundaries
-
-
-def _bucket(value: Column, boundaries: list[float]) -> Column:
-    if not boundaries:
-        return F.lit(0)
-    known = F.array(*[F.lit(b) for b in boundaries])
-    return F.size(F.filter(known, lambda b: b <= value))
+from fieldframe.operators.blocks import value_blocks, value_boundaries
 
 
 def interval_lookup(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str,
@@ -28,8 +21,8 @@ def interval_lookup(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi
     """
     boundaries = value_boundaries(intervals.select(lo), lo, buckets)
     spread = intervals.withColumn(
-        "_bucket", F.explode(F.sequence(_bucket(F.col(lo), boundaries), _bucket(F.col(hi), boundaries))))
-    tagged = points.withColumn("_bucket", _bucket(F.col(x), boundaries))
+        "_bucket", F.explode(F.sequence(value_blocks(F.col(lo), boundaries), value_blocks(F.col(hi), boundaries))))
+    tagged = points.withColumn("_bucket", value_blocks(F.col(x), boundaries))
     inside = (F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi))
     if closed_top is not None:
         inside = inside | ((F.col(x) == closed_top) & (F.col(hi) == closed_top))

@@ -40,26 +40,25 @@ def rounded_keys(cells: DataFrame, columns: dict[str, str], digits: int = 3) ->
     return cells.withColumns({k: F.bround(c, digits) for k, c in columns.items()})
 
 
-def normalized(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """Min-max normalized copies ``<c>_norm`` per key (PRJ16); ranges under 1e-12 count as 1e-12.
-
-    The extremes are an aggregate joined back on the key, so a large frame is never one window.
+def normalized(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("frame",),
+               of_peak: dict[str, Column] | None = None) -> DataFrame:
+    """Normalized copies ``<c>_norm`` per key (PRJ16, WIN8).
+
+    ``columns`` are mapped from their range onto [0, 1], ranges under 1e-12 counting as 1e-12.
+    ``of_peak`` maps a column to the rows that count: there the value is divided by its
+    maximum over those rows, elsewhere it is 0. One aggregate serves all columns and is
+    joined back on the key, so a large frame is never one window.
     """
-    ends = df.groupBy(*keys).agg(*[F.min(c).alias(f"_lo_{c}") for c in columns],
-                                 *[F.max(c).alias(f"_hi_{c}") for c in columns])
-    width = {c: F.greatest(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(1.0e-12)) for c in columns}
-    joined = df.join(ends, list(keys)).withColumns(
-        {f"{c}_norm": (F.col(c) - F.col(f"_lo_{c}")) / width[c] for c in columns})
-    return joined.drop(*[f"_lo_{c}" for c in columns], *[f"_hi_{c}" for c in columns])
-
-
-def fraction_of_peak(df: DataFrame, column: str, keys: tuple[str, ...] = ("frame",),
-                     where: Column | None = None) -> DataFrame:
-    """``<column>_norm``: the value over its maximum among ``where`` rows, 0 elsewhere."""
-    where = F.lit(True) if where is None else where
-    top = df.groupBy(*keys).agg(F.max(F.when(where, F.col(column))).alias("_top"))
-    value = F.when(where & (F.col("_top") > 0.0), F.col(column) / F.col("_top")).otherwise(0.0)
-    return df.join(top, list(keys)).withColumn(f"{column}_norm", value).drop("_top")
+    peaks = of_peak or {}
+    ends = df.groupBy(*keys).agg(
+        *[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns],
+        *[F.max(F.when(where, F.col(c))).alias(f"_top_{c}") for c, where in peaks.items()])
+    norms = {f"{c}_norm": (F.col(c) - F.col(f"_lo_{c}"))
+             / F.greatest(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(1.0e-12)) for c in columns}
+    norms |= {f"{c}_norm": F.when(where & (F.col(f"_top_{c}") > 0.0), F.col(c) / F.col(f"_top_{c}")).otherwise(0.0)
+              for c, where in peaks.items()}
+    helpers = [c for c in ends.columns if c not in keys]
+    return df.join(ends, list(keys)).withColumns(norms).drop(*helpers)
 
 
 def assemble_cells(keys: list[str], *maps: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.functions import constants as C
-from fieldframe.functions.axes import Axis
+from fieldframe.functions.axes import Axis, fixed_edge_index, log_edge_index
 from fieldframe.functions.geometry import magnitude
 from fieldframe.functions.numeric import clip, rescale
 from fieldframe.functions.predicates import active_above
@@ -64,6 +64,39 @@ class EmissionConfig:
         return Axis.uniform(x.lower, x.upper, self.nx), Axis.uniform(y.lower, y.upper, self.ny)
 
 
+def particle_maps(particles: DataFrame, config: EmissionConfig) -> tuple[DataFrame, DataFrame]:
+    """Dense weight map and cell-energy histogram from one pass over the particles.
+
+    One aggregate holds what both need: the closed-edge cell, whether a row lies on an upper
+    edge (which the deposit keeps and the histogram drops) and the energy bin, NULL outside.
+    It is as small as cells times bins and is written once. Only data-driven energy edges
+    need a pass of their own for the extremes.
+    """
+    x, y = config.image_axes
+    e = F.col("energy_ev")
+    active = particles.filter(active_above(F.col("status"), e, config.minimum_energy_ev)
+                              & x.contains(F.col("x")) & y.contains(F.col("y")))
+    if config.energy_edges is not None:
+        fixed = [float(v) for v in config.energy_edges]
+        energy_bin = F.when((e >= fixed[0]) & (e < fixed[-1]), fixed_edge_index(fixed, e))
+        edges = F.array(*[F.lit(v) for v in fixed])
+    else:
+        active = active.join(binning.energy_edges(particles, config.energy_bins), "frame")
+        edges = F.col("edges")
+        inside = (e >= F.get(edges, F.lit(0))) & (e < F.element_at(edges, -1))
+        energy_bin = F.when(inside, log_edge_index(edges, e))
+    binned = active.select(
+        "frame", y.histogram_index(F.col("y")).alias("iy"), x.histogram_index(F.col("x")).alias("ix"),
+        ((F.col("x") == x.upper) | (F.col("y") == y.upper)).alias("on_top"), energy_bin.alias("ie"), "weight",
+        F.get(edges, energy_bin).alias("lo"), F.get(edges, energy_bin + 1).alias("hi"))
+    base = materialize(binned.groupBy("frame", "iy", "ix", "on_top", "ie", "lo", "hi").agg(
+        F.sum("weight").alias("weight")), "particle-maps")
+    sums = base.groupBy(*CELL).agg(F.sum("weight").alias("weight"))
+    weight = binning.densify(sums, base, ["frame"], {"iy": config.ny, "ix": config.nx}, {"weight": 0.0})
+    hist = base.filter(~F.col("on_top") & F.col("ie").isNotNull()).drop("on_top")
+    return weight, hist
+
+
 def cell_table(particles: DataFrame, field_table: DataFrame, config: EmissionConfig,
                background: DataFrame | None = None) -> DataFrame:
     """One row per (frame, cell) with weight, densities, field, temperature and index.
@@ -72,23 +105,13 @@ def cell_table(particles: DataFrame, field_table: DataFrame, config: EmissionCon
     bx, by, bz on the native axes. ``background``: frame, ix, iy, thermal_density_cm3,
     temperature_mk on the native axes; constants of the config otherwise.
     """
-    x, y = config.image_axes
-    active = particles.filter(active_above(F.col("status"), F.col("energy_ev"), config.minimum_energy_ev))
-    weight = binning.deposit(active, x, y, dense=True)
+    weight, hist = particle_maps(particles, config)
     bmag = field_table.withColumn("bmag", magnitude([F.col(c) for c in ("bx", "by", "bz")]))
     coarse = binning.coarse_average(bmag, config.x_axis, config.y_axis, config.nx, config.ny, ["bmag"])
     ends = coarse.groupBy("frame").agg(F.min("bmag").alias("_lo"), F.max("bmag").alias("_hi"))
     gauss = coarse.join(ends, "frame").select(*CELL, rescale(
         F.col("bmag"), F.col("_lo"), F.col("_hi"), config.field_floor_gauss, config.field_peak_gauss)
         .alias("magnetic_field_gauss"))
-
-    if config.energy_edges is None:
-        edges = binning.energy_edges(particles, config.energy_bins)
-        hist = binning.cell_energy_histogram(active, x, y, edges).join(edges, "frame")
-    else:
-        hist = binning.cell_energy_histogram(active, x, y, list(config.energy_edges)).withColumn(
-            "edges", F.array(*[F.lit(float(e)) for e in config.energy_edges]))
-    hist = hist.withColumns({"lo": F.get("edges", F.col("ie")), "hi": F.get("edges", F.col("ie") + 1)})
     index = fit.power_law_map(hist, ["frame"], config.ny, config.nx, config.default_index,
                               minimum_bins=config.minimum_bins, bounds=config.index_bounds,
                               minimum_r2=config.minimum_r2)
@@ -114,8 +137,8 @@ def keyed_cells(cells: DataFrame, config: EmissionConfig) -> DataFrame:
     """Cells with model parameters and their quantized keys."""
     occupied = F.col("weight") > 0.0
     lo, hi = config.index_bounds
-    out = memo.fraction_of_peak(cells, "nonthermal_density_cm3", where=occupied)
-    out = memo.normalized(out, ["magnetic_field_gauss", "thermal_density_cm3", "temperature_mk"])
+    out = memo.normalized(cells, ["magnetic_field_gauss", "thermal_density_cm3", "temperature_mk"],
+                          of_peak={"nonthermal_density_cm3": occupied})
     index = (clip(F.col("power_law_index"), lo, hi) - lo) / max(hi - lo, 1.0e-12)
     sources = dict(zip(KEYS, (F.col("nonthermal_density_cm3_norm"), F.col("magnetic_field_gauss_norm"), index,
                               F.col("thermal_density_cm3_norm"), F.col("temperature_mk_norm"))))

@@ -245,8 +245,7 @@ def snk1(spark, sf):
 
 def _cells(spark, sf):
     t = T.truth(spark, sf)
-    cells = memo.fraction_of_peak(t.withColumn("nth", F.col("value") + F.col("iy")), "value")
-    cells = memo.normalized(cells, ["nth"])
+    cells = memo.normalized(t.withColumn("nth", F.col("value") + F.col("iy")), ["nth"], of_peak={"value": F.lit(True)})
     return memo.quantize_keys(cells, {"k1": (F.col("value_norm"), 6), "k2": (F.col("nth_norm"), 5)})
 
 

@@ -140,7 +140,7 @@ def win7(spark, sf):
 SELECT user_id, event_id, value, lag(value,1) OVER w AS prev_value, lag(value,2) OVER w AS step_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def win2(spark, sf):
     e = T.table(spark, sf, "events").select("user_id", "event_id", "value")
-    return runs.previous_positions(e, ["user_id"], ["event_id"], ["value"], width=500)
+    return runs.previous_positions(e, ["user_id"], ["event_id"], ["value"], width=4000)
 
 
 @query("win1_running_elapsed", f"""

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +43,7 @@ def observed_spectra(cube: DataFrame, config: FitConfig) -> DataFrame:
 
 
 def fit_maps(cube: DataFrame, config: FitConfig, names: list[str],
-             solver: Callable[[pd.DataFrame], dict] = fit.log_polynomial_fit) -> DataFrame:
+             solver: fit.Solver = fit.log_polynomial_fit) -> DataFrame:
     """Parameter and error maps of every frame, zeros where no pixel was fitted."""
     fits = fit.fit_spectra(observed_spectra(cube, config), PIXEL, solver)
     return image.parameter_maps(fits, cube.select(*PIXEL).distinct(), PIXEL, names)

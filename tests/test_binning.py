@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldframe.functions import numeric as N
-from fieldframe.functions.axes import Axis
+from fieldframe.functions.axes import Axis, edge_index, fixed_edge_index, log_edge_index
 from fieldframe.operators import binning, fit
 
 X, Y = Axis.uniform(0.0, 4.0, 4), Axis.uniform(0.0, 2.0, 2)
@@ -145,3 +145,15 @@ def test_nan_rules(spark):
     ratio = [r[0] for r in df.select(N.safe_ratio(F.col("a"), F.col("b"))).collect()]
     assert math.isnan(ratio[0]) and math.isnan(ratio[1]) and ratio[2] == 0.5 and math.isnan(ratio[3])
     assert [r[0] for r in df.select(N.finite(F.col("a"))).collect()] == [True, True, True, False]
+
+
+def test_edge_index_forms_agree(spark):
+    edges = [float(v) for v in np.logspace(0.3, 4.1, 14)]
+    values = sorted(edges + [e * (1 + d) for e in edges for d in (-1e-9, 1e-9, 0.1)] + [0.0, -3.0, 1.0, 1e9])
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("edges", F.array(*[F.lit(e) for e in edges]))
+    rows = df.select(edge_index(F.col("edges"), F.col("v")).alias("a"), fixed_edge_index(edges, F.col("v")).alias("b"),
+                     log_edge_index(F.col("edges"), F.col("v")).alias("c"), "v").collect()
+    for r in rows:
+        want = int(np.searchsorted(edges, r["v"], side="right")) - 1
+        assert r["a"] == r["b"] == want
+        assert r["c"] == want or (r["v"] <= 0 and r["c"] < 0)

@@ -33,10 +33,14 @@ def test_shifted_rows(spark, hot, width):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
-def test_null_keys_fail(spark, hot):
-    bad = hot.withColumn("k", F.when(F.col("id") > 5, F.col("k")))
-    with pytest.raises(Exception, match="must not be NULL"):
-        blocks.running_sum(bad, ["k"], ["id"], {"s": "v"}, width=100).collect()
+def test_null_keys_are_a_group(spark, hot):
+    holed = hot.withColumn("k", F.when(F.col("id") % 4 > 0, F.col("k")))
+    w = W.partitionBy("k").orderBy("id")
+    got = blocks.running_sum(holed, ["k"], ["id"], {"s": "v"}, width=100, totals={"t": "s"})
+    want = holed.withColumns({"s": F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)), "t": F.sum("v").over(W.partitionBy("k"))})
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    got = blocks.shifted_rows(holed, ["k"], ["id"], {"a": ("v", 2)}, width=100)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, holed.withColumn("a", F.lag("v", 2).over(w)).collect()))
 
 
 def test_percentiles_match_numpy(spark, hot):
