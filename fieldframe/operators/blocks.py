@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldframe.functions.axes import fixed_edge_index
 
@@ -19,7 +20,6 @@ from fieldframe.functions.axes import fixed_edge_index
 BLOCK_WIDTH = 1 << 20
 
 _BLOCK = "_block"
-_KEY = "_key"
 
 
 def fixed_blocks(order: str, width: int = BLOCK_WIDTH) -> Column:
@@ -37,17 +37,42 @@ def value_boundaries(df: DataFrame, value: str, blocks: int) -> list[float]:
 
 
 def value_blocks(value: Column, boundaries: list[float]) -> Column:
-    """Block number of a value among sorted boundaries."""
-    return (fixed_edge_index(boundaries, value) + 1).cast("long")
+    """Block number of a value among sorted boundaries, by binary search."""
+    if len(boundaries) <= 16:
+        return (fixed_edge_index(boundaries, value) + 1).cast("long")
+    known = F.array(*[F.lit(b) for b in boundaries])
 
+    def narrow(span: Column, _step: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = value < F.get(known, middle)
+        open_ = span["lo"] < span["hi"]
+        return F.struct(F.when(open_ & ~below, middle + 1).otherwise(span["lo"]).alias("lo"),
+                        F.when(open_ & below, middle).otherwise(span["hi"]).alias("hi"))
 
-def _keyed(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
-    """Add the (keys, block) struct that windows, summaries and joins share.
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(boundaries)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(boundaries).bit_length()))
+    return F.aggregate(steps, start, narrow, lambda span: span["lo"]).cast("long")
 
-    A struct is never NULL and compares NULL fields as equal: NULL keys form a group like any
-    other, and the join adds no filters that would keep Spark from reusing an exchange.
+
+def _keyed(df: DataFrame, keys: list[str], block: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """Add the key and block columns that windows, summaries and joins share.
+
+    They are never NULL (a NULL key is a default value and a flag), so NULL keys form a group
+    like any other, and the join adds no filters that would keep Spark from reusing an
+    exchange. Returns the frame, the key columns and the key and block columns.
     """
-    return df.withColumn(_KEY, F.struct(*keys, block.alias(_BLOCK)))
+    added: dict[str, Column] = {}
+    for i, key in enumerate(keys):
+        kind = df.schema[key].dataType
+        default = "" if isinstance(kind, T.StringType) else 0 if isinstance(kind, T.NumericType) else None
+        if default is None:
+            added[f"_k{i}"] = F.struct(key)
+        else:
+            added[f"_k{i}"] = F.coalesce(F.col(key), F.lit(default).cast(kind))
+            added[f"_n{i}"] = F.col(key).isNull()
+    group = list(added)
+    added[_BLOCK] = F.coalesce(block.cast("long"), F.lit(-1).cast("long"))
+    return df.withColumns(added), group, [*group, _BLOCK]
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
@@ -59,18 +84,17 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     defaults to fixed blocks of the first order column. ``totals`` adds the sum over the
     whole key, output name to the name of a running sum.
     """
-    blocked = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
-    inside = (W.partitionBy(_KEY).orderBy(*order)
-              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    sums = blocked.groupBy(_KEY).agg(*[F.sum(c).alias(f"_total_{o}") for o, c in values.items()])
-    group = W.partitionBy(*[f"{_KEY}.{k}" for k in keys])
-    before = group.orderBy(f"{_KEY}.{_BLOCK}").rowsBetween(W.unboundedPreceding, -1)
+    blocked, group, cut = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
+    inside = W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = blocked.groupBy(*cut).agg(*[F.sum(c).alias(f"_total_{o}") for o, c in values.items()])
+    whole = W.partitionBy(*group)
+    before = whole.orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
-        _KEY,
+        *cut,
         *[F.coalesce(F.sum(f"_total_{o}").over(before), F.lit(0)).alias(f"_before_{o}") for o in values],
-        *[F.sum(f"_total_{o}").over(group).alias(name) for name, o in (totals or {}).items()])
+        *[F.sum(f"_total_{o}").over(whole).alias(name) for name, o in (totals or {}).items()])
     local = blocked.withColumns({f"_local_{o}": F.sum(c).over(inside) for o, c in values.items()})
-    return local.join(offsets, _KEY).select(
+    return local.join(offsets, cut).select(
         *df.columns, *[(F.col(f"_local_{o}") + F.col(f"_before_{o}")).alias(o) for o in values],
         *(totals or {}))
 
@@ -88,31 +112,47 @@ def shifted_rows(df: DataFrame, keys: list[str], order: list[str],
     """Earlier rows of the same key: output name -> (column, rows back) (WIN2)."""
     depth = max(back for _, back in outputs.values())
     columns = sorted({c for c, _ in outputs.values()})
-    blocked = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
-    ordered = W.partitionBy(_KEY).orderBy(*order)
+    blocked, group, cut = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
+    ordered = W.partitionBy(*cut).orderBy(*order)
     local = blocked.withColumns(
         {"_rn": F.row_number().over(ordered)}
         | {f"_lag_{o}": F.lag(c, back).over(ordered) for o, (c, back) in outputs.items()})
     # the last rows of every block, oldest first; Spark cuts to them before the shuffle
-    from_end = W.partitionBy(_KEY).orderBy(*[F.col(c).desc() for c in order])
+    from_end = W.partitionBy(*cut).orderBy(*[F.col(c).desc() for c in order])
     tails = (blocked.withColumn("_rev", F.row_number().over(from_end))
              .filter(F.col("_rev") <= depth)
-             .groupBy(_KEY)
+             .groupBy(*cut)
              .agg(F.array_sort(F.collect_list(
                  F.struct((-F.col("_rev")).alias("pos"), *columns))).alias("_tail")))
-    before = (W.partitionBy(*[f"{_KEY}.{k}" for k in keys]).orderBy(f"{_KEY}.{_BLOCK}")
-              .rowsBetween(-depth, -1))
-    carried = tails.select(_KEY, F.flatten(F.collect_list("_tail").over(before)).alias("_carry"))
+    before = W.partitionBy(*group).orderBy(_BLOCK).rowsBetween(-depth, -1)
+    carried = tails.select(*cut, F.flatten(F.collect_list("_tail").over(before)).alias("_carry"))
 
     def pick(name: str, column: str, back: int) -> Column:
         index = F.size("_carry") - (F.lit(back) - (F.col("_rn") - 1))
         from_carry = F.get(F.col("_carry"), F.when(index >= 0, index))[column]
         return F.when(F.col("_rn") > back, F.col(f"_lag_{name}")).otherwise(from_carry).alias(name)
 
-    return local.join(carried, _KEY).select(
+    return local.join(carried, cut).select(
         *df.columns, *[pick(o, c, b) for o, (c, b) in outputs.items()])
 
 
+def last_value(df: DataFrame, keys: list[str], order: list[str], column: str, out: str,
+               block: Column | None = None, width: int = BLOCK_WIDTH) -> DataFrame:
+    """The latest non-NULL value of a column up to each row of its key.
+
+    The summary of a block is its own latest value, NULL where it has none.
+    """
+    blocked, group, cut = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
+    inside = W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
+    ends = blocked.groupBy(*cut).agg(latest.alias("_end"))
+    before = W.partitionBy(*group).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*cut, F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    local = blocked.withColumn("_local", F.last(column, ignorenulls=True).over(inside))
+    kept = [c for c in df.columns if c != out]
+    return local.join(carried, cut).select(*kept, F.coalesce("_local", "_before").alias(out))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
                       blocks: int = 64) -> DataFrame:
     """Exact linearly interpolated percentiles per key, output name -> fraction (AGG23).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,14 +123,19 @@ def fit_spectra(observed: DataFrame, keys: list[str], solver: Solver = log_polyn
         spectra = spectra.repartition(partitions, *keys)
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spectra.select(*keys).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for freq, obs, err in zip(batch["freq"], batch["obs"], batch["err"]):
-                found = solver(np.asarray(freq, float), np.asarray(obs, float), np.asarray(err, float))
-                spec = [{"freq": f, "obs": o, "err": e, "fit": m} for f, o, e, m in zip(freq, obs, err, found["fit"])]
-                rows.append((list(found["params"]), list(found["errors"]), spec))
-            done = pd.DataFrame(rows, columns=["params", "errors", "spec"])
-            yield pd.concat([batch[keys].reset_index(drop=True), done], axis=1)
-
-    return spectra.mapInPandas(run, f"{key_types}, {FIT_SCHEMA}")
+            freq, obs, err = (batch.column(batch.schema.get_field_index(n)) for n in ("freq", "obs", "err"))
+            ends = freq.offsets.to_numpy() - freq.offsets[0].as_py()
+            flat = [a.flatten().to_numpy(zero_copy_only=False) for a in (freq, obs, err)]
+            found = [solver(*(v[i:j] for v in flat)) for i, j in zip(ends, ends[1:])]
+            fitted = np.concatenate([f["fit"] for f in found]) if found else np.zeros(0)
+            spec = pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in (*flat, fitted)],
+                                              names=["freq", "obs", "err", "fit"])
+            lists = [pa.array([list(f[n]) for f in found], pa.list_(pa.float64())) for n in ("params", "errors")]
+            arrays = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, *lists, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spec)],
+                names=[*keys, "params", "errors", "spec"])
+
+    return spectra.mapInArrow(run, f"{key_types}, {FIT_SCHEMA}")

@@ -336,10 +336,12 @@ def to_rows(cubes: DataFrame, keys: list[str], column: str) -> DataFrame:
 def to_spectra(cube: DataFrame, pixel_keys: list[str], index: str = "freq_idx", value: str = "value") -> DataFrame:
     """Long rows to one spectrum array per pixel, in index order (ARR1).
 
-    (pixel, index) must be unique, so an array is as long as the frequency list.
+    Repeated values of one (pixel, index) are averaged first, so an array is never longer
+    than the frequency list.
     """
+    once = cube.groupBy(*pixel_keys, index).agg(F.avg(value).alias(value))
     packed = F.array_sort(F.collect_list(F.struct(index, value)))
-    return cube.groupBy(*pixel_keys).agg(F.transform(packed, lambda s: s[value]).alias("spectrum"))
+    return once.groupBy(*pixel_keys).agg(packed.getField(value).alias("spectrum"))
 
 
 def parameter_maps(fits: DataFrame, pixels: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -5,29 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldframe.operators.blocks import value_blocks, value_boundaries
+from fieldframe.functions.axes import fixed_edge_index
+from fieldframe.operators.blocks import last_value, shifted_rows, value_blocks, value_boundaries
+
+
+#: Up to this many intervals are looked up by a search written into the expression.
+SMALL_AXIS = 64
 
 
 def interval_lookup(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str,
                     on: tuple[str, ...] = (), closed_top: float | None = None,
-                    buckets: int = 256) -> DataFrame:
+                    blocks: int = 64) -> DataFrame:
     """Attach the interval with lo <= x < hi to every point (JON6).
 
-    Intervals must not overlap inside one ``on`` key. Both sides are bucketed by
-    quantiles of the interval starts (at most ``buckets`` numbers on the driver), an
-    interval is repeated only in the buckets it reaches, and the join is an equi-join
-    on (on, bucket); a bucket with many points is split by AQE. ``closed_top`` names the
-    top edge that belongs to the last interval.
+    Intervals must not overlap inside one ``on`` key. ``closed_top`` names the top edge that
+    belongs to the last interval. A counted short list (at most ``SMALL_AXIS`` rows) is
+    searched inside the expression and broadcast. A longer one is merged with the distinct
+    point positions along x, block by block, where each position takes the last interval
+    that starts before it; no pairs are formed and a repeated position is looked up once.
     """
-    boundaries = value_boundaries(intervals.select(lo), lo, buckets)
-    spread = intervals.withColumn(
-        "_bucket", F.explode(F.sequence(value_blocks(F.col(lo), boundaries), value_blocks(F.col(hi), boundaries))))
-    tagged = points.withColumn("_bucket", value_blocks(F.col(x), boundaries))
-    inside = (F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi))
-    if closed_top is not None:
-        inside = inside | ((F.col(x) == closed_top) & (F.col(hi) == closed_top))
-    keys = [*on, "_bucket"]
-    return tagged.join(spread, keys).filter(inside).drop("_bucket")
+    def inside(position: Column, bottom: Column, top: Column) -> Column:
+        fits = (position >= bottom) & (position < top)
+        return fits if closed_top is None else fits | ((position == closed_top) & (top == closed_top))
+
+    if not on:
+        starts = sorted(r[0] for r in intervals.select(lo).limit(SMALL_AXIS + 1).collect())
+        if len(starts) <= SMALL_AXIS:
+            numbered = intervals.withColumn("_i", fixed_edge_index(starts, F.col(lo)))
+            tagged = points.withColumn("_i", fixed_edge_index(starts, F.col(x)))
+            return tagged.join(F.broadcast(numbered), "_i").filter(
+                inside(F.col(x), F.col(lo), F.col(hi))).drop("_i")
+
+    names = [c for c in intervals.columns if c not in on]
+    stops = intervals.select(*on, F.col(lo).alias("_x"), F.lit(0).alias("_point"), F.struct(*names).alias("_iv"))
+    places = points.select(*on, F.col(x).alias("_x")).distinct().select(
+        *on, "_x", F.lit(1).alias("_point"), F.lit(None).cast(stops.schema["_iv"].dataType).alias("_iv"))
+    marks = stops.unionByName(places)
+    # blocks follow both densities, so neither many points nor many intervals share one
+    cuts = sorted({*value_boundaries(points, x, blocks), *value_boundaries(intervals, lo, blocks)})
+    found = last_value(marks, list(on), ["_x", "_point"], "_iv", "_iv", block=value_blocks(F.col("_x"), cuts))
+    hits = found.filter((F.col("_point") == 1) & inside(F.col("_x"), F.col(f"_iv.{lo}"), F.col(f"_iv.{hi}")))
+    return points.join(hits.select(*on, F.col("_x").alias(x), *[F.col(f"_iv.{c}").alias(c) for c in names]), [*on, x])
+
+
+def intervals_of(edges: DataFrame, edge: str, columns: list[str], on: tuple[str, ...] = (),
+                 width: float = 1 << 16) -> DataFrame:
+    """Half-open intervals ``lo``, ``hi`` between neighbouring edges, with columns of the lower edge."""
+    outputs = {"lo": (edge, 1)} | {f"_c_{c}": (c, 1) for c in columns}
+    pairs = shifted_rows(edges, list(on), [edge], outputs, width=width)
+    return pairs.filter(F.col("lo").isNotNull()).select(
+        *on, "lo", F.col(edge).alias("hi"), *[F.col(f"_c_{c}").alias(c) for c in columns])
 
 
 def edge_table(axis_edges: Column, name: str = "bin") -> Column:

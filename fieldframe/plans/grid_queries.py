@@ -345,14 +345,18 @@ def prj31(spark, sf):
 WITH e AS (SELECT p_retailprice-9e2 AS lo, lead(p_retailprice) OVER (ORDER BY p_retailprice)-9e2 AS hi, p_partkey FROM (SELECT p_retailprice, min(p_partkey) AS p_partkey FROM part GROUP BY 1))
 SELECT v.event_id, e.p_partkey FROM events v JOIN e ON v.value>=e.lo AND v.value<e.hi""")
 def jon6(spark, sf):
-    from pyspark.sql import Window as W
-
-    edges = T.table(spark, sf, "part").groupBy("p_retailprice").agg(F.min("p_partkey").alias("p_partkey"))
-    # the price list is the axis: distinct edges of one grid line
-    w = W.partitionBy(F.lit(0)).orderBy("p_retailprice")
-    intervals = edges.select((F.col("p_retailprice") - 900.0).alias("lo"), (F.lead("p_retailprice").over(w) - 900.0).alias("hi"), "p_partkey")
+    edges = T.table(spark, sf, "part").groupBy((F.col("p_retailprice") - 900.0).alias("edge")).agg(F.min("p_partkey").alias("p_partkey"))
+    intervals = lookup.intervals_of(edges, "edge", ["p_partkey"], width=20.0)
     points = T.table(spark, sf, "events").select("event_id", "value")
-    return lookup.interval_lookup(points, "value", intervals.filter(F.col("hi").isNotNull()), "lo", "hi").select("event_id", "p_partkey")
+    return lookup.interval_lookup(points, "value", intervals, "lo", "hi").select("event_id", "p_partkey")
+
+
+@query("jon6_short_axis", """
+SELECT event_type, CASE WHEN value<5e0 THEN 0 WHEN value<25e0 THEN 1 WHEN value<1e2 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM events WHERE value>=1e0 AND value<1e3 GROUP BY ALL""")
+def jon6_short(spark, sf):
+    bins = spark.createDataFrame([(0, 1.0, 5.0), (1, 5.0, 25.0), (2, 25.0, 100.0), (3, 100.0, 1000.0)], "bin int, lo double, hi double")
+    found = lookup.interval_lookup(T.table(spark, sf, "events").select("event_type", "value"), "value", bins, "lo", "hi")
+    return found.groupBy("event_type", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- units -------------------------------------------------------------------------------------------------

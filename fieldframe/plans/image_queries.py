@@ -77,7 +77,18 @@ def grd10(spark, sf):
     return I.beam_convolve(cube, KEYS, fwhm=3.0).withColumn("value", snap(F.col("value")))
 
 
-@query("grd10_scaled_beam")
+_SIG = f"(3e0*2e10/(freq_hz+2e10)*{D(Q.SIGMA_PER_FWHM)})"
+
+
+@query("grd10_scaled_beam", f"""
+WITH r AS (SELECT freq_idx, off, CASE WHEN abs(off)<=ceil(4e0*{_SIG}) THEN exp(-5e-1*off*off/({_SIG}*{_SIG})) ELSE 0e0 END AS raw FROM (SELECT DISTINCT freq_idx, freq_hz FROM cube) CROSS JOIN (SELECT unnest(range(-6,7)) AS off)),
+k AS (SELECT freq_idx, off, raw/sum(raw) OVER (PARTITION BY freq_idx) AS w FROM r),
+ly AS (SELECT frame, ix, max(iy) AS hi FROM cube GROUP BY ALL), lx AS (SELECT frame, iy, max(ix) AS hi FROM cube GROUP BY ALL),
+a AS (SELECT o.frame, o.freq_idx, o.ix, o.iy, sum(c.value*k.w) AS v FROM cube o JOIN ly l ON l.frame=o.frame AND l.ix=o.ix JOIN k ON k.freq_idx=o.freq_idx
+ JOIN cube c ON c.frame=o.frame AND c.freq_idx=o.freq_idx AND c.ix=o.ix AND c.iy=greatest(least(o.iy+k.off,l.hi),0) GROUP BY ALL),
+z AS (SELECT o.frame, o.freq_idx, o.ix, o.iy, sum(c.v*k.w) AS v FROM a o JOIN lx l ON l.frame=o.frame AND l.iy=o.iy JOIN k ON k.freq_idx=o.freq_idx
+ JOIN a c ON c.frame=o.frame AND c.freq_idx=o.freq_idx AND c.iy=o.iy AND c.ix=greatest(least(o.ix+k.off,l.hi),0) GROUP BY ALL)
+SELECT frame, freq_idx, {S('sum(v)', 5)} AS value FROM z GROUP BY ALL""", ("cube",))
 def grd10_scaled(spark, sf):
     cube = T.cube(spark, sf)
     fwhm = Q.beam_fwhm(3.0, F.col("freq_hz") + 2.0e10, 2.0e10)
@@ -288,7 +299,7 @@ def src17(spark, sf):
     return I.frequency_axis(header, _bands(spark, sf).withColumnRenamed("freq_hz", "freq"), ["frame"], 70)
 
 
-@query("arr1_spectra", f"SELECT frame, iy, ix, list(value ORDER BY freq_idx) AS spectrum FROM cube GROUP BY ALL", ("cube",))
+@query("arr1_spectra", "SELECT frame, iy, ix, list(value ORDER BY freq_idx) AS spectrum FROM (SELECT frame, iy, ix, freq_idx, avg(value) AS value FROM cube GROUP BY ALL) GROUP BY ALL", ("cube",))
 def arr1(spark, sf):
     return I.to_spectra(T.cube(spark, sf), PIXEL)
 

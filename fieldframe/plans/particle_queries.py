@@ -139,10 +139,10 @@ def agg7(spark, sf):
     return edges.select("frame", F.posexplode("edges").alias("k", "e")).select("frame", "k", snap(F.col("e"), 3).alias("edge"))
 
 
-def _fit_sql(keys: str, source: str) -> str:
+def _fit_sql(keys: str, source: str, edges: str = EDGE_LIST) -> str:
     return f"""SELECT {keys} count(y) AS bins, regr_slope(y,x) AS slope, regr_r2(y,x) AS r2, var_pop(y) AS spread FROM
  (SELECT {keys} CASE WHEN w>0 THEN log10(sqrt(lo*hi)) END AS x, CASE WHEN w>0 THEN log10(w/(hi-lo)) END AS y FROM
-  (SELECT {keys} ie, sum(weight) AS w, {EDGE_LIST}[ie+1] AS lo, {EDGE_LIST}[ie+2] AS hi FROM {source} GROUP BY ALL)) GROUP BY ALL"""
+  (SELECT {keys} ie, sum(weight) AS w, {edges}[ie+1] AS lo, {edges}[ie+2] AS hi FROM {source} GROUP BY ALL)) GROUP BY ALL"""
 
 
 _ACCEPT = "coalesce(bins>=4 AND abs(slope)<1e300 AND q>=5e-1 AND -slope BETWEEN 2e0 AND 8e0, false)"

@@ -11,7 +11,7 @@ from fieldframe.operators import catalog as K
 from fieldframe.operators import compare as M
 from fieldframe.operators import fit, memo, quality, runs
 from fieldframe.plans import tables as T
-from fieldframe.plans.particle_queries import _cell_hist, _edged
+from fieldframe.plans.particle_queries import _ACCEPT, _HIST_SQL, _cell_hist, _edged, _fit_sql, _quality
 from fieldframe.plans.registry import query, snap
 from fieldframe.plans.registry import sql_snap as S
 
@@ -109,7 +109,14 @@ def agg31(spark, sf):
     return M.spectra_range(edges)
 
 
-@query("agg33_validation_summary")
+@query("agg33_validation_summary", f"""
+WITH {_HIST_SQL}, g AS (SELECT frame, CASE WHEN {_ACCEPT} THEN -slope ELSE 4e0 END AS gd, q AS gr FROM ({_quality(_fit_sql('frame,', 'h'))})),
+n AS (SELECT frame, count(*) FILTER ({_ACCEPT}) AS accepted FROM ({_quality(_fit_sql('frame, iy, ix,', 'h'))}) GROUP BY frame), {PAIRS},
+m AS (SELECT frame, avg(abs(c-t)) AS mae, sqrt(avg((c-t)*(c-t))) AS rmse, avg(abs({_RELATIVE})) AS rmae, sqrt(avg(({_RELATIVE})*({_RELATIVE}))) AS rrmse, max(t) AS pt, max(c) AS pc FROM pairs GROUP BY frame),
+x AS (SELECT frame, ix, sum(t) AS t, sum(c) AS c FROM pairs GROUP BY ALL), e AS (SELECT frame, sqrt(avg(({_RELATIVE})*({_RELATIVE}))) AS rms FROM x GROUP BY frame)
+SELECT g.frame, coalesce(accepted,0) AS accepted_local_fits, {S('gd', 5)} AS global_power_law_index, {S('gr', 5)} AS global_power_law_r_squared, {S('mae', 5)} AS mae, {S('rmse', 5)} AS rmse, {S('rmae', 5)} AS relative_mae,
+ {S('rrmse', 5)} AS relative_rmse, {S('pt', 5)} AS peak_theory, {S('pc', 5)} AS peak_reconstructed, {S('abs(pc-pt)/pt', 5)} AS peak_relative_error, {S('rms', 5)} AS rms_relative_error
+FROM g JOIN n ON n.frame=g.frame JOIN m ON m.frame=g.frame JOIN e ON e.frame=g.frame""", ("particles", *TC))
 def agg33(spark, sf):
     fits = fit.power_law_map(_edged(_cell_hist(spark, sf)), ["frame"], 12, 16)
     pairs = _pairs(spark, sf)

@@ -15,7 +15,9 @@ from fieldframe.operators import compare, runs
 from fieldframe.plans import emission, sample_files, spectral_fit
 from fieldframe.plans import tables as T
 from fieldframe.plans.grid_queries import X, Y
-from fieldframe.plans.particle_queries import HISTOGRAM_SQL, histogram_rounded
+from fieldframe.functions.radiometry import SIGMA_PER_FWHM
+from fieldframe.plans.particle_queries import _ACCEPT, HISTOGRAM_SQL, _fit_sql, _quality, histogram_rounded
+from fieldframe.plans.registry import number as D
 from fieldframe.plans.registry import query, snap
 from fieldframe.plans.registry import sql_snap as S
 from fieldframe.session import scratch_dir
@@ -167,6 +169,16 @@ def snk12(spark, sf):
     return spark.read.schema("ix int, iy int, bx double, frame int").parquet(path)
 
 
+@query("set3_merge_results", 'SELECT l_returnflag AS "group", count(*) AS n, sum(weight) AS weight FROM (SELECT l_returnflag, floor(l_discount*1e2+5e-1) AS weight FROM lineitem) GROUP BY ALL')
+def set3(spark, sf):
+    path = scratch_dir(spark, "results")
+    weights = T.table(spark, sf, "lineitem").select("l_returnflag", F.floor(F.col("l_discount") * 100.0 + 0.5).cast("double").alias("weight"))
+    for flag in ("A", "N", "R"):
+        IO.write_table(weights.filter(F.col("l_returnflag") == flag).select("weight"), f"{path}/{flag}.res")
+    merged = IO.merge_results(spark, path, "weight double")
+    return merged.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
 # -- streams -------------------------------------------------------------------------------------------------
 
 def _stream(spark, sf, partial) -> DataFrame:
@@ -196,6 +208,8 @@ def str2(spark, sf):
     return out.withColumn("p_avg", snap(F.col("p_avg"), 7))
 
 
+_FIT_LIMIT = "6e0"
+
 # -- whole pipelines -------------------------------------------------------------------------------------------
 
 FREQUENCIES = (1.0, 2.0, 4.0, 8.0)
@@ -244,7 +258,32 @@ def emission_cells(spark, sf):
                         snap(F.col("magnetic_field_gauss"), 5).alias("gauss"))
 
 
-@query("emission_product")
+# The emission chain in SQL: cells, keys, one representative per key, model, image sums.
+_EDGES = [1.0e3 * 2.0 ** k for k in range(10)]
+_EDGE_LIST = "[" + ",".join(D(v) for v in _EDGES) + "]"
+_BIN = "(" + "+".join(f"CAST(e>={D(v)} AS INTEGER)" for v in _EDGES) + "-1)"
+_ROUND = "CAST(round_even(greatest(least({v},1e0),0e0)*7e0,0) AS INTEGER)"
+_EMISSION = f"""{_IN},
+a AS (SELECT *, CAST(least(floor(y/24e0*8e0),7e0) AS INTEGER) AS iy, CAST(least(floor(x/30e0*10e0),9e0) AS INTEGER) AS ix FROM p WHERE status=0 AND e>=1e1 AND x BETWEEN 0e0 AND 3e1 AND y BETWEEN 0e0 AND 24e0),
+w AS (SELECT frame, iy, ix, sum(weight) AS w FROM a GROUP BY ALL),
+h AS (SELECT frame, iy, ix, {_BIN} AS ie, sum(weight) AS weight FROM a WHERE x<3e1 AND y<24e0 AND e>={D(_EDGES[0])} AND e<{D(_EDGES[-1])} GROUP BY ALL),
+g AS (SELECT frame, CASE WHEN {_ACCEPT} THEN -slope ELSE 4e0 END AS gd FROM ({_quality(_fit_sql('frame,', 'h', _EDGE_LIST))})),
+c AS ({_quality(_fit_sql('frame, iy, ix,', 'h', _EDGE_LIST))}),
+b AS (SELECT frame, CAST(least(floor((iy+5e-1)/24e0*8e0),7e0) AS INTEGER) AS iy, CAST(least(floor((ix+5e-1)/30e0*10e0),9e0) AS INTEGER) AS ix, avg(sqrt(bx*bx+by*by+bz*bz)) AS b FROM grid GROUP BY ALL),
+br AS (SELECT frame, min(b) AS lo, max(b) AS hi FROM b GROUP BY frame), wr AS (SELECT frame, max(w) AS top FROM w GROUP BY frame),
+cells AS (SELECT b.frame, b.iy, b.ix, w.w, w.w*3e7/top/1e7 AS n, (5e1+(b.b-lo)/greatest(hi-lo,1e-12)*35e1)/1e2 AS field, (b.b-lo)/greatest(hi-lo,1e-12) AS bn, w.w/top AS nn,
+ CASE WHEN {_ACCEPT} THEN -slope ELSE least(greatest(gd,2e0),8e0) END AS d FROM b JOIN br ON br.frame=b.frame JOIN wr ON wr.frame=b.frame JOIN g ON g.frame=b.frame JOIN w ON w.frame=b.frame AND w.iy=b.iy AND w.ix=b.ix LEFT JOIN c ON c.frame=b.frame AND c.iy=b.iy AND c.ix=b.ix),
+keyed AS (SELECT *, {_ROUND.format(v='nn')} AS k1, {_ROUND.format(v='bn')} AS k2, {_ROUND.format(v='(d-2e0)/6e0')} AS k3 FROM cells),
+reps AS (SELECT frame, k1, k2, k3, arg_min(n, iy*10+ix) AS n, arg_min(field, iy*10+ix) AS field, arg_min(d, iy*10+ix) AS d FROM keyed GROUP BY ALL),
+flux AS (SELECT k.frame, k.iy, k.ix, f.ghz*1e9 AS freq_hz, f.ghz, r.n, r.field, r.d, power(f.ghz,-r.d/4e0) AS fall FROM keyed k JOIN reps r ON r.frame=k.frame AND r.k1=k.k1 AND r.k2=k.k2 AND r.k3=k.k3
+ CROSS JOIN (SELECT unnest([1e0,2e0,4e0,8e0]) AS ghz) f)"""
+
+
+_BEAM = f"exp(((ix-45e-1)*(ix-45e-1)+(iy-35e-1)*(iy-35e-1))*-5e-1/({D(2.0 * SIGMA_PER_FWHM)}*{D(2.0 * SIGMA_PER_FWHM)}))"
+
+
+@query("emission_product", f"""WITH {_EMISSION}, norm AS (SELECT sum({_BEAM}) AS total FROM (SELECT unnest(range(10)) AS ix) CROSS JOIN (SELECT unnest(range(8)) AS iy))
+SELECT frame, freq_hz, {S('sum((n*field+1e-2)*fall*225e-2)', 4)} AS full_image_sfu, {S(f'sum((n*field+1e-2)*fall*225e-2*{_BEAM})/max(total)', 5)} AS beam_center_sfu FROM flux CROSS JOIN norm GROUP BY ALL""", ("event_particles", "grid"))
 def emission_product(spark, sf):
     """Cells and region spectra through a written product (SNK9)."""
     tables = emission.run_emission(*emission_inputs(spark, sf), power_law_source, emission_config())
@@ -254,14 +293,19 @@ def emission_product(spark, sf):
     return roi.select("frame", "freq_hz", snap(F.col("full_image_sfu"), 4).alias("full_image_sfu"), snap(F.col("beam_center_sfu"), 5).alias("beam_center_sfu"))
 
 
-@query("emission_references")
+@query("emission_references", f"""WITH {_EMISSION}
+SELECT frame, freq_hz, {S('sum((n*field+1e-2)*fall*225e-2)', 3)} AS i_flux, {S('sum((1e-9*field+1e-2)*fall*225e-2)', 3)} AS thermal_only, {S('sum((n*field+1e-2)*fall*225e-2*(8e0/8e-5))/1e5', 3)} AS optically_thin_e5,
+ 0e0 AS background_only, {S('sum(((n*field+1e-6*1e-2)-(n*field+1e-2))*fall*225e-2)', 6)} AS razin_impact FROM flux GROUP BY ALL""", ("event_particles", "grid"))
 def emission_references(spark, sf):
     """Reference variants and their differences summed over the image (UDF3)."""
     particles, field = emission_inputs(spark, sf)
     config = emission_config()
     extra = ("thermal_only", "optically_thin_proxy", "background_only", "razin_impact")
     cube = emission.image_cube(emission.cell_table(particles, field, config), emission.reference_spectra(power_law_source), config, extra)
-    return cube.groupBy("frame", "freq_hz").agg(*[snap(F.sum(c), 3).alias(c) for c in ("i_flux", *extra)])
+    sums = cube.groupBy("frame", "freq_hz").agg(*[F.sum(c).alias(c) for c in ("i_flux", *extra)])
+    return sums.select("frame", "freq_hz", snap(F.col("i_flux"), 3).alias("i_flux"), snap(F.col("thermal_only"), 3).alias("thermal_only"),
+                       snap(F.col("optically_thin_proxy") / 1.0e5, 3).alias("optically_thin_e5"), "background_only",
+                       snap(F.col("razin_impact"), 6).alias("razin_impact"))
 
 
 @query("snk5_movie_frames", f"""WITH {_IN}
@@ -273,10 +317,16 @@ def snk5(spark, sf):
     return emission.movie_frames(particles, roi, emission_config(), 2.0e4)
 
 
-@query("spectral_fit_maps")
+@query("spectral_fit_maps", f"""
+WITH a AS (SELECT frame, freq_idx, freq_hz, iy, ix, abs(value) AS v FROM cube),
+r AS (SELECT frame, freq_idx, stddev_pop(v)*1e-1 AS rms FROM a WHERE iy>=2 AND iy<11 AND ix>=2 AND ix<12 GROUP BY ALL),
+e AS (SELECT a.frame, iy, ix, sum(v-rms) AS excess FROM a JOIN r ON r.frame=a.frame AND r.freq_idx=a.freq_idx GROUP BY ALL),
+f AS (SELECT a.frame, a.iy, a.ix, regr_slope(log10(v), log10(freq_hz/1e9)) AS slope, regr_intercept(log10(v), log10(freq_hz/1e9)) AS level FROM a JOIN e ON e.frame=a.frame AND e.iy=a.iy AND e.ix=a.ix
+ WHERE excess>{_FIT_LIMIT} AND v>0 AND freq_idx<40 GROUP BY ALL)
+SELECT p.frame, p.iy, p.ix, {S('coalesce(slope,0e0)')} AS slope, {S('coalesce(level,0e0)')} AS level FROM (SELECT DISTINCT frame, iy, ix FROM a) p LEFT JOIN f ON f.frame=p.frame AND f.iy=p.iy AND f.ix=p.ix""", ("cube",))
 def spectral_fit_maps(spark, sf):
     """Batch fit of the cube: background, mask, fits and maps."""
-    config = spectral_fit.FitConfig(20, 20, 1.0e9, 4.0e10, (0, 20), (0, 20), ((0.1, 0.1), (0.6, 0.55)), 0.1, 0.0)
+    config = spectral_fit.FitConfig(20, 20, 1.0e9, 4.0e10, (0, 20), (0, 20), ((0.1, 0.1), (0.6, 0.55)), 0.1, float(_FIT_LIMIT))
     cube = T.cube(spark, sf).withColumn("value", F.abs("value"))
     maps = spectral_fit.fit_maps(cube, config, ["slope", "level"])
     return maps.select("frame", "iy", "ix", snap(F.col("slope")).alias("slope"), snap(F.col("level")).alias("level"))

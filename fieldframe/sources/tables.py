@@ -76,6 +76,13 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length")
 
 
+def merge_results(spark: SparkSession, path: str, schema: str, format: str = "parquet") -> DataFrame:
+    """Result files below a folder appended to one table, with the file name as ``group`` (SET3)."""
+    rows = spark.read.schema(schema).format(format).option("recursiveFileLookup", True).load(path)
+    group = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), r"\.[^.]*$", "")
+    return rows.withColumn("group", group)
+
+
 # -- sinks ---------------------------------------------------------------------------------------------
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, overwrite: bool = False,

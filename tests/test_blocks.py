@@ -60,18 +60,46 @@ def test_percentiles_without_keys(spark, hot):
     assert row["m"] == pytest.approx(np.percentile([r["v"] for r in hot.collect()], 37))
 
 
-def test_interval_lookup(spark, hot):
+@pytest.mark.parametrize("count", [300, 40])
+def test_interval_lookup(spark, hot, count):
     r = np.random.default_rng(0)
-    edges = sorted(set(r.integers(0, 1000, 300).tolist()))
-    intervals = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, lo double, hi double")
-    got = lookup.interval_lookup(hot.select("id", "v"), "v", intervals, "lo", "hi", closed_top=float(edges[-1]), buckets=16)
+    edges = sorted(set(r.choice(1000, count, replace=False).tolist()))
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if k % 7 != 3]
+    intervals = spark.createDataFrame(rows, "bin int, lo double, hi double")
+    got = lookup.interval_lookup(hot.select("id", "v"), "v", intervals, "lo", "hi", closed_top=float(edges[-1]), blocks=16)
     found = {row["id"]: row["bin"] for row in got.collect()}
+    known = {k for k, _, _ in rows}
     for row in hot.collect():
         v = row["v"]
-        if v < edges[0] or v > edges[-1]:
+        k = min(bisect.bisect_right(edges, v) - 1, len(edges) - 2)
+        if v < edges[0] or v > edges[-1] or k not in known:
             assert row["id"] not in found
         else:
-            assert found[row["id"]] == min(bisect.bisect_right(edges, v) - 1, len(edges) - 2)
+            assert found[row["id"]] == k
+
+
+def test_interval_lookup_by_key(spark, hot):
+    intervals = spark.range(0, 1000, 10).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("lo"), (F.col("id") + 10.0).alias("hi"))
+    got = lookup.interval_lookup(hot.filter("k < 3"), "v", intervals, "lo", "hi", on=("k",), blocks=8).collect()
+    want = [r for r in hot.filter("k < 3").collect() if int(r["v"] // 10 * 10) % 3 == r["k"]]
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in want)
+    assert all(r["lo"] <= r["v"] < r["hi"] for r in got)
+
+
+def test_many_blocks_are_searched(spark):
+    boundaries = [float(v) for v in range(0, 3000, 3)]
+    df = spark.range(0, 3500, 7).select(F.col("id").cast("double").alias("v"))
+    for r in df.select("v", blocks.value_blocks(F.col("v"), boundaries).alias("b")).collect():
+        assert r["b"] == bisect.bisect_right(boundaries, r["v"])
+
+
+def test_last_value(spark, hot):
+    holed = hot.withColumn("v", F.when(F.col("id") % 50 == 7, F.col("v")))
+    w = W.partitionBy("k").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    want = holed.withColumn("v", F.last("v", ignorenulls=True).over(w))
+    for width in (40, 1 << 20):
+        got = blocks.last_value(holed, ["k"], ["id"], "v", "v", width=width).select("id", "k", "v")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
 def test_weighted_pick_is_inverse_cdf(spark):
