@@ -445,7 +445,7 @@ def dq3(spark, sf):
 
 @query("dq3_uniform_edges", """
 WITH a AS (SELECT vec_id, k AS i, CASE WHEN k=30 THEN CAST(embedding[1] AS DOUBLE)*1e-2 ELSE 0e0 END+k*25e-2 AS edge FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS k FROM embeddings))
-SELECT count(*) AS axes, 2*count(*) AS bad FROM a WHERE i=30 AND abs(edge-75e-1)>1e-6""")
+SELECT count(*) AS axes, 2*count(*) AS bad FROM a WHERE i=30 AND abs(edge-75e-1)>1e-11""")
 def dq3_uniform(spark, sf):
     t = T.table(spark, sf, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("e"), F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
     axes = t.select("vec_id", "i", (F.when(F.col("i") == 30, F.col("e") * 0.01).otherwise(0.0) + F.col("i") * 0.25).alias("edge"))
