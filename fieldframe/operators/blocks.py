@@ -18,6 +18,9 @@ from fieldframe.functions.axes import fixed_edge_index
 
 #: Default width of a block in units of an integer order column.
 BLOCK_WIDTH = 1 << 20
+#: Rows aimed at per block of measured values, and the most blocks.
+BLOCK_ROWS = 2_000_000
+MAX_BLOCKS = 8192
 
 _BLOCK = "_block"
 
@@ -27,8 +30,14 @@ def fixed_blocks(order: str, width: int = BLOCK_WIDTH) -> Column:
     return F.floor(F.col(order) / float(width)).cast("long")
 
 
-def value_boundaries(df: DataFrame, value: str, blocks: int) -> list[float]:
-    """At most ``blocks`` approximate quantiles of a column, fetched to the driver."""
+def value_boundaries(df: DataFrame, value: str, blocks: int | None = None) -> list[float]:
+    """Approximate quantiles of a column that cut it into blocks, fetched to the driver.
+
+    Without ``blocks`` the rows are counted and a block gets about ``BLOCK_ROWS`` of them,
+    in at most ``MAX_BLOCKS`` blocks; data that fits one block needs no boundaries.
+    """
+    if blocks is None:
+        blocks = min(MAX_BLOCKS, -(-df.count() // BLOCK_ROWS))
     if blocks <= 1:
         return []
     probabilities = [i / blocks for i in range(1, blocks)]
@@ -154,7 +163,7 @@ def last_value(df: DataFrame, keys: list[str], order: list[str], column: str, ou
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
-                      blocks: int = 64) -> DataFrame:
+                      blocks: int | None = None) -> DataFrame:
     """Exact linearly interpolated percentiles per key, output name -> fraction (AGG23).
 
     Equal values are counted first, the counts are summed along the value inside value

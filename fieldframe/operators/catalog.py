@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldframe.functions import constants as C
@@ -162,9 +161,3 @@ def product_listing(df: DataFrame, suffixes: tuple[str, ...] = (".h5", ".hdf5"),
 def wide_spectrum(rows: DataFrame, freq: str, series: str, value: str, names: list[str]) -> DataFrame:
     """One column per series, in the given order (SNK7)."""
     return rows.groupBy(freq).pivot(series, names).agg(F.first(value)).orderBy(freq)
-
-
-def previous_entry(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Previous entry of a short ordered list such as the bands of a product."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})

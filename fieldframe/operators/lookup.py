@@ -15,7 +15,7 @@ SMALL_AXIS = 64
 
 def interval_lookup(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str,
                     on: tuple[str, ...] = (), closed_top: float | None = None,
-                    blocks: int = 64) -> DataFrame:
+                    blocks: int | None = None) -> DataFrame:
     """Attach the interval with lo <= x < hi to every point (JON6).
 
     Intervals must not overlap inside one ``on`` key. ``closed_top`` names the top edge that
@@ -57,13 +57,6 @@ def intervals_of(edges: DataFrame, edge: str, columns: list[str], on: tuple[str,
         *on, "lo", F.col(edge).alias("hi"), *[F.col(f"_c_{c}").alias(c) for c in columns])
 
 
-def edge_table(axis_edges: Column, name: str = "bin") -> Column:
-    """Array of (bin, lo, hi) structs from an array of edges."""
-    n = F.size(axis_edges) - 1
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        i.alias(name), F.get(axis_edges, i).alias("lo"), F.get(axis_edges, i + 1).alias("hi")))
-
-
 def asof_frame(wanted: DataFrame, available: DataFrame, frame: str = "frame",
                out: str = "field_frame", look_back: int = 1) -> DataFrame:
     """Same frame where present, else the nearest of the ``look_back`` frames before (JON2).

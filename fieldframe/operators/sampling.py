@@ -111,32 +111,24 @@ def point_in_cell(cells: DataFrame, axes: dict[str, Axis], row_id: str,
 # -- splitting --------------------------------------------------------------------------------
 
 def _apply_split(marked: DataFrame, keys: list[str], row_id: str, capacity: int | None,
-                 child_weight: Column, child_id: Column | None, width: int) -> DataFrame:
+                 child_weight: Column, width: int) -> DataFrame:
     """Turn rows marked ``split`` into parent and child within the capacity of each key."""
     split = F.col("outcome") == "split"
-    if capacity is not None or child_id is None:
-        counts = marked.withColumn("_want", split.cast("long"))
-        ranked = running_sum(counts, keys, [row_id], {"_offset": "_want"}, width=width)
-        stored = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_stored"))
-        if keys:
-            ranked = ranked.join(stored, keys)
-        else:
-            ranked = ranked.withColumn("_stored", F.lit(stored.first()["_stored"]))
-        child_index = F.col("_stored") + F.col("_offset") - 1
-        if capacity is not None:
-            fits = child_index < capacity
-            ranked = ranked.withColumn("outcome", F.when(split & ~fits, "skipped_capacity")
-                                       .otherwise(F.col("outcome")))
-        marked = ranked.withColumn("_child_id", child_index)
-    else:
-        marked = marked.withColumn("_child_id", child_id)
+    counts = marked.withColumns({"_want": split.cast("long"), "_one": F.lit(1).cast("long")})
+    ranked = running_sum(counts, keys, [row_id], {"_offset": "_want", "_rank": "_one"}, width=width,
+                         totals={"_stored": "_rank"})
+    child_index = F.col("_stored") + F.col("_offset") - 1
+    if capacity is not None:
+        ranked = ranked.withColumn("outcome", F.when(split & (child_index >= capacity), "skipped_capacity")
+                                   .otherwise(F.col("outcome")))
+    marked = ranked.withColumn("_child_id", child_index)
     doubled = marked.withColumn("is_child", F.explode(
         F.when(split, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     return (doubled
             .withColumn("weight", F.when(split, child_weight).otherwise(F.col("weight")))
             .withColumn("split_level", F.when(split, F.col("split_level") + 1).otherwise(F.col("split_level")))
             .withColumn(row_id, F.when(F.col("is_child"), F.col("_child_id")).otherwise(F.col(row_id)))
-            .drop("_want", "_offset", "_stored", "_child_id"))
+            .drop("_want", "_one", "_offset", "_rank", "_stored", "_child_id"))
 
 
 def split_on_energy_growth(particles: DataFrame, energy: str, keys: list[str], row_id: str = "particle_id",
@@ -162,7 +154,7 @@ def split_on_energy_growth(particles: DataFrame, energy: str, keys: list[str], r
                .otherwise("split"))
     repaired = F.when(active & ~has_base & finite(now) & (now > 0.0), now).otherwise(base)
     marked = particles.withColumn("outcome", outcome).withColumn("initial_kinetic_energy", repaired)
-    return _apply_split(marked, keys, row_id, capacity, half, None, width)
+    return _apply_split(marked, keys, row_id, capacity, half, width)
 
 
 def split_on_momentum(particles: DataFrame, keys: list[str], pmin_split: float, ratio: float, pmax: float,
@@ -173,7 +165,7 @@ def split_on_momentum(particles: DataFrame, keys: list[str], pmin_split: float,
     wanted = ((F.col("status") == C.STATUS_ACTIVE) & (F.col("p") > threshold) & (F.col("p") <= pmax))
     outcome = (F.when(F.col("status") != C.STATUS_ACTIVE, "inactive").when(wanted, "split").otherwise("kept"))
     reset = F.pow(F.lit(0.5), (F.col("split_level") + 1).cast("double"))
-    return _apply_split(particles.withColumn("outcome", outcome), keys, row_id, capacity, reset, None, width)
+    return _apply_split(particles.withColumn("outcome", outcome), keys, row_id, capacity, reset, width)
 
 
 def split_counters(split: DataFrame, keys: list[str]) -> DataFrame:

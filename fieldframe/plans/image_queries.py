@@ -146,7 +146,7 @@ def agg21(spark, sf):
 
 @query("agg23_percentile_limits", f"SELECT frame, freq_idx, {S('quantile_cont(value, 2e-2)', 8)} AS vmin, {S('quantile_cont(value, 995e-3)', 8)} AS vmax FROM cube GROUP BY ALL", ("cube",))
 def agg23(spark, sf):
-    out = I.color_limits(T.cube(spark, sf), KEYS)
+    out = I.color_limits(T.cube(spark, sf), KEYS, blocks=16)
     return out.withColumns({c: snap(F.col(c), 8) for c in ("vmin", "vmax")})
 
 

@@ -15,7 +15,7 @@ from fieldframe.operators import compare, runs
 from fieldframe.plans import emission, sample_files, spectral_fit
 from fieldframe.plans import tables as T
 from fieldframe.plans.grid_queries import X, Y
-from fieldframe.functions.radiometry import SIGMA_PER_FWHM
+from fieldframe.functions.radiometry import SIGMA_PER_FWHM, voxel_volume_cm3
 from fieldframe.plans.particle_queries import _ACCEPT, HISTOGRAM_SQL, _fit_sql, _quality, histogram_rounded
 from fieldframe.plans.registry import number as D
 from fieldframe.plans.registry import query, snap
@@ -259,6 +259,7 @@ def emission_cells(spark, sf):
 
 
 # The emission chain in SQL: cells, keys, one representative per key, model, image sums.
+_VOLUME = voxel_volume_cm3(2.0, 8.0)
 _EDGES = [1.0e3 * 2.0 ** k for k in range(10)]
 _EDGE_LIST = "[" + ",".join(D(v) for v in _EDGES) + "]"
 _BIN = "(" + "+".join(f"CAST(e>={D(v)} AS INTEGER)" for v in _EDGES) + "-1)"
@@ -270,9 +271,10 @@ h AS (SELECT frame, iy, ix, {_BIN} AS ie, sum(weight) AS weight FROM a WHERE x<3
 g AS (SELECT frame, CASE WHEN {_ACCEPT} THEN -slope ELSE 4e0 END AS gd FROM ({_quality(_fit_sql('frame,', 'h', _EDGE_LIST))})),
 c AS ({_quality(_fit_sql('frame, iy, ix,', 'h', _EDGE_LIST))}),
 b AS (SELECT frame, CAST(least(floor((iy+5e-1)/24e0*8e0),7e0) AS INTEGER) AS iy, CAST(least(floor((ix+5e-1)/30e0*10e0),9e0) AS INTEGER) AS ix, avg(sqrt(bx*bx+by*by+bz*bz)) AS b FROM grid GROUP BY ALL),
-br AS (SELECT frame, min(b) AS lo, max(b) AS hi FROM b GROUP BY frame), wr AS (SELECT frame, max(w) AS top FROM w GROUP BY frame),
-cells AS (SELECT b.frame, b.iy, b.ix, w.w, w.w*3e7/top/1e7 AS n, (5e1+(b.b-lo)/greatest(hi-lo,1e-12)*35e1)/1e2 AS field, (b.b-lo)/greatest(hi-lo,1e-12) AS bn, w.w/top AS nn,
- CASE WHEN {_ACCEPT} THEN -slope ELSE least(greatest(gd,2e0),8e0) END AS d FROM b JOIN br ON br.frame=b.frame JOIN wr ON wr.frame=b.frame JOIN g ON g.frame=b.frame JOIN w ON w.frame=b.frame AND w.iy=b.iy AND w.ix=b.ix LEFT JOIN c ON c.frame=b.frame AND c.iy=b.iy AND c.ix=b.ix),
+br AS (SELECT frame, min(b) AS lo, max(b) AS hi FROM b GROUP BY frame), wt AS (SELECT frame, max(w) AS top FROM w GROUP BY frame),
+wd AS (SELECT w.frame, w.iy, w.ix, w.w*({D(3.0e7 * _VOLUME)}/top)/{D(_VOLUME)} AS dens FROM w JOIN wt ON wt.frame=w.frame), wr AS (SELECT frame, max(dens) AS top FROM wd GROUP BY frame),
+cells AS (SELECT b.frame, b.iy, b.ix, w.dens/1e7 AS n, (5e1+(b.b-lo)/greatest(hi-lo,1e-12)*35e1)/1e2 AS field, (b.b-lo)/greatest(hi-lo,1e-12) AS bn, w.dens/top AS nn,
+ CASE WHEN {_ACCEPT} THEN -slope ELSE least(greatest(gd,2e0),8e0) END AS d FROM b JOIN br ON br.frame=b.frame JOIN wr ON wr.frame=b.frame JOIN g ON g.frame=b.frame JOIN wd w ON w.frame=b.frame AND w.iy=b.iy AND w.ix=b.ix LEFT JOIN c ON c.frame=b.frame AND c.iy=b.iy AND c.ix=b.ix),
 keyed AS (SELECT *, {_ROUND.format(v='nn')} AS k1, {_ROUND.format(v='bn')} AS k2, {_ROUND.format(v='(d-2e0)/6e0')} AS k3 FROM cells),
 reps AS (SELECT frame, k1, k2, k3, arg_min(n, iy*10+ix) AS n, arg_min(field, iy*10+ix) AS field, arg_min(d, iy*10+ix) AS d FROM keyed GROUP BY ALL),
 flux AS (SELECT k.frame, k.iy, k.ix, f.ghz*1e9 AS freq_hz, f.ghz, r.n, r.field, r.d, power(f.ghz,-r.d/4e0) AS fall FROM keyed k JOIN reps r ON r.frame=k.frame AND r.k1=k.k1 AND r.k2=k.k2 AND r.k3=k.k3

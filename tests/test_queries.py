@@ -28,7 +28,7 @@ def test_query(spark, con, name):
     assert got.num_rows > 0 or name in SQL
     if name not in SQL:
         return
-    want = con.execute(SQL[name]).to_arrow_table()
+    want = con.sql(SQL[name]).to_arrow_table()
     columns = sorted(got.column_names)
     assert columns == sorted(want.column_names)
     assert [kind(got.schema.field(c).type) for c in columns] == [kind(want.schema.field(c).type) for c in columns]

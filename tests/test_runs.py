@@ -159,3 +159,24 @@ def test_stream_resumes_without_repeating(spark, tmp_path):
     assert run() == {0: 100, 1: 200}
     hist = ST.merged_histogram(ST.histogram_partial()(spark.read.parquet(f"{tmp_path}/in/*")))
     assert hist.count() == 256
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from fieldframe.operators import binning
+    from fieldframe.functions.axes import Axis
+    from fieldframe.sources import tables as IO
+
+    df = spark.range(100).select((F.col("id") % 3).cast("int").alias("frame"), (F.col("id") % 2).cast("int").alias("status"),
+                                 F.lit(1.0).alias("p"), F.lit(2.0).alias("x"), F.lit(3.0).alias("y"), F.lit(1.0).alias("weight"),
+                                 F.lit(9.0).alias("energy_ev"), F.lit(0.5).alias("mu"))
+    IO.write_particles(df, f"{tmp_path}/p")
+    stored = spark.read.schema(df.schema).parquet(f"{tmp_path}/p").filter("frame = 1")
+    active = stored.filter(P.active_above(F.col("status"), F.col("energy_ev"), 1.0))
+    out = binning.deposit(active, Axis.uniform(0, 4, 4), Axis.uniform(0, 4, 4))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(frame" in scan and "EqualTo(status,0)" in scan
+    assert "GreaterThanOrEqual(energy_ev,1.0)" in scan and "GreaterThanOrEqual(x,0.0)" in scan
+    assert "mu" not in scan.split("ReadSchema:")[1] and "p:double" not in scan.split("ReadSchema:")[1]
+    assert plan.count("Exchange hashpartitioning") == 1
