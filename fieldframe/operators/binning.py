@@ -11,6 +11,7 @@ from fieldframe.functions import constants as C
 from fieldframe.functions.axes import Axis, edge_index, fixed_edge_index, log_edge_index, log_edges
 from fieldframe.functions.kinematics import transport_energy_kev
 from fieldframe.functions.numeric import finite_positive
+from fieldframe.session import materialize
 
 
 def densify(df: DataFrame, groups: DataFrame, keys: list[str], cells: dict[str, int],
@@ -123,7 +124,8 @@ def cell_energy_histogram(particles: DataFrame, x_axis: Axis, y_axis: Axis, edge
         known, raw = particles, fixed_edge_index(edges, e)
         bottom, top, last = F.lit(float(edges[0])), F.lit(float(edges[-1])), F.lit(len(edges) - 2)
     else:
-        known = particles.join(edges, list(keys))
+        # one row per key: written first, so that Catalyst need not shuffle the particles
+        known = particles.join(materialize(edges, "energy-edges"), list(keys))
         raw = log_edge_index(F.col("edges"), e) if log_spaced else edge_index(F.col("edges"), e)
         bottom, top, last = F.get("edges", F.lit(0)), F.element_at("edges", -1), F.size("edges") - 2
     # rows are filtered by plain comparisons, so that the bin expressions are evaluated once

@@ -126,22 +126,21 @@ def flatten_json(df: DataFrame, keys: list[str], column: str, depth: int = 3,
     """Leaves of a JSON object as (keys, path, value), keys joined by '/' (JSN1, JSN2).
 
     Unrolled to ``depth`` levels of nested objects; anything deeper stays a JSON text. Keys
-    may contain dots. Only objects are opened: arrays and texts are leaves.
+    may contain dots. Only objects are opened: arrays and texts are leaves, empty objects
+    have none. Every level opens in place, so the documents are read and parsed once.
     """
-    level = df.select(*keys, F.lit("").alias("_path"), F.parse_json(column).alias("_v"))
-    done = None
-    for step in range(depth):
-        spark = df.sparkSession
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).select(
-            F.col("key").alias("_key"), F.col("value").alias("_child")))
-        path = F.when(F.col("_path") == "", F.col("_key")).otherwise(F.concat_ws("/", "_path", "_key"))
-        children = opened.select(*keys, path.alias("_path"), F.col("_child").alias("_v"))
-        is_object = F.schema_of_variant("_v").startswith("OBJECT")
-        leaves = children.filter(~is_object if step < depth - 1 else F.lit(True))
-        done = leaves if done is None else done.unionAll(leaves)
-        level = children.filter(is_object)
+    spark = df.sparkSession
+    rows = df.select(*keys, F.lit(None).cast("string").alias("_path"), F.parse_json(column).alias("_v"))
+    for _ in range(depth):
+        staged = rows.withColumn("_object", F.schema_of_variant("_v").startswith("OBJECT"))
+        children = spark.tvf.variant_explode_outer(F.when(F.col("_object").outer(), F.col("_v").outer()))
+        opened = staged.lateralJoin(children.select(F.col("key").alias("_key"), F.col("value").alias("_child")))
+        named = opened.filter(F.col("_key").isNotNull() | ~F.coalesce("_object", F.lit(False)))
+        rows = named.select(*keys, F.concat_ws("/", "_path", "_key").alias("_path"),
+                            F.when(F.col("_key").isNotNull(), F.col("_child")).otherwise(F.col("_v")).alias("_v"))
+        rows = rows.withColumn("_path", F.when(F.col("_path") != "", F.col("_path")))
     text = F.when(~F.is_variant_null("_v"), F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v")))
-    return done.select(*keys, F.col("_path").alias(name), text.alias("value"))
+    return rows.filter(F.col("_path").isNotNull()).select(*keys, F.col("_path").alias(name), text.alias("value"))
 
 
 def product_listing(df: DataFrame, suffixes: tuple[str, ...] = (".h5", ".hdf5"), include: tuple[str, ...] = (),

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from fieldframe.functions import constants as C
 from fieldframe.functions.axes import Axis
 from fieldframe.functions.geometry import lame, jacobian
-from fieldframe.functions.numeric import finite, finite_positive, safe_ratio
+from fieldframe.functions.numeric import finite, finite_positive
+from fieldframe.session import materialize
 
 DIMS = ("ix", "iy", "iz")
 
@@ -270,12 +271,14 @@ def _blend(column: str, weights: list[Column]) -> Column:
 
 def multilinear_sample(points: DataFrame, field: DataFrame, axes: dict[str, Axis],
                        coordinates: dict[str, str], columns: list[str], keys: list[str],
-                       boundary: str = "wrap", shift: float = 0.0) -> DataFrame:
+                       boundary: str = "wrap", shift: float = 0.0, stage: bool = False) -> DataFrame:
     """Sample field columns at point positions (JON4).
 
     ``boundary`` is ``inside`` (points outside are dropped), ``wrap`` (periodic axes wrap,
     others must be inside) or ``clamp``. ``shift`` moves the position by that many cells.
-    One equi-join on (keys, lower cell) per point; results are ``s_<column>``.
+    One equi-join on (keys, lower cell) per point; results are ``s_<column>``. With ``stage``
+    the corner table is written first: Catalyst then knows its size and does not shuffle the
+    points when it can be broadcast.
     """
     staged, usable = {}, F.lit(True)
     for dim, axis in axes.items():
@@ -293,6 +296,8 @@ def multilinear_sample(points: DataFrame, field: DataFrame, axes: dict[str, Axis
     placed = points.filter(usable).withColumns(staged)
     placed = placed.withColumns({dim: F.floor(f"_t_{dim}").cast("int") for dim in axes})
     corners = corner_table(field, axes, columns, keys)
+    if stage:
+        corners = materialize(corners, "corners")
     joined = placed.join(corners, [*keys, *axes])
     weights = [F.col(f"_t_{d}") - F.col(d) for d in axes]
     samples = [_blend(c, weights).alias(f"s_{c}") for c in columns]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldframe.functions.axes import fixed_edge_index
 from fieldframe.operators.blocks import last_value, shifted_rows, value_blocks, value_boundaries
+from fieldframe.session import materialize
 
 
 #: Up to this many intervals are looked up by a search written into the expression.
@@ -61,14 +62,14 @@ def asof_frame(wanted: DataFrame, available: DataFrame, frame: str = "frame",
                out: str = "field_frame", look_back: int = 1) -> DataFrame:
     """Same frame where present, else the nearest of the ``look_back`` frames before (JON2).
 
-    Every available frame offers itself to the frames it may serve, the latest offer per
-    frame wins in one small aggregate, and the rows join on the frame. Rows without an
-    offer keep NULL.
+    Every available frame offers itself to the frames it may serve and the latest offer per
+    frame wins. The offers, a few rows per frame, are written first: from their size Catalyst
+    knows that the rows need no shuffle. Rows without an offer keep NULL.
     """
     offers = (available.select(F.col(frame).alias(out)).distinct()
               .withColumn(frame, F.explode(F.sequence(F.col(out), F.col(out) + look_back)))
               .groupBy(frame).agg(F.max(out).alias(out)))
-    return wanted.join(offers, frame, "left")
+    return wanted.join(materialize(offers, "frame-offers"), frame, "left")
 
 
 def cell_lookup(points: DataFrame, field: DataFrame, axes: dict, coordinates: dict[str, str],

@@ -81,7 +81,8 @@ def particle_maps(particles: DataFrame, config: EmissionConfig) -> tuple[DataFra
         energy_bin = F.when((e >= fixed[0]) & (e < fixed[-1]), fixed_edge_index(fixed, e))
         edges = F.array(*[F.lit(v) for v in fixed])
     else:
-        active = active.join(binning.energy_edges(particles, config.energy_bins), "frame")
+        edges_by_frame = materialize(binning.energy_edges(particles, config.energy_bins), "energy-edges")
+        active = active.join(edges_by_frame, "frame")
         edges = F.col("edges")
         inside = (e >= F.get(edges, F.lit(0))) & (e < F.element_at(edges, -1))
         energy_bin = F.when(inside, log_edge_index(edges, e))

@@ -51,6 +51,8 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several results need to the scratch folder and read it back.
 
     Unlike a cache the files survive the loss of executors, and the plan behind them is cut.
+    Catalyst also knows their size: a small table is broadcast from the start, where a derived
+    one would first have the other side of the join shuffled.
     """
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)

@@ -83,6 +83,16 @@ def test_linear_field_is_sampled_exactly(spark):
         assert r["s_v"] == pytest.approx(2 * r["px"] - 3 * r["py"] + 1)
 
 
+def test_staged_corners_leave_the_points_in_place(spark):
+    axes = {"ix": X, "iy": Axis.uniform(0.0, 2.0, 6)}
+    f = field(spark, axes, v=lambda x, y: x * 2.0 - y * 3.0)
+    points = spark.range(50).select(F.lit(0).alias("frame"), (F.col("id") / 50.0 + 1.5).alias("px"), F.lit(1.0).alias("py"))
+    args = (f, axes, {"ix": "px", "iy": "py"}, ["v"], ["frame"], "inside")
+    staged = grid.multilinear_sample(points, *args, stage=True)
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, grid.multilinear_sample(points, *args).collect()))
+    assert "Exchange hashpartitioning" not in staged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sampling_boundaries(spark):
     axes = {"ix": Axis.uniform(0.0, 4.0, 4, periodic=True), "iy": Axis.uniform(0.0, 2.0, 2)}
     f = field(spark, axes, v=lambda x, y: x)

@@ -107,6 +107,10 @@ def test_flatten_opens_only_objects(spark):
     df = spark.createDataFrame([(1, text)], "id int, j string")
     got = {r["metric"]: r["value"] for r in catalog.flatten_json(df, ["id"], "j", depth=3).collect()}
     assert got == {"a.b/c/d": "1", "a.b/c/e": '{"f":2}', "t": "{x", "l": "[1,2]", "n": None, "v": "1.5"}
+    more = spark.createDataFrame([(1, '{"a": {}, "b": {"c": {}}}'), (2, "{}"), (3, None), (4, '{"x": {"y": true}}')], "id int, j string")
+    flat = catalog.flatten_json(more, ["id"], "j", depth=3)
+    assert [tuple(r) for r in flat.collect()] == [(4, "x/y", "true")]
+    assert flat._jdf.queryExecution().executedPlan().toString().count("parse_json") <= 2
 
 
 def test_nearest_frequency_tolerance(spark):
