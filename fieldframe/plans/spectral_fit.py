@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldframe.functions.radiometry import flux_uncertainty
 from fieldframe.operators import fit, image
+from fieldframe.session import materialize
 
 PIXEL = ["frame", "iy", "ix"]
 
@@ -31,7 +32,8 @@ class FitConfig:
 def observed_spectra(cube: DataFrame, config: FitConfig) -> DataFrame:
     """Selected pixels as (frame, iy, ix, freq, obs, err) inside the fitted band range."""
     freq_keys = ["frame", "freq_hz"]
-    rms = image.background_rms(cube, freq_keys, config.ny, config.nx, config.box, config.rms_factor)
+    # one number per frame and band, used twice and small enough to leave the cube in place
+    rms = materialize(image.background_rms(cube, freq_keys, config.ny, config.nx, config.box, config.rms_factor), "rms")
     excess = image.integrated_excess(cube, rms, freq_keys, PIXEL)
     mask = image.selection_mask(excess, config.threshold_sfu, config.x_range, config.y_range)
     chosen = mask.filter(~F.col("masked")).select(*PIXEL)
