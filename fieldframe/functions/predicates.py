@@ -12,10 +12,10 @@ from fieldframe.functions import constants as C
 
 
 def active_above(status: Column, energy_ev: Column, minimum_ev: float = 0.0) -> Column:
-    """Active particles at or above an energy (FLT1)."""
+    """Active particles at or above an energy (FLT1); NaN energies never pass."""
     if not math.isfinite(minimum_ev) or minimum_ev < 0.0:
         raise ValueError("the minimum energy must be finite and non-negative")
-    return (status == C.STATUS_ACTIVE) & (energy_ev >= float(minimum_ev))
+    return (status == C.STATUS_ACTIVE) & (energy_ev >= float(minimum_ev)) & ~F.isnan(energy_ev)
 
 
 def in_region(bounds: dict[str, tuple[float, float]]) -> Column:
@@ -28,13 +28,14 @@ def in_region(bounds: dict[str, tuple[float, float]]) -> Column:
     return condition
 
 
-#: Threshold comparisons by name (FLT4).
+#: Threshold comparisons by name (FLT4). Spark sorts NaN above all numbers, so the upward
+#: tests exclude it.
 COMPARISONS: dict[str, Callable[[Column, float], Column]] = {
-    "greater": lambda v, t: v > t,
-    "greater_equal": lambda v, t: v >= t,
+    "greater": lambda v, t: (v > t) & ~F.isnan(v),
+    "greater_equal": lambda v, t: (v >= t) & ~F.isnan(v),
     "less": lambda v, t: v < t,
     "less_equal": lambda v, t: v <= t,
-    "abs_greater": lambda v, t: F.abs(v) > t,
+    "abs_greater": lambda v, t: (F.abs(v) > t) & ~F.isnan(v),
     "abs_less": lambda v, t: F.abs(v) < t,
 }
 

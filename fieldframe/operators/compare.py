@@ -153,10 +153,11 @@ def movie_index(particles: DataFrame, threshold_ev: float, keys: list[str], spec
     ``particles`` is already limited to active rows inside the image.
     """
     below = F.col("energy_ev") < threshold_ev
+    above = ~below & ~F.isnan("energy_ev")
     out = particles.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("particle_count"), F.sum("weight").alias("active_weight"),
         F.sum(F.when(below, F.col("weight")).otherwise(0.0)).alias("below_threshold_weight"),
-        F.sum(F.when(below, 0.0).otherwise(F.col("weight"))).alias("above_threshold_weight"))
+        F.sum(F.when(above, F.col("weight")).otherwise(0.0)).alias("above_threshold_weight"))
     if spectra is None:
         return out
     peaks = spectra.groupBy(*keys).agg(F.max("value").alias("spectrum_peak_sfu"))

@@ -163,14 +163,14 @@ def src15(spark, sf):
     return parsed.groupBy("frame", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set6_missing_frames", "SELECT DISTINCT frame FROM event_particles WHERE frame NOT IN (SELECT frame FROM event_particles WHERE user_id % 13 = 5 AND p < 4e-1)", ("event_particles",))
+@query("set6_missing_frames", "SELECT DISTINCT frame FROM event_particles WHERE frame NOT IN (SELECT frame FROM event_particles WHERE p > 25e0)", ("event_particles",))
 def set6(spark, sf):
     p = T.event_particles(spark, sf)
-    return runs.missing_frames(p, p.filter((F.col("user_id") % 13 == 5) & (F.col("p") < 0.4)))
+    return runs.missing_frames(p, p.filter(F.col("p") > 25.0))
 
 
 @query("jon1_frame_inputs", """
-WITH f AS (SELECT frame, min(particle_id) AS a FROM event_particles GROUP BY frame), b AS (SELECT frame, max(particle_id) AS b FROM event_particles WHERE frame % 2=0 GROUP BY frame)
+WITH f AS (SELECT frame, min(particle_id) AS a FROM event_particles GROUP BY frame), b AS (SELECT frame, max(particle_id) AS b FROM event_particles WHERE p > 25e0 GROUP BY frame)
 SELECT f.frame, 'field' || a AS field_path, 'part' || a AS particle_path, 'bg' || b AS background_path FROM f LEFT JOIN b ON b.frame=f.frame""", ("event_particles",))
 def jon1(spark, sf):
     p = T.event_particles(spark, sf)
@@ -179,7 +179,7 @@ def jon1(spark, sf):
     def paths(df: DataFrame, prefix: str) -> DataFrame:
         return df.select("frame", F.concat(F.lit(prefix), F.col("k").cast("string")).alias("path"))
 
-    last = p.filter(F.col("frame") % 2 == 0).groupBy("frame").agg(F.max("particle_id").alias("k"))
+    last = p.filter(F.col("p") > 25.0).groupBy("frame").agg(F.max("particle_id").alias("k"))
     return runs.frame_inputs(first.select("frame"), paths(first, "field"), paths(first, "part"), paths(last, "bg"))
 
 
@@ -198,11 +198,11 @@ def srt3(spark, sf):
 
 
 @query("srt5_missing_preview", """
-WITH i AS (SELECT frame, max(CASE WHEN p<4e-1 AND user_id % 13=5 THEN particle_id END) AS a, max(CASE WHEN p>2e1 THEN particle_id END) AS b FROM event_particles GROUP BY frame)
+WITH i AS (SELECT frame, max(CASE WHEN p>25e0 THEN particle_id END) AS a, max(CASE WHEN p>2e1 THEN particle_id END) AS b FROM event_particles GROUP BY frame)
 SELECT frame, 'a' AS input FROM i WHERE a IS NULL UNION ALL SELECT frame, 'b' FROM i WHERE b IS NULL ORDER BY frame, input LIMIT 20""", ("event_particles",))
 def srt5(spark, sf):
     p = T.event_particles(spark, sf)
-    inputs = p.groupBy("frame").agg(F.max(F.when((F.col("p") < 0.4) & (F.col("user_id") % 13 == 5), F.col("particle_id"))).alias("a"),
+    inputs = p.groupBy("frame").agg(F.max(F.when(F.col("p") > 25.0, F.col("particle_id"))).alias("a"),
                                     F.max(F.when(F.col("p") > 20.0, F.col("particle_id"))).alias("b"))
     return runs.missing_inputs(inputs, ["a", "b"]).orderBy("frame", "input").limit(20)
 
@@ -359,7 +359,7 @@ def prj36(spark, sf):
     return T.catalog(spark, sf).select("product", "path", kind.alias("kind"))
 
 
-@query("src18_frequency_path", "SELECT product, min(path) AS frequency_path FROM catalog WHERE lower(path) LIKE '%freq%' AND len(shape)=1 AND shape[1]>1 AND positive GROUP BY product", ("catalog",))
+@query("src18_frequency_path", "SELECT product, coalesce(min(path) FILTER (suffix(path,'freq_hz')), min(path)) AS frequency_path FROM catalog WHERE lower(path) LIKE '%freq%' AND len(shape)=1 AND shape[1]>1 AND positive GROUP BY product", ("catalog",))
 def src18(spark, sf):
     return K.frequency_path(T.catalog(spark, sf), ["product"])
 

@@ -151,9 +151,9 @@ def win1(spark, sf):
 
 
 @query("jon2_asof_prev", """
-WITH a AS (SELECT DISTINCT frame FROM event_particles WHERE frame % 3 <> 0 AND frame % 7 <> 1)
+WITH a AS (SELECT DISTINCT frame FROM event_particles WHERE p>22e0)
 SELECT p.frame, count(*) AS n, max(coalesce(s.frame, b.frame)) AS field_frame FROM event_particles p LEFT JOIN a s ON s.frame=p.frame LEFT JOIN a b ON b.frame=p.frame-1 GROUP BY p.frame""", ("event_particles",))
 def jon2(spark, sf):
     p = T.event_particles(spark, sf)
-    available = p.filter((F.col("frame") % 3 != 0) & (F.col("frame") % 7 != 1))
+    available = p.filter(F.col("p") > 22.0)
     return lookup.asof_frame(p, available).groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.max("field_frame").alias("field_frame"))

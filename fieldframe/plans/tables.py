@@ -164,7 +164,7 @@ def candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cell_sum(table(spark, sf_dir, "lineitem"), "l_shipdate", "l_partkey", "l_extendedprice")
 
 
-# Product catalog from part: 48 paths per product, some missing.
+# Product catalog from part: 48 paths per product, some of them under an older name.
 _PREFIXES = ("truth", "reconstruction", "image/full", "image/beam", "references/thermal_only", "diagnostics/razin_impact")
 _LEAVES = ("I_flux_sfu", "V_flux_sfu", "I_specific", "V_specific", "linear_flux_sfu", "nonthermal_density_cm3",
            "freq_hz", "power_law_index")
@@ -176,15 +176,15 @@ def _list(values: tuple[str, ...]) -> str:
 
 VIEWS["catalog"] = f"""
 SELECT p_partkey // 48 AS product, {_list(_PREFIXES)}[CAST(p_partkey % 48 // 8 + 1 AS INTEGER)] || '/' ||
- {_list(_LEAVES)}[CAST(p_partkey % 8 + 1 AS INTEGER)] AS path, p_retailprice - 900e0 AS value,
+ {_list(_LEAVES)}[CAST(p_partkey % 8 + 1 AS INTEGER)] || CASE WHEN p_size % 7 = 0 THEN '_old' ELSE '' END AS path, p_retailprice - 900e0 AS value,
  CASE p_partkey % 8 WHEN 5 THEN [p_size, p_size+1] WHEN 6 THEN [p_size % 3 + 1] WHEN 7 THEN CASE WHEN p_size % 2 = 0 THEN [1] ELSE [] END
   ELSE CASE WHEN p_size % 2 = 0 THEN [18, p_size, p_size] ELSE [18] END END AS shape,
  p_size % 5 <> 0 AS positive, p_size % 13 = 0 AS is_text
-FROM part WHERE p_size % 7 <> 0"""
+FROM part"""
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "part").filter(F.col("p_size") % 7 != 0)
+    t = table(spark, sf_dir, "part")
     key, size = F.col("p_partkey"), F.col("p_size")
     prefix = F.get(F.array(*[F.lit(v) for v in _PREFIXES]), ((key % 48) / 8).cast("int"))
     name = F.get(F.array(*[F.lit(v) for v in _LEAVES]), (key % 8).cast("int"))
@@ -193,6 +193,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = (F.when(key % 8 == 5, F.array(size, size + 1)).when(key % 8 == 6, F.array(size % 3 + 1))
              .when(key % 8 == 7, F.when(even, F.array(F.lit(1))).otherwise(none))
              .otherwise(F.when(even, F.array(F.lit(18), size, size)).otherwise(F.array(F.lit(18)))))
-    return t.select((key / 48).cast("long").alias("product"), F.concat(prefix, F.lit("/"), name).alias("path"),
+    return t.select((key / 48).cast("long").alias("product"), F.concat(prefix, F.lit("/"), name, F.when(size % 7 == 0, "_old").otherwise("")).alias("path"),
                     (F.col("p_retailprice") - 900.0).alias("value"), shape.alias("shape"),
                     (size % 5 != 0).alias("positive"), (size % 13 == 0).alias("is_text"))
