@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from fieldframe.llm import exact_dedup
+from fieldframe.llm import exact_dedup, reply_trees
 from fieldframe.llm.common import LOWER, UPPER, read
 from fieldframe.llm.queries import register
 
@@ -17,3 +18,36 @@ from fieldframe.llm.queries import register
     FROM d""")
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, sf_dir, "documents"))
+
+
+@register("op2_reply_trees", r"""
+    WITH m AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[\\#<]')) AS t_len,
+                 length(role) + len(regexp_extract_all(role, '[\\#<:]')) AS r_len FROM m)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(t_len + r_len + 14) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id""")
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is a tree whose turns reply to the turn before; all its paths (one) are formatted."""
+    told = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], told.schema)
+    in_turn = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    messages = told.unionByName(probe).select(
+        F.col("conv_id").alias("tree"), F.row_number().over(in_turn).cast("long").alias("node"),
+        (F.row_number().over(in_turn) - 1).cast("long").alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    read_back = (reply_trees.format_trees(messages)
+                 .select("tree", F.length("formatted").cast("long").alias("formatted_chars"),
+                         reply_trees.read_turns(F.col("formatted")).alias("turns"),
+                         reply_trees.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")))
+    spelled = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read_back.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spelled, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
