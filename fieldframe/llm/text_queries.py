@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm import exact_dedup, reply_trees
+from fieldframe.llm import exact_dedup, fingerprints, reply_trees, sentencepieces
 from fieldframe.llm.common import LOWER, UPPER, read
 from fieldframe.llm.queries import register
 
@@ -51,3 +52,17 @@ def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(spelled, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@register("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(read(spark, sf_dir, "documents"))
+
+
+@register("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
