@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm import exact_dedup, fingerprints, reply_trees, sentencepieces
+from fieldframe.llm import exact_dedup, fingerprints, partenum, reply_trees, sentencepieces
 from fieldframe.llm.common import LOWER, UPPER, read
 from fieldframe.llm.queries import register
 
@@ -66,3 +66,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(read(spark, sf_dir, "documents"), join=partenum.Join(width=3, under=90, over=100))
