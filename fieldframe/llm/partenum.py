@@ -2,12 +2,13 @@
 
 Sets of word shingles are put into bands of nearly equal size, in which a Jaccard similarity becomes a bound k on the
 number of elements by which two sets differ. The domain of shingles is cut into ``n1`` parts, so that in some of
-them similar sets differ by one element at most, and each of these into ``SECOND`` parts: the sets then agree on all
+them similar sets differ by one element at most, and each of these into ``second`` parts: the sets then agree on all
 but one of those. Every subset that leaves one out gives a signature, and sets that are similar enough share one.
 
 Documents with equal sets form one class from the start. Within a bucket of one signature no pairs are spelled out:
 every member is compared with one centre, and only where that leaves a bucket in several components its members are
-compared across them. Pairs are sifted by a bit sketch whose distance never exceeds that of the sets, then by the sets.
+compared across them, in blocks of bit sketches. The distance of two sketches never exceeds that of the sets, so only
+pairs that it lets pass become rows, and those are decided by the sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from fieldframe.llm.common import small, staged
 
-SECOND = 3
+#: Members of one bucket that are compared as one block.
+BLOCK = 2048
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -115,6 +117,7 @@ class Band:
     parts: int      # n1
     spare: int      # at least 1 + spare first-level parts of similar sets differ by one element at most
     bits: int       # of the sketch
+    second: int     # n2
 
 
 @dataclass(frozen=True)
@@ -123,12 +126,10 @@ class Join:
     width: int = 5
     under: int = 80
     over: int = 100
+    second: int = 3
 
     def bands(self) -> list[Band]:
-        return _bands(self.under, self.over)
-
-    def distance(self, sizes: int) -> int:
-        return (self.over - self.under) * sizes // (self.over + self.under)
+        return _bands(self.under, self.over, self.second)
 
     def of(self, n: int) -> list[Band]:
         """The bands in which a set of ``n`` elements meets others: its own, and the next if a partner can be there."""
@@ -139,17 +140,17 @@ class Join:
 
 
 @lru_cache(maxsize=4)
-def _bands(under: int, over: int) -> list[Band]:
+def _bands(under: int, over: int, second: int) -> list[Band]:
     found, least = [], 1
     while least < 1 << 40:
         most = max(least, -(-least * over // under) - 1)
         k = (over - under) * 2 * most // (over + under)
         parts = k // 2 + 1
         smallest = max(1, least * under // over)
-        empty = parts * SECOND * math.exp(-smallest * (SECOND - 1) / SECOND / parts)
+        empty = parts * second * math.exp(-smallest * (second - 1) / second / parts)
         spare = 0 if k == 0 else math.ceil(empty + 3 * math.sqrt(empty))
         bits = 1 << max(6, (4 * k).bit_length())
-        found.append(Band(len(found), least, most, k, parts + spare, spare, bits))
+        found.append(Band(len(found), least, most, k, parts + spare, spare, bits, second))
         least = most + 1
     return found
 
@@ -163,15 +164,16 @@ def signatures(elements: np.ndarray, band: Band) -> np.ndarray:
     values = mix(elements ^ _U(0xD6E8FEB86659FD93))
     if band.distance == 0:
         return mix(values.sum(dtype=_U, keepdims=True) + _U(band.number + 1))
-    slots = band.parts * SECOND
-    place = ((elements >> _U(32)) % _U(band.parts)).astype(np.int64) * SECOND + ((elements & _U(0xFFFFFFFF)) % _U(SECOND)).astype(np.int64)
+    second = band.second
+    slots = band.parts * second
+    place = ((elements >> _U(32)) % _U(band.parts)).astype(np.int64) * second + ((elements & _U(0xFFFFFFFF)) % _U(second)).astype(np.int64)
     sums = np.zeros(slots, _U)
     np.add.at(sums, place, values)
     counts = np.bincount(place, minlength=slots)
-    sums, counts = sums.reshape(-1, SECOND), counts.reshape(-1, SECOND)
+    sums, counts = sums.reshape(-1, second), counts.reshape(-1, second)
     left = sums.sum(axis=1, dtype=_U, keepdims=True) - sums
     filled = counts.sum(axis=1, keepdims=True) - counts > 0
-    tags = mix(np.arange(slots, dtype=_U) + (_U(band.number + 1) << _U(32))).reshape(-1, SECOND)
+    tags = mix(np.arange(slots, dtype=_U) + (_U(band.number + 1) << _U(32))).reshape(-1, second)
     marked = mix(left + tags)
     regular = int((~filled.all(axis=1)).sum()) <= band.spare
     return marked[filled] if regular else marked.ravel()
@@ -237,6 +239,52 @@ def _detailed(join: Join):
     return run
 
 
+def _across(join: Join):
+    """Pairs of one block that lie in different components and are near by size and sketch."""
+    def near(group: list[tuple]) -> list[tuple[int, int]]:
+        top = max(g[3] for g in group)
+        ids, sizes, comps = (np.array([g[i] for g in group]) for i in (0, 1, 2))
+        drawn = np.stack([np.asarray(g[4] if g[3] == top else g[5], np.int64).view(np.uint64) for g in group])
+        halves = np.array([g[6] for g in group])
+        found = []
+        for i in range(len(group) - 1):
+            # in a block of two halves only pairs between them are new
+            rest = slice(i + 1, None)
+            fit = (comps[rest] != comps[i]) & ((halves[rest] != halves[i]) | (halves[i] < 0))
+            fit &= np.minimum(sizes[rest], sizes[i]) * join.over >= np.maximum(sizes[rest], sizes[i]) * join.under
+            at = np.flatnonzero(fit) + i + 1
+            if len(at):
+                apart = np.bitwise_count(drawn[at] ^ drawn[i]).sum(axis=1, dtype=np.int64)
+                at = at[apart * (join.over + join.under) <= (sizes[at] + sizes[i]) * (join.over - join.under)]
+                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in at]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, done = None, [], set()
+
+        def flush() -> None:
+            if len(group) > 1:
+                done.update(near(group))
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sig", "low", "high", "rep", "n", "component", "band", "own", "next", "half")]
+            for sig, low, high, *member in zip(*columns):
+                if (sig, low, high) != key:
+                    flush()
+                    key, group = (sig, low, high), []
+                group.append(tuple(member))
+            yield _pair_batch(done)
+            done.clear()
+        flush()
+        yield _pair_batch(done)
+    return run
+
+
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    ordered = sorted(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in ordered], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 # -- the join ------------------------------------------------------------------------------------------------------
 
 def components(links: DataFrame) -> DataFrame:
@@ -284,6 +332,23 @@ def _linked(pairs: DataFrame, details: DataFrame, join: Join) -> DataFrame:
     return compared.filter(F.col("common") * join.over >= (F.col("n_a") + F.col("n_b") - F.col("common")) * join.under).select("a", "b")
 
 
+def _unsettled_pairs(unsettled: DataFrame, details: DataFrame, join: Join) -> DataFrame:
+    """Near pairs (a, b) between the components that meet in a bucket of ``unsettled(sig, rep, n, component)``.
+
+    A bucket of more than ``BLOCK`` members is cut into parts, and every two parts meet in a task of their own.
+    """
+    parts = unsettled.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    drawn = unsettled.join(parts, "sig").join(details.select(F.col("id").alias("rep"), "band", "own", "next"), "rep")
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    placed = drawn.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = placed.select("sig", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "rep", "n",
+                          "component", "band", "own", "next",
+                          F.when(F.col("part") == F.col("with"), F.lit(-1)).otherwise(F.col("part")).alias("half"))
+    # the cell of a part with itself has one row a member, the cell of two parts has the members of both
+    shuffled = cells.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    return shuffled.mapInArrow(_across(join), "a long, b long")
+
+
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -332,10 +397,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_sigs = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
     unsettled = staged(named.join(open_sigs, "sig"), "unsettled-members")
     if unsettled.limit(1).count():
-        other = unsettled.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        across = (unsettled.join(other, "sig").filter((F.col("component") < F.col("component2")) & _near_sizes(join, F.col("n"), F.col("n2")))
-                  .select(*_pairs(F.col("rep"), F.col("rep2"))).distinct())
-        more = _linked(staged(across, "cross-pairs").join(stars, ["a", "b"], "left_anti"), details, join)
+        across = _unsettled_pairs(unsettled, details, join)
+        more = _linked(staged(across.distinct(), "cross-pairs").join(stars, ["a", "b"], "left_anti"), details, join)
         found = staged(components(links.unionByName(more)), "components")
     reached = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return (keyed.select("id", F.col("n").alias("n_shingles")).join(reached, "id", "left")
