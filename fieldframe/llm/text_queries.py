@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm import exact_dedup, fingerprints, partenum, reply_trees, sentencepieces
+from fieldframe.llm import exact_dedup, fingerprints, mixing, partenum, reply_trees, sentencepieces
 from fieldframe.llm.common import LOWER, UPPER, read
 from fieldframe.llm.queries import register
 
@@ -71,3 +71,40 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(read(spark, sf_dir, "documents"), join=partenum.Join(width=3, under=90, over=100))
+
+
+MIX = mixing.Mix(entropy=0.95, repeats=2.0, budget=None, block_tokens=1_000_000)
+
+
+@register("op4_source_mixing", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source,
+               CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+    s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS total, count(*) AS docs FROM d GROUP BY source),
+    l AS (SELECT list(CAST(total AS DOUBLE) / (SELECT max(total) FROM s)) AS ts, max(total) / min(total) AS ratio, count(*) AS n FROM s WHERE total > 0),
+    b(i, elo, ehi, rlo, rhi) AS (
+        SELECT 0, CASE WHEN h1 >= {MIX.entropy} * ln(n) - 1e-12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE
+        FROM (SELECT n, ln(list_sum(ts)) - list_sum(list_transform(ts, lambda x: x * ln(x))) / list_sum(ts) AS h1 FROM l)
+        UNION ALL
+        SELECT i + 1, CASE WHEN e_ok THEN em ELSE elo END, CASE WHEN e_ok THEN ehi ELSE em END,
+               CASE WHEN r_ok THEN rlo ELSE rm END, CASE WHEN r_ok THEN rm ELSE rhi END
+        FROM (SELECT i, elo, ehi, rlo, rhi, (elo + ehi) / 2 AS em, (rlo + rhi) / 2 AS rm,
+                     ln(list_sum(list_transform(ts, lambda x: pow(x, (elo + ehi) / 2))))
+                     - (elo + ehi) / 2 * list_sum(list_transform(ts, lambda x: pow(x, (elo + ehi) / 2) * ln(x)))
+                       / list_sum(list_transform(ts, lambda x: pow(x, (elo + ehi) / 2))) >= {MIX.entropy} * ln(n) - 1e-12 AS e_ok,
+                     pow(ratio, 1 - (rlo + rhi) / 2) <= {MIX.repeats} + 1e-12 AS r_ok
+              FROM b, l WHERE i < 32)),
+    a AS (SELECT ceil(greatest(elo, CASE WHEN rhi > 1e-9 THEN rhi ELSE 0 END) * 1e6 - 1e-3) / 1e6 AS a FROM b WHERE i = 32),
+    w AS (SELECT s.*, CASE WHEN total > 0 THEN pow(total::DOUBLE, a) / (SELECT sum(pow(total::DOUBLE, (SELECT a FROM a))) FROM s WHERE total > 0) ELSE 0 END AS weight FROM s, a),
+    q AS (SELECT *, CAST(round((SELECT max(round(total / weight)) FROM w WHERE total > 0) * weight) AS BIGINT) AS quota FROM w),
+    e AS (SELECT *, CASE WHEN total > 0 THEN quota // total ELSE 1 END AS epochs FROM q),
+    g AS (SELECT ceil(sum(quota) / {MIX.block_tokens}.0) AS blocks FROM e),
+    c AS (SELECT doc_id, d.source, n_tokens, unnest(range(0, epochs + 1)) AS epoch, total, quota, epochs FROM d JOIN e USING (source)),
+    p AS (SELECT *, ('0x' || substr(md5('{MIX.seed}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS place FROM c),
+    r AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, doc_id) AS BIGINT) AS after FROM p),
+    f AS (SELECT *, CASE WHEN quota > 0 THEN CAST(least(floor((epoch * total + after - n_tokens)::DOUBLE * blocks / quota), blocks - 1) AS BIGINT) ELSE 0 END AS block
+          FROM r, g WHERE epoch < epochs OR (quota > epochs * total AND after <= quota - epochs * total))
+    SELECT doc_id, source, n_tokens, epoch, block,
+           row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('{MIX.seed}-block:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT, epoch, doc_id) AS position
+    FROM f""")
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents"), MIX)
