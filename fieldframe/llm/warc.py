@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldframe.llm.common import small, staged
+
 CHUNK = 1 << 20
 #: Records of one ranged read, and the archive bytes one reading task is meant for.
 READ_SLICE = 64 << 20
@@ -97,7 +99,8 @@ def choose_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of pages with equal payloads of at least ``min_revisit_bytes`` the largest id is the response and the others
     refer to it; smaller payloads are all responses. A null payload is empty. Rows that repeat the winner's id and
     payload are responses too; rows with a null id are responses of their own. Payloads are compared by SHA-256 and
-    length; the digests meet after map-side combining, and payloads are shuffled once, by id.
+    length; the digests meet after map-side combining. Payloads stay where they are if the revisits were counted to be
+    few enough for a broadcast, else they are shuffled once, by id and digest. The revisits are written now.
     """
     html = F.coalesce(F.col(body_col), F.lit(""))
     # the id is compared through a string key so that null ids are kept by the plain equi-join
@@ -108,7 +111,8 @@ def choose_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 .filter((F.col("bytes") >= min_revisit_bytes) & (F.col("page_id") < F.col("winner")))
                 .select("page_id", "same", F.col("winner").alias("refers_to")).distinct())
     body = F.col("html").cast("binary")
-    joined = rows.withColumn("same", F.sha2("html", 256)).join(revisits, ["page_id", "same"], "left")
+    known = small(staged(revisits, "warc-revisits"))
+    joined = rows.withColumn("same", F.sha2("html", 256)).join(known, ["page_id", "same"], "left")
     return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), body).otherwise(F.lit(b"")).alias("payload"),
                          F.octet_length("html").cast("long").alias("payload_bytes"),
                          F.sha1(body).alias("payload_sha1"), "refers_to")
