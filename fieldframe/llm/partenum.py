@@ -27,6 +27,9 @@ from fieldframe.llm.common import small, staged
 
 #: Members of one bucket that are compared as one block.
 BLOCK = 2048
+#: A signature is the number of its band and so many bits of a hash: fewer bytes to shuffle, and a chance match only
+#: adds a candidate.
+SIGNATURE_BITS = 38
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -155,6 +158,10 @@ def _bands(under: int, over: int, second: int) -> list[Band]:
     return found
 
 
+def _tagged(hashes: np.ndarray, band: Band) -> np.ndarray:
+    return hashes >> _U(64 - SIGNATURE_BITS) | _U(band.number << SIGNATURE_BITS)
+
+
 def signatures(elements: np.ndarray, band: Band) -> np.ndarray:
     """The signatures of one set in one band.
 
@@ -163,7 +170,7 @@ def signatures(elements: np.ndarray, band: Band) -> np.ndarray:
     """
     values = mix(elements ^ _U(0xD6E8FEB86659FD93))
     if band.distance == 0:
-        return mix(values.sum(dtype=_U, keepdims=True) + _U(band.number + 1))
+        return _tagged(mix(values.sum(dtype=_U, keepdims=True) + _U(band.number + 1)), band)
     second = band.second
     slots = band.parts * second
     place = ((elements >> _U(32)) % _U(band.parts)).astype(np.int64) * second + ((elements & _U(0xFFFFFFFF)) % _U(second)).astype(np.int64)
@@ -174,7 +181,7 @@ def signatures(elements: np.ndarray, band: Band) -> np.ndarray:
     left = sums.sum(axis=1, dtype=_U, keepdims=True) - sums
     filled = counts.sum(axis=1, keepdims=True) - counts > 0
     tags = mix(np.arange(slots, dtype=_U) + (_U(band.number + 1) << _U(32))).reshape(-1, second)
-    marked = mix(left + tags)
+    marked = _tagged(mix(left + tags), band)
     regular = int((~filled.all(axis=1)).sum()) <= band.spare
     return marked[filled] if regular else marked.ravel()
 
@@ -223,7 +230,7 @@ def _signed(join: Join):
     return run
 
 
-def _detailed(join: Join):
+def _sketched(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole):
@@ -232,50 +239,66 @@ def _detailed(join: Join):
                     if len(elements):
                         bands = join.of(len(elements))
                         drawn = [sketch(elements, b) for b in bands]
-                        rows.append((number, *set_key(elements), bands[0].number, drawn[0], drawn[1] if len(drawn) > 1 else drawn[0][:0], elements))
+                        rows.append((number, *set_key(elements), bands[0].number, drawn[0], drawn[1] if len(drawn) > 1 else drawn[0][:0]))
                 numbers = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*numbers, *(_lists([r[i] for r in rows]) for i in (4, 5, 6))],
-                                                 names=["id", "k1", "k2", "band", "own", "next", "elements"])
+                yield pa.RecordBatch.from_arrays([*numbers, *(_lists([r[i] for r in rows]) for i in (4, 5))],
+                                                 names=["id", "k1", "k2", "band", "own", "next"])
+    return run
+
+
+def _elements(join: Join):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole):
+                sets = list(shingle_sets(batch.column("text").to_pylist(), join.width))
+                keys = [set_key(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), _lists(sets)],
+                    names=["id", "k1", "k2", "elements"])
     return run
 
 
+@lru_cache(maxsize=64)
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _across(join: Join):
     """Pairs of one block that lie in different components and are near by size and sketch."""
-    def near(group: list[tuple]) -> list[tuple[int, int]]:
-        top = max(g[3] for g in group)
-        ids, sizes, comps = (np.array([g[i] for g in group]) for i in (0, 1, 2))
-        drawn = np.stack([np.asarray(g[4] if g[3] == top else g[5], np.int64).view(np.uint64) for g in group])
-        halves = np.array([g[6] for g in group])
-        found = []
-        for i in range(len(group) - 1):
-            # in a block of two halves only pairs between them are new
-            rest = slice(i + 1, None)
-            fit = (comps[rest] != comps[i]) & ((halves[rest] != halves[i]) | (halves[i] < 0))
-            fit &= np.minimum(sizes[rest], sizes[i]) * join.over >= np.maximum(sizes[rest], sizes[i]) * join.under
-            at = np.flatnonzero(fit) + i + 1
-            if len(at):
-                apart = np.bitwise_count(drawn[at] ^ drawn[i]).sum(axis=1, dtype=np.int64)
-                at = at[apart * (join.over + join.under) <= (sizes[at] + sizes[i]) * (join.over - join.under)]
-                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in at]
+    def near(group: list[tuple]) -> set[tuple[int, int]]:
+        ids, sizes, comps, halves = (np.array([g[i] for g in group]) for i in range(4))
+        drawn = np.stack([g[4] for g in group])
+        n, found = len(group), set()
+        # a small block is compared at once, a larger one row by row
+        for i, j in [_all_pairs(n)] if n <= 64 else ((np.full(n - k - 1, k), np.arange(k + 1, n)) for k in range(n - 1)):
+            # in a block of two parts only pairs between them are new
+            fit = (comps[i] != comps[j]) & ((halves[i] != halves[j]) | (halves[i] < 0))
+            fit &= np.minimum(sizes[i], sizes[j]) * join.over >= np.maximum(sizes[i], sizes[j]) * join.under
+            if fit.any():
+                i, j = i[fit], j[fit]
+                apart = np.bitwise_count(drawn[i] ^ drawn[j]).sum(axis=1, dtype=np.int64)
+                fit = apart * (join.over + join.under) <= (sizes[i] + sizes[j]) * (join.over - join.under)
+                a, b = ids[i[fit]], ids[j[fit]]
+                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, done = None, [], set()
-
-        def flush() -> None:
-            if len(group) > 1:
-                done.update(near(group))
-
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("sig", "low", "high", "rep", "n", "component", "band", "own", "next", "half")]
-            for sig, low, high, *member in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("sig", "low", "high", "rep", "n", "component", "half", "band")]
+            lists = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy().view(np.uint64)) for c in ("own", "next")]
+            for row, (sig, low, high, *member, band) in enumerate(zip(*columns)):
                 if (sig, low, high) != key:
-                    flush()
+                    if len(group) > 1:
+                        done |= near(group)
                     key, group = (sig, low, high), []
-                group.append(tuple(member))
+                # a set of the band below takes part with its sketch for this one
+                offsets, values = lists[0 if band == sig >> SIGNATURE_BITS else 1]
+                group.append((*member, values[offsets[row]:offsets[row + 1]].copy()))
             yield _pair_batch(done)
             done.clear()
-        flush()
+        if len(group) > 1:
+            done |= near(group)
         yield _pair_batch(done)
     return run
 
@@ -314,8 +337,8 @@ def _near_sizes(join: Join, a: Column, b: Column) -> Column:
     return (F.least(a, b) * join.over >= F.greatest(a, b) * join.under)
 
 
-def _linked(pairs: DataFrame, details: DataFrame, join: Join) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets link."""
+def _near(pairs: DataFrame, details: DataFrame, join: Join) -> DataFrame:
+    """Those of ``pairs(a, b)`` that size and sketch let pass, as (a, b, n_a, n_b)."""
     sketches = details.select("id", "n", "band", "own", "next")
     left, right = ([F.col(c).alias(f"{c}_{s}") for c in sketches.columns] for s in "ab")
     drawn = (pairs.join(sketches.select(*left), F.col("a") == F.col("id_a")).join(sketches.select(*right), F.col("b") == F.col("id_b")))
@@ -323,10 +346,18 @@ def _linked(pairs: DataFrame, details: DataFrame, join: Join) -> DataFrame:
     y = F.when(F.col("band_b") < F.col("band_a"), F.col("next_b")).otherwise(F.col("own_b"))
     apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
     most = F.floor((F.col("n_a") + F.col("n_b")) * (join.over - join.under) / (join.over + join.under))
-    near = (drawn.filter((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & _near_sizes(join, F.col("n_a"), F.col("n_b")) & (apart <= most))
+    return (drawn.filter((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & _near_sizes(join, F.col("n_a"), F.col("n_b")) & (apart <= most))
             .select("a", "b", "n_a", "n_b"))
-    sets = details.select("id", "elements")
-    compared = (staged(near, "near-pairs").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
+
+
+def _linked(pairs: DataFrame, details: DataFrame, known: DataFrame, join: Join) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets link; the sets are read again for the documents of near pairs only."""
+    near = staged(_near(pairs, details, join), "near-pairs")
+    asked = staged(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-documents")
+    sets = (known.join(small(asked), "id").mapInArrow(_elements(join), "id long, k1 long, k2 long, elements array<long>")
+            .join(small(staged(details.join(asked, "id").select("id", "k1", "k2"), "near-keys")), ["id", "k1", "k2"]).dropDuplicates(["id"]))
+    sets = staged(sets.select("id", "elements"), "near-sets")
+    compared = (near.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
                 .join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
                 .withColumn("common", F.size(F.array_intersect("x", "y"))))
     return compared.filter(F.col("common") * join.over >= (F.col("n_a") + F.col("n_b") - F.col("common")) * join.under).select("a", "b")
@@ -371,25 +402,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     classes = staged(nodes.join(smallest, ["k1", "k2"]).select("id", "rep", "n", "k1", "k2"), "set-classes")
 
-    signed = known.mapInArrow(_signed(join), "id long, sigs array<long>").select("id", F.explode("sigs").alias("sig"))
-    shared = (signed.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("sig"))
+    # copies need no signatures of their own; where they are too many for a broadcast, they are merged further down
+    copies = staged(classes.filter("id <> rep").select("id"), "set-copies")
+    few = small(copies)
+    speakers = known.join(few, "id", "left_anti") if few is not copies else known
+    signed = speakers.mapInArrow(_signed(join), "id long, sigs array<long>").select("id", F.explode("sigs").alias("sig"))
+    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("sig")
     met = signed.join(shared, "sig").join(classes.select("id", "rep", "n"), "id").select("sig", "rep", "n").distinct()
     buckets = staged(met, "buckets")
     sizes = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = staged(buckets.join(sizes, "sig"), "buckets")
 
-    members = staged(buckets.select("rep").distinct(), "bucket-members")
-    own = classes.filter("id = rep").join(members, "rep").select("id", "n", "k1", "k2")
-    details = staged(known.join(small(members.withColumnRenamed("rep", "id")), "id").mapInArrow(
-        _detailed(join), "id long, k1 long, k2 long, band int, own array<long>, next array<long>, elements array<long>")
-        .join(own, ["id", "k1", "k2"]).dropDuplicates(["id"]), "set-details")
+    members = staged(buckets.select(F.col("rep").alias("id")).distinct(), "bucket-members")
+    own = classes.filter("id = rep").join(members, "id").select("id", "n", "k1", "k2")
+    details = staged(known.join(small(members), "id").mapInArrow(
+        _sketched(join), "id long, k1 long, k2 long, band int, own array<long>, next array<long>")
+        .join(own, ["id", "k1", "k2"]).dropDuplicates(["id"]), "set-sketches")
 
     # the centre of a bucket is the member that meets most others in all of its buckets
     popular = buckets.groupBy("rep").agg(F.sum("size").alias("popularity"))
     placed = staged(buckets.join(popular, "rep"), "placed-members")
     centres = placed.groupBy("sig").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("least"))).alias("c")).select("sig", (-F.col("c.least")).alias("centre"))
     stars = staged(placed.join(centres, "sig").filter("rep <> centre").select(*_pairs(F.col("rep"), F.col("centre"))).distinct(), "star-pairs")
-    links = staged(_linked(stars, details, join), "star-links")
+    links = staged(_linked(stars, details, known, join), "star-links")
     found = staged(components(links), "star-components")
 
     named = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("component"))
@@ -398,7 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unsettled = staged(named.join(open_sigs, "sig"), "unsettled-members")
     if unsettled.limit(1).count():
         across = _unsettled_pairs(unsettled, details, join)
-        more = _linked(staged(across.distinct(), "cross-pairs").join(stars, ["a", "b"], "left_anti"), details, join)
+        more = _linked(staged(across.distinct(), "cross-pairs").join(stars, ["a", "b"], "left_anti"), details, known, join)
         found = staged(components(links.unionByName(more)), "components")
     reached = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return (keyed.select("id", F.col("n").alias("n_shingles")).join(reached, "id", "left")
