@@ -19,8 +19,16 @@ def densify(df: DataFrame, groups: DataFrame, keys: list[str], cells: dict[str,
     """One row per (group, cell) with empty cells filled (AGG4).
 
     ``groups`` holds the distinct keys; ``cells`` maps index column to its length. The
-    full grid is generated from the groups, so nothing but the groups is shuffled twice.
+    full grid is generated from the groups, so nothing but the groups is shuffled twice. A
+    row of ``df`` outside the declared cells raises; a NULL index belongs to no cell and is left out.
     """
+    outside = F.lit(False)
+    for name, n in cells.items():
+        outside = outside | (F.col(name) < 0) | (F.col(name) >= n)
+    first = next(iter(cells))
+    where = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in cells])
+    df = df.withColumn(first, F.when(outside, F.raise_error(F.concat(F.lit("outside the declared cells: "), where)).cast("int"))
+                       .otherwise(F.col(first)))
     grid = groups.select(*keys).distinct()
     for name, n in cells.items():
         grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

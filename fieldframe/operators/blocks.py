@@ -14,13 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldframe.functions.axes import fixed_edge_index
 
 #: Default width of a block in units of an integer order column.
 BLOCK_WIDTH = 1 << 20
-#: Rows aimed at per block of measured values, and the most blocks.
+#: Rows aimed at per block of measured values.
 BLOCK_ROWS = 2_000_000
-MAX_BLOCKS = 8192
 
 _BLOCK = "_block"
 
@@ -33,11 +31,11 @@ def fixed_blocks(order: str, width: int = BLOCK_WIDTH) -> Column:
 def value_boundaries(df: DataFrame, value: str, blocks: int | None = None) -> list[float]:
     """Approximate quantiles of a column that cut it into blocks, fetched to the driver.
 
-    Without ``blocks`` the rows are counted and a block gets about ``BLOCK_ROWS`` of them,
-    in at most ``MAX_BLOCKS`` blocks; data that fits one block needs no boundaries.
+    Without ``blocks`` the rows are counted and a block gets about ``BLOCK_ROWS`` of them:
+    one number for each, a few MB for 10^12 rows.
     """
     if blocks is None:
-        blocks = min(MAX_BLOCKS, -(-df.count() // BLOCK_ROWS))
+        blocks = -(-df.count() // BLOCK_ROWS)
     if blocks <= 1:
         return []
     probabilities = [i / blocks for i in range(1, blocks)]
@@ -47,8 +45,8 @@ def value_boundaries(df: DataFrame, value: str, blocks: int | None = None) -> li
 
 def value_blocks(value: Column, boundaries: list[float]) -> Column:
     """Block number of a value among sorted boundaries, by binary search."""
-    if len(boundaries) <= 16:
-        return (fixed_edge_index(boundaries, value) + 1).cast("long")
+    if not boundaries:
+        return F.when(value.isNotNull(), F.lit(0)).cast("long")
     known = F.array(*[F.lit(b) for b in boundaries])
 
     def narrow(span: Column, _step: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,24 +123,35 @@ def polarization_entries(cubes: DataFrame, keys: list[str], value: str = "value"
     return joined.groupBy(*keys, F.concat("_base", "_name").alias("path")).agg(best.alias(value))
 
 
-def flatten_json(df: DataFrame, keys: list[str], column: str, depth: int = 3,
+def _object_levels(schema: str) -> int:
+    """How deep objects are nested in a variant schema, at most; arrays count as levels too."""
+    level = deepest = 0
+    for mark in re.findall(r"OBJECT<|ARRAY<|<|>", schema):
+        level += -1 if mark == ">" else 1
+        deepest = max(deepest, level)
+    return deepest
+
+
+def flatten_json(df: DataFrame, keys: list[str], column: str, depth: int | None = None,
                  name: str = "metric") -> DataFrame:
     """Leaves of a JSON object as (keys, path, value), keys joined by '/' (JSN1, JSN2).
 
-    Unrolled to ``depth`` levels of nested objects; anything deeper stays a JSON text. Keys
-    may contain dots. Only objects are opened: arrays and texts are leaves, empty objects
-    have none. Every level opens in place, so the documents are read and parsed once.
+    All levels are opened: their number is found first, by one aggregate over the documents,
+    unless ``depth`` names how many levels to open (anything deeper then stays a JSON text).
+    Keys may be empty or contain dots. Only objects are opened: arrays and texts are leaves,
+    empty objects have none. Every level opens in place.
     """
     spark = df.sparkSession
+    if depth is None:
+        depth = _object_levels(df.agg(F.schema_of_variant_agg(F.parse_json(column))).first()[0] or "")
     rows = df.select(*keys, F.lit(None).cast("string").alias("_path"), F.parse_json(column).alias("_v"))
     for _ in range(depth):
         staged = rows.withColumn("_object", F.schema_of_variant("_v").startswith("OBJECT"))
         children = spark.tvf.variant_explode_outer(F.when(F.col("_object").outer(), F.col("_v").outer()))
         opened = staged.lateralJoin(children.select(F.col("key").alias("_key"), F.col("value").alias("_child")))
         named = opened.filter(F.col("_key").isNotNull() | ~F.coalesce("_object", F.lit(False)))
-        rows = named.select(*keys, F.concat_ws("/", "_path", "_key").alias("_path"),
+        rows = named.select(*keys, F.when(F.col("_path").isNull(), F.col("_key")).otherwise(F.concat_ws("/", "_path", "_key")).alias("_path"),
                             F.when(F.col("_key").isNotNull(), F.col("_child")).otherwise(F.col("_v")).alias("_v"))
-        rows = rows.withColumn("_path", F.when(F.col("_path") != "", F.col("_path")))
     text = F.when(~F.is_variant_null("_v"), F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v")))
     return rows.filter(F.col("_path").isNotNull()).select(*keys, F.col("_path").alias(name), text.alias("value"))
 

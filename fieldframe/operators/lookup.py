@@ -10,32 +10,33 @@ from fieldframe.operators.blocks import last_value, shifted_rows, value_blocks,
 from fieldframe.session import materialize
 
 
-#: Up to this many intervals are looked up by a search written into the expression.
+#: Most intervals that a caller may have looked up by a search written into the expression.
 SMALL_AXIS = 64
 
 
 def interval_lookup(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str,
                     on: tuple[str, ...] = (), closed_top: float | None = None,
-                    blocks: int | None = None) -> DataFrame:
+                    blocks: int | None = None, short: bool = False) -> DataFrame:
     """Attach the interval with lo <= x < hi to every point (JON6).
 
     Intervals must not overlap inside one ``on`` key. ``closed_top`` names the top edge that
-    belongs to the last interval. A counted short list (at most ``SMALL_AXIS`` rows) is
-    searched inside the expression and broadcast. A longer one is merged with the distinct
-    point positions along x, block by block, where each position takes the last interval
+    belongs to the last interval. With ``short`` the caller states that there are at most
+    ``SMALL_AXIS`` intervals (more raise): they are searched inside the expression and
+    broadcast. Else they are merged with the distinct point positions along x, block by block, where each position takes the last interval
     that starts before it; no pairs are formed and a repeated position is looked up once.
     """
     def inside(position: Column, bottom: Column, top: Column) -> Column:
         fits = (position >= bottom) & (position < top)
         return fits if closed_top is None else fits | ((position == closed_top) & (top == closed_top))
 
-    if not on:
+    if short:
         starts = sorted(r[0] for r in intervals.select(lo).limit(SMALL_AXIS + 1).collect())
-        if len(starts) <= SMALL_AXIS:
-            numbered = intervals.withColumn("_i", fixed_edge_index(starts, F.col(lo)))
-            tagged = points.withColumn("_i", fixed_edge_index(starts, F.col(x)))
-            return tagged.join(F.broadcast(numbered), "_i").filter(
-                inside(F.col(x), F.col(lo), F.col(hi))).drop("_i")
+        if on or len(starts) > SMALL_AXIS:
+            raise ValueError(f"a short list has one group and at most {SMALL_AXIS} intervals")
+        numbered = intervals.withColumn("_i", fixed_edge_index(starts, F.col(lo)))
+        tagged = points.withColumn("_i", fixed_edge_index(starts, F.col(x)))
+        return tagged.join(F.broadcast(numbered), "_i").filter(
+            inside(F.col(x), F.col(lo), F.col(hi))).drop("_i")
 
     names = [c for c in intervals.columns if c not in on]
     stops = intervals.select(*on, F.col(lo).alias("_x"), F.lit(0).alias("_point"), F.struct(*names).alias("_iv"))

@@ -355,7 +355,7 @@ def jon6(spark, sf):
 SELECT event_type, CASE WHEN value<5e0 THEN 0 WHEN value<25e0 THEN 1 WHEN value<1e2 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM events WHERE value>=1e0 AND value<1e3 GROUP BY ALL""")
 def jon6_short(spark, sf):
     bins = spark.createDataFrame([(0, 1.0, 5.0), (1, 5.0, 25.0), (2, 25.0, 100.0), (3, 100.0, 1000.0)], "bin int, lo double, hi double")
-    found = lookup.interval_lookup(T.table(spark, sf, "events").select("event_type", "value"), "value", bins, "lo", "hi")
+    found = lookup.interval_lookup(T.table(spark, sf, "events").select("event_type", "value"), "value", bins, "lo", "hi", short=True)
     return found.groupBy("event_type", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -32,11 +32,10 @@ def _beam_sql(fwhm: str) -> str:
 
 
 @query("agg12_roi_gaussian", f"""
-SELECT frame, freq_idx, {S(f"sum(value*{_beam_sql('6e0*1e10/freq_hz')})/sum({_beam_sql('6e0*1e10/freq_hz')})", 8)} AS value FROM cube WHERE freq_hz>=2e9 GROUP BY ALL""", ("cube",))
+SELECT frame, freq_idx, {S(f"sum(value*{_beam_sql('6e0*1e10/freq_hz')})/sum({_beam_sql('6e0*1e10/freq_hz')})", 8)} AS value FROM cube GROUP BY ALL""", ("cube",))
 def agg12(spark, sf):
     fwhm = Q.beam_fwhm(6.0, F.col("freq_hz"), 1.0e10)
-    cube = T.cube(spark, sf).filter(F.col("freq_hz") >= 2.0e9)
-    return I.roi_spectrum(cube, KEYS, "gaussian_beam", CENTER, fwhm=fwhm).withColumn("value", snap(F.col("value"), 8))
+    return I.roi_spectrum(T.cube(spark, sf), KEYS, "gaussian_beam", CENTER, fwhm=fwhm).withColumn("value", snap(F.col("value"), 8))
 
 
 @query("flt8_roi_circle", f"""

@@ -331,12 +331,12 @@ def udf5(spark, sf):
 
 @query("udf4_spectral_fit", f"""
 WITH o AS (SELECT vec_id, CAST(k AS DOUBLE) AS freq, abs(CAST(embedding[k] AS DOUBLE)) AS obs FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS k FROM embeddings))
-SELECT vec_id, {S('regr_slope(log10(obs),log10(freq))')} AS slope, {S('regr_intercept(log10(obs),log10(freq))')} AS intercept, 64 AS points FROM o WHERE obs>0 GROUP BY vec_id HAVING count(*)=64""")
+SELECT vec_id, {S('regr_slope(log10(obs),log10(freq))')} AS slope, {S('regr_intercept(log10(obs),log10(freq))')} AS intercept, 64 AS points FROM o WHERE obs>0 GROUP BY vec_id""")
 def udf4(spark, sf):
     t = T.table(spark, sf, "embeddings")
     obs = t.select("vec_id", F.posexplode("embedding").alias("k", "v")).select(
         "vec_id", (F.col("k") + 1).cast("double").alias("freq"), F.abs(F.col("v").cast("double")).alias("obs"), F.lit(0.1).alias("err"))
-    out = fit.fit_spectra(obs, ["vec_id"]).filter(F.forall("spec", lambda s: s["obs"] > 0))
+    out = fit.fit_spectra(obs, ["vec_id"])
     return out.select("vec_id", snap(F.get("params", F.lit(0))).alias("slope"), snap(F.get("params", F.lit(1))).alias("intercept"), F.size("spec").alias("points"))
 
 
@@ -402,7 +402,7 @@ def jsn1(spark, sf):
 @query("src14_metrics", """SELECT event_type, 'props/k' AS metric, sum(CAST(props->>'$.k' AS BIGINT))::BIGINT AS total FROM events GROUP BY ALL""")
 def src14(spark, sf):
     nested = F.concat(F.lit('{"props": '), F.col("props"), F.lit("}"))
-    flat = K.flatten_json(T.table(spark, sf, "events").select("event_type", nested.alias("j")), ["event_type"], "j", depth=2)
+    flat = K.flatten_json(T.table(spark, sf, "events").select("event_type", nested.alias("j")), ["event_type"], "j")
     return flat.groupBy("event_type", "metric").agg(F.sum(F.col("value").cast("long")).alias("total"))
 
 

@@ -173,8 +173,7 @@ def snk12(spark, sf):
 def set3(spark, sf):
     path = scratch_dir(spark, "results")
     weights = T.table(spark, sf, "lineitem").select("l_returnflag", F.floor(F.col("l_discount") * 100.0 + 0.5).cast("double").alias("weight"))
-    for flag in ("A", "N", "R"):
-        IO.write_table(weights.filter(F.col("l_returnflag") == flag).select("weight"), f"{path}/{flag}.res")
+    IO.write_table(weights.withColumn("case", F.concat("l_returnflag", F.lit(".res"))).select("case", "weight"), path, ["case"])
     merged = IO.merge_results(spark, path, "weight double")
     return merged.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 

@@ -44,7 +44,7 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.sqrt(F.lit(1.0) + p * p) - 1.0) * 1.0e5).alias("energy_ev"))
 
 
-# Field on 30 days x 24 hours x frames of user_id % 4; cell values are exact cent sums over counts.
+# Field on 30 days (a periodic axis, the 31st comes round to the first) x 24 hours x frames of user_id % 4; cell values are exact cent sums over counts.
 GRID_NX, GRID_NY = 30, 24
 
 
@@ -60,7 +60,7 @@ SELECT CAST(f.frame AS INTEGER) AS frame, CAST(gx.ix AS INTEGER) AS ix, CAST(gy.
  {', '.join(f'coalesce(c.{n},0e0) AS {n}' for n in [*_COMPONENTS, 'vz'])}
 FROM (SELECT DISTINCT user_id % 4 AS frame FROM events) f
 CROSS JOIN (SELECT unnest(range(30)) AS ix) gx CROSS JOIN (SELECT unnest(range(24)) AS iy) gy
-LEFT JOIN (SELECT user_id % 4 AS frame, day(ts)-1 AS ix, hour(ts) AS iy,
+LEFT JOIN (SELECT user_id % 4 AS frame, (day(ts)-1) % 30 AS ix, hour(ts) AS iy,
  {', '.join(f'{_mean_sql(k)} AS {n}' for n, k in _COMPONENTS.items())}, CAST(count(*) AS DOUBLE) AS vz
  FROM events GROUP BY ALL) c ON c.frame=f.frame AND c.ix=gx.ix AND c.iy=gy.iy"""
 
@@ -71,7 +71,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events")
     cents = F.floor(F.col("value") * 100.0 + 0.5)
     cells = t.select((F.col("user_id") % 4).cast("int").alias("frame"),
-                     (F.dayofmonth("ts") - 1).alias("ix"), F.hour("ts").alias("iy"),
+                     ((F.dayofmonth("ts") - 1) % GRID_NX).alias("ix"), F.hour("ts").alias("iy"),
                      "event_type", cents.alias("cents"))
     aggregates = []
     for name, kind in _COMPONENTS.items():

@@ -33,14 +33,16 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """Return a fresh folder name for intermediate tables.
 
     The folder lies under ``spark.checkpoint.dir``, the shared folder the cluster
-    names. Only where that setting is missing (local tests) a temporary folder of
-    this machine is used.
+    names. Only where driver and executors are one process (a local master, as in tests)
+    may the setting be missing; a temporary folder of this machine is used then.
     """
     global _fallback_scratch
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if _fallback_scratch is None:
             _fallback_scratch = tempfile.mkdtemp(prefix="fieldframe-")
         root = _fallback_scratch

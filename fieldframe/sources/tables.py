@@ -49,8 +49,11 @@ def read_small_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_step_log(spark: SparkSession, path: str) -> DataFrame:
-    """Step seconds per file and frame (SRC11); a file set without any record is an error."""
-    return runs.parse_step_log(read_log_lines(spark, path), ["path"])
+    """Step seconds per file and frame (SRC11); a file set without any record is an error, found now."""
+    records = runs.parse_step_log(read_log_lines(spark, path), ["path"])
+    if not records.limit(1).count():
+        raise ValueError(f"no step record in {path}")
+    return records
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -77,9 +80,13 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def merge_results(spark: SparkSession, path: str, schema: str, format: str = "parquet") -> DataFrame:
-    """Result files below a folder appended to one table, with the file name as ``group`` (SET3)."""
+    """Result files below a folder appended to one table, with the file name as ``group`` (SET3).
+
+    A folder written with ``partitionBy`` gives its value; that of NULL gives NULL.
+    """
     rows = spark.read.schema(schema).format(format).option("recursiveFileLookup", True).load(path)
-    group = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), r"\.[^.]*$", "")
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", "")
+    group = F.when(name != "__HIVE_DEFAULT_PARTITION__", F.regexp_replace(name, r"\.[^.]*$", ""))
     return rows.withColumn("group", group)
 
 

@@ -157,3 +157,12 @@ def test_edge_index_forms_agree(spark):
         want = int(np.searchsorted(edges, r["v"], side="right")) - 1
         assert r["a"] == r["b"] == want
         assert r["c"] == want or (r["v"] <= 0 and r["c"] < 0)
+
+
+def test_densify_raises_for_rows_outside_the_cells(spark):
+    rows = spark.createDataFrame([(1, 29, 1.0)], "frame int, ix int, w double")
+    dense = binning.densify(rows, rows, ["frame"], {"ix": 30}, {"w": 0.0})
+    assert dense.agg(F.sum("w"), F.count("*")).first()[:] == (1.0, 30)
+    outside = spark.createDataFrame([(1, 29, 1.0), (1, 30, 5.0)], "frame int, ix int, w double")
+    with pytest.raises(Exception, match="outside the declared cells"):
+        binning.densify(outside, outside, ["frame"], {"ix": 30}, {"w": 0.0}).collect()

@@ -113,6 +113,15 @@ def test_flatten_opens_only_objects(spark):
     assert flat._jdf.queryExecution().executedPlan().toString().count("parse_json") <= 2
 
 
+def test_flatten_opens_all_levels_and_keeps_empty_keys(spark):
+    text = '{"a": {"b": {"c": {"d": {"e": 5}}}}, "": 7, "x": {"": {"": 8}}, "l": [{"q": {"r": 1}}]}'
+    df = spark.createDataFrame([(1, text), (2, None)], "id int, j string")
+    got = {r["metric"]: r["value"] for r in catalog.flatten_json(df, ["id"], "j").collect()}
+    assert got == {"a/b/c/d/e": "5", "": "7", "x//": "8", "l": '[{"q":{"r":1}}]'}
+    none = spark.createDataFrame([(1, None)], "id int, j string")
+    assert catalog.flatten_json(none, ["id"], "j").count() == 0
+
+
 def test_nearest_frequency_tolerance(spark):
     bands = spark.createDataFrame([(0, 0, 1.0e9), (0, 1, 2.0e9), (0, 2, 3.0e9)], "frame int, freq_idx int, freq_hz double")
     assert image.nearest_frequency(bands, 1.5e9, ["frame"], tolerance=None).first()["freq_idx"] == 0

@@ -163,3 +163,16 @@ def test_file_listing(spark, tmp_path):
     files = IO.list_files(spark, str(tmp_path), "*.bin").withColumn("frame", runs.frame_number(F.col("path")))
     assert sorted((r["frame"], r["length"]) for r in files.collect() if r["frame"] is not None) == [(3, 3)]
     assert files.count() == 3
+
+
+def test_step_log_without_records_raises(spark, tmp_path):
+    (tmp_path / "empty.log").write_text("nothing here\n")
+    with pytest.raises(ValueError, match="no step record"):
+        IO.read_step_log(spark, f"{tmp_path}/empty.log")
+
+
+def test_result_folders_of_any_name_are_merged(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1.0), ("X", 2.0), (None, 3.0)], "g string, weight double")
+    IO.write_table(rows.withColumn("case", F.concat("g", F.lit(".res"))).select("case", "weight"), f"{tmp_path}/res", ["case"])
+    merged = IO.merge_results(spark, f"{tmp_path}/res", "weight double")
+    assert {(r["group"], r["weight"]) for r in merged.collect()} == {("A", 1.0), ("X", 2.0), (None, 3.0)}
