@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldframe.functions.numeric import clip, finite
+from fieldframe.functions.numeric import clip, finite, finite_positive
 
 
 def power_law_fit(hist: DataFrame, keys: list[str], fallback: float | str = 4.0,
@@ -81,7 +81,7 @@ FIT_SCHEMA = "params array<double>, errors array<double>, spec array<struct<freq
 
 
 def log_polynomial_fit(freq: np.ndarray, obs: np.ndarray, err: np.ndarray, degree: int = 1) -> dict:
-    """Fit log10 flux by a polynomial of log10 frequency; the bundled solver of UDF4.
+    """Fit log10 flux by a polynomial of log10 frequency, as a solver for :func:`fit_spectra`.
 
     Points without positive finite flux are ignored. Too few points give NaN parameters.
     """
@@ -106,15 +106,48 @@ def log_polynomial_fit(freq: np.ndarray, obs: np.ndarray, err: np.ndarray, degre
 Solver = Callable[[np.ndarray, np.ndarray, np.ndarray], dict]
 
 
-def fit_spectra(observed: DataFrame, keys: list[str], solver: Solver = log_polynomial_fit,
+def fit_log_line(observed: DataFrame, keys: list[str]) -> DataFrame:
+    """A line of log10 flux over log10 frequency for every pixel, by one aggregate (UDF4).
+
+    Same columns as :func:`fit_spectra`; params and errors are (slope, intercept). Points
+    without positive finite flux are ignored, fewer than two distinct frequencies give NaN.
+    """
+    once = observed.groupBy(*keys, "freq").agg(F.avg("obs").alias("obs"), F.avg("err").alias("err"))
+    good = (F.col("freq") > 0.0) & finite_positive(F.col("obs"))
+    x, y = F.when(good, F.log10("freq")), F.when(good, F.log10("obs"))
+    sums = once.groupBy(*keys).agg(
+        F.regr_slope(y, x).alias("_a"), F.regr_intercept(y, x).alias("_b"), F.regr_count(y, x).alias("_n"),
+        F.regr_sxx(y, x).alias("_xx"), F.regr_syy(y, x).alias("_yy"), F.regr_avgx(y, x).alias("_x"),
+        F.array_sort(F.collect_list(F.struct("freq", "obs", "err"))).alias("_s"))
+    nan = F.lit(float("nan"))
+    usable = (F.col("_n") > 1) & (F.col("_xx") > 0.0)
+    spread = F.greatest(F.col("_yy") - F.col("_a") * F.col("_a") * F.col("_xx"), F.lit(0.0)) / F.greatest(F.col("_n") - 2, F.lit(1))
+    slope_error = F.sqrt(spread / F.col("_xx"))
+    intercept_error = F.sqrt(spread * (F.lit(1.0) / F.col("_n") + F.col("_x") * F.col("_x") / F.col("_xx")))
+
+    def pair(first: Column, second: Column) -> Column:
+        return F.array(F.when(usable, first).otherwise(nan), F.when(usable, second).otherwise(nan))
+
+    def fitted(point: Column) -> Column:
+        line = F.pow(F.lit(10.0), F.col("_a") * F.log10(point["freq"]) + F.col("_b"))
+        fit = F.when(usable & (point["freq"] > 0.0), line).otherwise(nan)
+        return F.struct(point["freq"].alias("freq"), point["obs"].alias("obs"), point["err"].alias("err"), fit.alias("fit"))
+
+    return sums.select(*keys, pair(F.col("_a"), F.col("_b")).alias("params"), pair(slope_error, intercept_error).alias("errors"),
+                       F.transform("_s", fitted).alias("spec"))
+
+
+def fit_spectra(observed: DataFrame, keys: list[str], solver: Solver | None = None,
                 partitions: int | None = None) -> DataFrame:
-    """Run a solver once per pixel spectrum (UDF4).
+    """Run a solver once per pixel spectrum (UDF4); without one, :func:`fit_log_line`.
 
     ``observed`` has the keys, ``freq``, ``obs`` and ``err``. Repeated measurements of one
     (pixel, frequency) are averaged first, with partial aggregation, so the spectrum of a
     pixel is never longer than the frequency list. Pixels are few and expensive:
     ``partitions`` spreads them over more tasks than their bytes would ask for.
     """
+    if solver is None:
+        return fit_log_line(observed, keys)
     once = observed.groupBy(*keys, "freq").agg(F.avg("obs").alias("obs"), F.avg("err").alias("err"))
     points = F.array_sort(F.collect_list(F.struct("freq", "obs", "err")))
     spectra = once.groupBy(*keys).agg(points.alias("_s")).select(

@@ -12,7 +12,7 @@ from fieldframe.operators import compare as M
 from fieldframe.operators import fit, memo, quality, runs
 from fieldframe.plans import tables as T
 from fieldframe.plans.particle_queries import _ACCEPT, _HIST_SQL, _cell_hist, _edged, _fit_sql, _quality
-from fieldframe.plans.registry import query, snap
+from fieldframe.plans.registry import SQL, query, snap
 from fieldframe.plans.registry import sql_snap as S
 
 CELL = ["frame", "iy", "ix"]
@@ -332,14 +332,19 @@ def udf5(spark, sf):
 @query("udf4_spectral_fit", f"""
 WITH o AS (SELECT vec_id, CAST(k AS DOUBLE) AS freq, abs(CAST(embedding[k] AS DOUBLE)) AS obs FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS k FROM embeddings))
 SELECT vec_id, {S('regr_slope(log10(obs),log10(freq))')} AS slope, {S('regr_intercept(log10(obs),log10(freq))')} AS intercept, 64 AS points FROM o WHERE obs>0 GROUP BY vec_id""")
-def udf4(spark, sf):
+def udf4(spark, sf, solver=None):
     t = T.table(spark, sf, "embeddings")
     obs = t.select("vec_id", F.posexplode("embedding").alias("k", "v")).select(
         "vec_id", (F.col("k") + 1).cast("double").alias("freq"), F.abs(F.col("v").cast("double")).alias("obs"), F.lit(0.1).alias("err"))
-    out = fit.fit_spectra(obs, ["vec_id"])
+    out = fit.fit_spectra(obs, ["vec_id"], solver)
     return out.select("vec_id", snap(F.get("params", F.lit(0))).alias("slope"), snap(F.get("params", F.lit(1))).alias("intercept"), F.size("spec").alias("points"))
 
 
+@query("udf4_user_solver", SQL["udf4_spectral_fit"])
+def udf4_user_solver(spark, sf):
+    return udf4(spark, sf, fit.log_polynomial_fit)
+
+
 # -- catalogs ----------------------------------------------------------------------------------------------------
 
 _UNIT = """CASE WHEN lower(path) LIKE '%brightness\\_temperature%' ESCAPE '\\' THEN 'K' WHEN lower(path) LIKE '%specific%' THEN 'erg s^-1 cm^-2 Hz^-1 sr^-1' WHEN lower(path) LIKE '%flux\\_sfu%' ESCAPE '\\' THEN 'sfu'

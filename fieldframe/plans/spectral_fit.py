@@ -45,7 +45,7 @@ def observed_spectra(cube: DataFrame, config: FitConfig) -> DataFrame:
 
 
 def fit_maps(cube: DataFrame, config: FitConfig, names: list[str],
-             solver: fit.Solver = fit.log_polynomial_fit) -> DataFrame:
+             solver: fit.Solver | None = None) -> DataFrame:
     """Parameter and error maps of every frame, zeros where no pixel was fitted."""
     fits = fit.fit_spectra(observed_spectra(cube, config), PIXEL, solver)
     return image.parameter_maps(fits, cube.select(*PIXEL).distinct(), PIXEL, names)

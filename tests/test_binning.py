@@ -166,3 +166,17 @@ def test_densify_raises_for_rows_outside_the_cells(spark):
     outside = spark.createDataFrame([(1, 29, 1.0), (1, 30, 5.0)], "frame int, ix int, w double")
     with pytest.raises(Exception, match="outside the declared cells"):
         binning.densify(outside, outside, ["frame"], {"ix": 30}, {"w": 0.0}).collect()
+
+
+def test_log_line_equals_the_solver(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(f), float(rng.uniform(0.1, 9) if (k + f) % 5 else -1.0), 0.1) for k in range(6) for f in range(1, 9)]
+    rows += [(7, 2.0, 1.0, 0.1), (8, 2.0, -1.0, 0.1), (8, 3.0, None, 0.1), (9, 0.0, 1.0, 0.1), (9, 1.0, 2.0, 0.1), (9, 4.0, 8.0, None)]
+    df = spark.createDataFrame(rows, "k int, freq double, obs double, err double")
+    native = {r["k"]: r for r in fit.fit_spectra(df, ["k"]).collect()}
+    solved = {r["k"]: r for r in fit.fit_spectra(df, ["k"], fit.log_polynomial_fit).collect()}
+    assert set(native) == set(solved)
+    for k, r in native.items():
+        for name in ("params", "errors"):
+            np.testing.assert_allclose(r[name], solved[k][name], rtol=1e-7, atol=1e-7, err_msg=f"{k} {name}")
+        np.testing.assert_allclose([s["fit"] for s in r["spec"]], [s["fit"] for s in solved[k]["spec"]], rtol=1e-7)
