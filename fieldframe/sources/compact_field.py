@@ -57,8 +57,6 @@ def decode_cells(stream, piece: Piece, frame: int | None, wanted: set[str]) -> I
 
 
 def decode_axes(stream, piece: Piece, frame: int | None, wanted: set[str]) -> Iterator[dict]:
-    if piece.part:
-        return
     _, _, xe, ye, _ = _read_axes(stream, piece)
     for axis, e in (("x", xe), ("y", ye)):
         n = len(e) - 1

@@ -94,8 +94,6 @@ def decode_points(stream, piece: Piece, frame: int | None, wanted: set[str]) ->
 
 
 def decode_header(stream, piece: Piece, frame: int | None, wanted: set[str]) -> Iterator[dict]:
-    if piece.part:
-        return
     yield {k: [v] for k, v in (read_header(stream, piece) | {"frame": frame, "path": piece.path}).items()}
 
 

@@ -133,8 +133,6 @@ def decode_records(stream, piece: Piece, frame: int | None, wanted: set[str]) ->
 
 
 def decode_header(stream, piece: Piece, frame: int | None, wanted: set[str]) -> Iterator[dict]:
-    if piece.part:
-        return
     header = read_header(stream, piece.size)
     if header["particle_count"] >= 2 ** 63 or header["particle_capacity"] >= 2 ** 63:
         raise ValueError("particle counts of 2^63 and more are not supported")
