@@ -202,14 +202,13 @@ def jon3(spark, sf):
 
 
 @query("jon4_multilinear", f"""WITH {_POINTS_SQL},
-w AS (SELECT particle_id, frame, greatest(least((px-5e-1)/{D(X.step)}-5e-1,29e0),0e0) AS gx, greatest(least((py-2e-1)/{D(Y.step)}-5e-1,23e0),0e0) AS gy FROM pts WHERE px<65e-1 AND py<=26e-1),
+w AS (SELECT particle_id, frame, greatest(least((px-5e-1)/{D(X.step)}-5e-1,29e0),0e0) AS gx, greatest(least((py-2e-1)/{D(Y.step)}-5e-1,23e0),0e0) AS gy FROM (SELECT particle_id, frame, py, CASE WHEN px>=65e-1 THEN 5e-1+((px-5e-1)-6e0*floor((px-5e-1)/6e0)) ELSE px END AS px FROM pts) WHERE py<=26e-1),
 c AS (SELECT *, CAST(floor(gx) AS INTEGER) AS i, CAST(floor(gy) AS INTEGER) AS j FROM w)
 SELECT particle_id, {', '.join(S(f'(1e0-(gx-i))*(1e0-(gy-j))*a.{c}+(gx-i)*(1e0-(gy-j))*b.{c}+(1e0-(gx-i))*(gy-j)*d.{c}+(gx-i)*(gy-j)*e.{c}', 5) + f' AS s_{c}' for c in ('bx', 'vy'))} FROM c
  JOIN grid a ON a.frame=c.frame AND a.ix=i AND a.iy=j JOIN grid b ON b.frame=c.frame AND b.ix=least(i+1,29) AND b.iy=j
  JOIN grid d ON d.frame=c.frame AND d.ix=i AND d.iy=least(j+1,23) JOIN grid e ON e.frame=c.frame AND e.ix=least(i+1,29) AND e.iy=least(j+1,23)""", ("event_particles", "grid"))
 def jon4(spark, sf):
-    pts = _points(spark, sf).filter(F.col("px") < 6.5)
-    out = R.multilinear_sample(pts, T.grid(spark, sf), AXES, {"ix": "px", "iy": "py"}, ["bx", "vy"], ["frame"])
+    out = R.multilinear_sample(_points(spark, sf), T.grid(spark, sf), AXES, {"ix": "px", "iy": "py"}, ["bx", "vy"], ["frame"])
     return out.select("particle_id", snap(F.col("s_bx"), 5).alias("s_bx"), snap(F.col("s_vy"), 5).alias("s_vy"))
 
 

@@ -277,7 +277,7 @@ def set2(spark, sf):
 
 
 @query("set4_stack_images", f"""
-WITH img AS (SELECT CAST(label AS INTEGER) AS frame, CAST(1e9*(1+vec_id % 7) AS DOUBLE) AS freq_hz, CAST(vec_id // 7 % 5 AS INTEGER) AS iy, CAST(vec_id // 35 % 4 AS INTEGER) AS ix, max(CAST(embedding[1] AS DOUBLE)) AS value FROM embeddings GROUP BY ALL),
+WITH img AS (SELECT CAST(label AS INTEGER) AS frame, CAST(1e9*(1+vec_id % 7) AS DOUBLE) AS freq_hz, CAST(vec_id // 7 % 5 AS INTEGER) AS iy, CAST(vec_id // 35 % 4 AS INTEGER) AS ix, max(CAST(list_max(embedding) AS DOUBLE)) AS value FROM embeddings GROUP BY ALL),
 r AS (SELECT frame, freq_hz, row_number() OVER (PARTITION BY frame ORDER BY freq_hz)-1 AS band FROM (SELECT DISTINCT frame, freq_hz FROM img))
 SELECT f.frame, CAST(b.b AS INTEGER) AS band, CAST(y.y AS INTEGER) AS iy, CAST(x.x AS INTEGER) AS ix, coalesce(i.value,0e0) AS value
 FROM (SELECT DISTINCT frame FROM img) f CROSS JOIN (SELECT unnest(range(8)) AS b) b CROSS JOIN (SELECT unnest(range(5)) AS y) y CROSS JOIN (SELECT unnest(range(4)) AS x) x
@@ -286,7 +286,7 @@ def set4(spark, sf):
     t = T.table(spark, sf, "embeddings")
     v = F.col("vec_id")
     images = t.select(F.col("label").alias("frame"), ((v % 7 + 1) * 1.0e9).alias("freq_hz"), ((v / 7).cast("long") % 5).cast("int").alias("iy"),
-                      ((v / 35).cast("long") % 4).cast("int").alias("ix"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+                      ((v / 35).cast("long") % 4).cast("int").alias("ix"), F.array_max("embedding").cast("double").alias("value"))
     return I.stack_images(images, ["frame"], 8, 5, 4)
 
 

@@ -25,13 +25,13 @@ def _draw(row_id: str, attempt: str, dim: int) -> str:
 
 
 @query("smp1_uniform_points", f"""
-WITH d AS (SELECT c_custkey, c_nationkey, k, 1e1+{_draw('c_custkey', 'k', 0)}*3e1 AS x, -2e0+{_draw('c_custkey', 'k', 1)}*4e0 AS y FROM customer CROSS JOIN (SELECT unnest(range(8)) AS k)),
-a AS (SELECT *, x*y>25e0 AND x<36e0 AS ok FROM d), p AS (SELECT c_custkey, coalesce(min(k) FILTER (ok),7) AS k, bool_or(ok) AS hit FROM a GROUP BY c_custkey)
+WITH d AS (SELECT c_custkey, c_nationkey, k, 1e1+{_draw('c_custkey', 'k', 0)}*3e1 AS x, -2e0+{_draw('c_custkey', 'k', 1)}*4e0 AS y FROM customer CROSS JOIN (SELECT unnest(range(64)) AS k)),
+a AS (SELECT *, x*y>25e0 AND x<36e0 AS ok FROM d), p AS (SELECT c_custkey, coalesce(min(k) FILTER (ok),63) AS k, bool_or(ok) AS hit FROM a GROUP BY c_custkey)
 SELECT a.c_custkey, {S('x', 8)} AS x, {S('y', 8)} AS y, CASE WHEN hit THEN 0 ELSE 2 END AS status FROM p JOIN a ON a.c_custkey=p.c_custkey AND a.k=p.k""")
 def smp1(spark, sf):
     ids = T.table(spark, sf, "customer").select("c_custkey")
     out = P.uniform_points(ids, "c_custkey", {"x": (10.0, 40.0), "y": (-2.0, 2.0)},
-                           lambda q: (q["x"] * q["y"] > 25.0) & (q["x"] < 36.0), max_attempts=8, uniform=digest_uniform)
+                           lambda q: (q["x"] * q["y"] > 25.0) & (q["x"] < 36.0), max_attempts=64, uniform=digest_uniform)
     return out.select("c_custkey", snap(F.col("x"), 8).alias("x"), snap(F.col("y"), 8).alias("y"), "status")
 
 
