@@ -51,5 +51,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def row_of(docs: DataFrame, without: str | None = None) -> Column:
+    """All columns of a row as one struct ``row``, so that working columns of any name cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("row")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm.common import ascii_lower, small, staged
+from fieldframe.llm.common import ascii_lower, row_of, small, staged
 
 SALTS = 16
 
@@ -77,11 +77,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      .select(F.col(id_col).alias("_i"), "kept", F.col("text_sha256").alias("_d")), "dedup-decisions")
     gone = staged(decided.groupBy("_i", "_d").agg(F.max("kept").alias("_k"), F.count(F.lit(1)).alias("_n"))
                   .filter(~F.col("_k") | (F.col("_n") > 1)), "dedup-gone")
-    keyed = docs.withColumn("_digest", digest(ascii_lower(F.col(text_col))))
-    match = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))
+    keyed = docs.select(row_of(docs), F.col(id_col).alias("_id"), digest(ascii_lower(F.col(text_col))).alias("_digest"))
+    match = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))
     kept = keyed.join(small(gone), match, "left_anti")
     repeated = gone.filter(F.col("_k"))
     if repeated.limit(1).count():
-        once = keyed.join(small(repeated), match, "left_semi").dropDuplicates([id_col, "_digest"])
+        once = keyed.join(small(repeated), match, "left_semi").dropDuplicates(["_id", "_digest"])
         kept = kept.unionByName(once)
-    return kept.select(*docs.columns)
+    return kept.select("row.*")

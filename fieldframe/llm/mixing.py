@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm.common import small, staged
+from fieldframe.llm.common import row_of, small, staged
 
 #: Bisections that one pass over the source totals decides, and passes.
 LEVELS, PASSES = 4, 8
@@ -169,9 +169,9 @@ def repeat(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col:
     reached = _rest_copies(rows, quotas, mix).groupBy("source").agg(F.max(F.struct("at", "id")).alias("mark"))
     marks = staged(quotas.select("source", "epochs").join(reached, "source", "left")
                    .select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("mark").alias("_mark")), "source-marks")
-    keyed = docs.withColumn("_key", F.coalesce(F.col(source_col), F.lit("")))
-    here = F.struct(order(mix.seed, F.col("_epochs"), F.col(id_col)).alias("at"), F.col(id_col).alias("id"))
+    keyed = docs.select(row_of(docs), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_key"))
+    here = F.struct(order(mix.seed, F.col("_epochs"), F.col("_id")).alias("at"), F.col("_id").alias("id"))
     more = F.when(F.col("_mark").isNotNull() & (here <= F.col("_mark")), F.lit(1)).otherwise(F.lit(0))
     copies = F.expr("array_repeat(1, cast(_copies as int))")
     return (keyed.join(small(marks), F.col("_key") == F.col("_source")).withColumn("_copies", F.col("_epochs") + more)
-            .withColumn("_copy", F.explode(copies)).select(*docs.columns))
+            .withColumn("_copy", F.explode(copies)).select("row.*"))

@@ -19,8 +19,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fieldframe.llm.common import staged
+from fieldframe.llm.common import row_of, staged
 
 #: The training sample: texts of each class, and the longest text (in characters) that may be one of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1800, 60_000
@@ -154,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     chosen = None
     for label in (0, 1):
-        part = known.filter(F.col("_toxic") == label).orderBy(F.xxhash64(id_col), id_col).limit(sample_texts)
+        # a share that surely holds the sample, so that no task ranks more than a few times its rows
+        share = min(1.0, 2.0 * sample_texts / max(1, counts.get(label, 0)))
+        near = F.xxhash64(id_col).cast("double") / float(1 << 64) + 0.5 <= share
+        part = known.filter((F.col("_toxic") == label) & near).orderBy(F.xxhash64(id_col), id_col).limit(sample_texts)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = staged(chosen, "toxicity-sample")  # at most twice sample_texts rows
     rows = (docs.select(id_col, text_col).filter(F.length(text_col) <= SAMPLE_CHARS)
@@ -176,9 +180,8 @@ def score_text(text: str, model: Model) -> float:
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [score_text(t or "", model) for t in batch.column("_text").to_pylist()]
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_score"])
+            scores = [score_text(t or "", model) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], names=["row", "score"])
     return run
 
 
@@ -188,9 +191,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
     Labels, ids and further columns play no part. Repeated rows get equal scores, an empty table gives no rows.
     There is no shuffle. A column of the name ``out`` is replaced.
     """
-    from pyspark.sql.types import DoubleType, StructType
-
-    bare = docs.drop(out) if out != text_col else docs
-    rows = bare.withColumn("_text", F.col(text_col))
-    schema = StructType(bare.schema.fields[:]).add("_score", DoubleType())
-    return rows.mapInArrow(_scorer(model), schema).withColumnRenamed("_score", out)
+    rows = docs.select(row_of(docs, without=out), F.col(text_col).alias("text"))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
+    return rows.mapInArrow(_scorer(model), schema).select("row.*", F.col("score").alias(out))

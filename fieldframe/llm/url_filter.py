@@ -38,10 +38,15 @@ def reversed_key(name: Column) -> Column:
 
 
 def _boundaries(keys: DataFrame, ranges: int) -> list[tuple[str, int]]:
-    """Splits of the (key, tie) order into about even ranges, from the rows with the smallest hashes."""
+    """Splits of the (key, tie) order into about even ranges, from a sample drawn by the hash ``tie``.
+
+    The share of rows that is drawn follows from their number, so about ``ranges * SAMPLES_PER_RANGE`` reach the
+    driver, whatever their number is.
+    """
     wanted = ranges * SAMPLES_PER_RANGE
-    picked = (keys.select(F.substring("key", 1, SAMPLED_KEY_CHARS).alias("key"), "tie")
-              .orderBy(F.xxhash64("key", "tie")).limit(wanted).collect())
+    share = min(1.0, wanted / max(1, keys.count()))
+    drawn = F.xxhash64("tie", F.lit("range sample")).cast("double") / float(1 << 64) + 0.5 <= share
+    picked = keys.filter(drawn).select(F.substring("key", 1, SAMPLED_KEY_CHARS).alias("key"), "tie").limit(2 * wanted).collect()
     points = sorted({(r["key"], r["tie"]) for r in picked})
     step = max(1, len(points) // ranges)
     return points[step::step][: ranges - 1]

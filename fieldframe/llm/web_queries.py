@@ -10,7 +10,15 @@ from fieldframe.llm.common import LOWER, UPPER, read, shared_folder
 from fieldframe.llm.queries import register
 
 
-@register("op1_warc_normaliser")
+@register("op1_warc_normaliser", r"""
+    WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+                      max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM d""")
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives are written as one stream each, normalised, and read back through the sidecars."""
     raw, tidy = shared_folder(spark, "warc-raw"), shared_folder(spark, "warc")

@@ -34,7 +34,7 @@ def test_texts_that_share_a_digest_stay_apart(make):
 
 
 def test_repeated_rows_keep_one_and_all_columns(make):
-    docs = make([(1, "a"), (1, "a"), (2, "b"), (3, "B"), (1, "c")]).withColumn("_digest_", F.lit(1)).withColumn("kept", F.lit("x"))
+    docs = make([(1, "a"), (1, "a"), (2, "b"), (3, "B"), (1, "c")]).withColumn("_digest", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("a.b", F.lit(2)).withColumn("_i", F.lit(3))
     out = exact_dedup.deduplicate(docs)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "a"), (1, "c"), (3, "B")]

@@ -42,8 +42,9 @@ def test_budget_is_kept_and_repeat_agrees_with_plan(make):
     docs = corpus(make, {"a": (300, 7), "b": (50, 7)}).union(make([(900, None, None, None, 0), (901, "", None, "void", 0), (902, "x y z", None, None, 0)]))
     for mix in (mixing.Mix(budget=1500, repeats=2.0), mixing.Mix(repeats=2.0)):
         planned = Counter(r["doc_id"] for r in mixing.plan(docs, mix).collect())
-        repeated = mixing.repeat(docs, mix)
-        assert repeated.columns == docs.columns
+        wide = docs.withColumnRenamed("lang", "_key").withColumnRenamed("n_chars", "_copies")
+        repeated = mixing.repeat(wide, mix)
+        assert repeated.columns == wide.columns
         assert Counter(r["doc_id"] for r in repeated.collect()) == planned
         if mix.budget:
             assert sum(r["n_tokens"] for r in mixing.plan(docs, mix).collect()) <= 1500 + 2

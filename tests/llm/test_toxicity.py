@@ -31,9 +31,9 @@ def test_held_out_texts_and_edge_texts(spark, make):
     held = [(t, got[i]) for i, _, t in rows if i % 5 == 0]
     right = [(s >= 0.5) == bool(t) for t, s in held]
     assert np.mean(right) > 0.9
-    odd = make([(1, None), (2, ""), (3, "x" * 100_000), (None, "nitwit"), (4, "a"), (4, "a")]).withColumnRenamed("lang", "score")
+    odd = make([(1, None), (2, ""), (3, "x" * 100_000), (None, "nitwit"), (4, "a"), (4, "a")]).withColumnRenamed("lang", "score").withColumnRenamed("source", "_text").withColumnRenamed("n_chars", "row")
     scored = toxicity.scored(odd, model)
-    assert scored.columns == ["doc_id", "text", "source", "n_chars", "score"]
+    assert scored.columns == ["doc_id", "text", "_text", "row", "score"]
     values = [r["score"] for r in scored.collect()]
     assert all(0 <= v <= 1 for v in values) and values[0] == values[1] and values[4] == values[5]
     assert toxicity.scored(make([]), model).count() == 0
