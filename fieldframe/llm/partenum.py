@@ -30,6 +30,8 @@ BLOCK = 2048
 #: A signature is the number of its band and so many bits of a hash: fewer bytes to shuffle, and a chance match only
 #: adds a candidate.
 SIGNATURE_BITS = 38
+#: A sketch has at least so many bits, so that those of small sets tell more than the bound apart.
+LEAST_BITS = 512
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -152,7 +154,7 @@ def _bands(under: int, over: int, second: int) -> list[Band]:
         smallest = max(1, least * under // over)
         empty = parts * second * math.exp(-smallest * (second - 1) / second / parts)
         spare = 0 if k == 0 else math.ceil(empty + 3 * math.sqrt(empty))
-        bits = 1 << max(6, (4 * k).bit_length())
+        bits = max(LEAST_BITS, 1 << (4 * k).bit_length())
         found.append(Band(len(found), least, most, k, parts + spare, spare, bits, second))
         least = most + 1
     return found
