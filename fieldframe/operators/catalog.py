@@ -170,6 +170,15 @@ def product_listing(df: DataFrame, suffixes: tuple[str, ...] = (".h5", ".hdf5"),
     return df.filter(condition).select(path).distinct()
 
 
-def wide_spectrum(rows: DataFrame, freq: str, series: str, value: str, names: list[str]) -> DataFrame:
-    """One column per series, in the given order (SNK7)."""
-    return rows.groupBy(freq).pivot(series, names).agg(F.first(value)).orderBy(freq)
+def wide_spectrum(rows: DataFrame, freq: str, series: str, value: str, names: list[str] | None = None) -> DataFrame:
+    """One column per series, in the given order or else by name (SNK7).
+
+    The series that occur are found now. One that ``names`` leaves out, or without a name, is an error.
+    """
+    found = {r[0] for r in rows.select(series).distinct().collect()}
+    if None in found:
+        raise ValueError(f"a series of {series} has no name")
+    names = sorted(found) if names is None else names
+    if found - set(names):
+        raise ValueError(f"no column for the series {sorted(found - set(names))[:20]}")
+    return rows.groupBy(freq).pivot(series, names).agg(F.first(value)).orderBy(freq)
\ No newline at end of file

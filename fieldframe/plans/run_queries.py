@@ -14,6 +14,8 @@ from fieldframe.plans import tables as T
 from fieldframe.plans.particle_queries import _ACCEPT, _HIST_SQL, _cell_hist, _edged, _fit_sql, _quality
 from fieldframe.plans.registry import SQL, query, snap
 from fieldframe.plans.registry import sql_snap as S
+from fieldframe.session import scratch_dir
+from fieldframe.sources import tables as IO
 
 CELL = ["frame", "iy", "ix"]
 PAIRS = "pairs AS (SELECT t.frame, t.iy, t.ix, t.value AS t, c.value AS c FROM truth t JOIN candidate c ON c.frame=t.frame AND c.iy=t.iy AND c.ix=t.ix)"
@@ -236,8 +238,24 @@ def snk6(spark, sf):
 
 @query("snk7_wide_spectrum", "SELECT frame, max(CASE WHEN \"case\"='1-URGENT' THEN frame_seconds END) AS urgent, max(CASE WHEN \"case\"='5-LOW' THEN frame_seconds END) AS low FROM timing GROUP BY frame", ("timing",))
 def snk7(spark, sf):
-    wide = K.wide_spectrum(T.timing(spark, sf), "frame", "case", "frame_seconds", ["1-URGENT", "5-LOW"])
-    return wide.withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
+    return _wide_csv(spark, sf).select("frame", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
+
+
+def _wide_csv(spark, sf):
+    """All series of the timing table, written as CSV and read back."""
+    wide = K.wide_spectrum(T.timing(spark, sf), "frame", "case", "frame_seconds")
+    path = scratch_dir(spark, "wide-spectrum")
+    IO.write_wide_spectrum(wide, path)
+    return spark.read.schema(wide.schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_WIDE = ", ".join(f"max(CASE WHEN \"case\"='{p}' THEN frame_seconds END) AS \"{p}\"" for p in _PRIORITIES)
+
+
+@query("snk7_wide_all_series", f"SELECT frame, {_WIDE} FROM timing GROUP BY frame", ("timing",))
+def snk7_all(spark, sf):
+    return _wide_csv(spark, sf)
 
 
 @query("snk1_run_summary", f"""

@@ -131,6 +131,11 @@ def write_timing(timing: DataFrame, path: str, overwrite: bool = False) -> None:
     write_table(timing.select(*columns), path, overwrite=overwrite, format="csv")
 
 
+def write_wide_spectrum(wide: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A wide spectrum with all its series as CSV (SNK7)."""
+    write_table(wide, path, overwrite=overwrite, format="csv")
+
+
 def write_product(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
     """One Parquet table per group of a product, by frame where it has one (SNK9)."""
     for name, df in tables.items():

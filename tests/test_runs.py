@@ -7,6 +7,7 @@ from fieldframe.functions import kinematics as K
 from fieldframe.functions import predicates as P
 from fieldframe.functions import radiometry as Q
 from fieldframe.operators import catalog, compare, image, memo, quality, runs
+from fieldframe.plans import image_queries, run_queries
 from fieldframe.streaming import frames as ST
 
 
@@ -135,6 +136,27 @@ def test_calibration_of_an_empty_map_fails(spark):
         image.calibration(empty, ["frame"], 1.0, 1.0).collect()
 
 
+def test_wide_spectrum_has_every_series(spark):
+    rows = spark.createDataFrame([(1, "b", 1.0), (1, "a", 2.0), (2, "c", 3.0)], "frame int, case string, v double")
+    wide = catalog.wide_spectrum(rows, "frame", "case", "v")
+    assert wide.columns == ["frame", "a", "b", "c"] and [tuple(r) for r in wide.collect()] == [(1, 2.0, 1.0, None), (2, None, None, 3.0)]
+    assert catalog.wide_spectrum(rows, "frame", "case", "v", ["c", "b", "a"]).columns == ["frame", "c", "b", "a"]
+    with pytest.raises(ValueError, match="no column for the series"):
+        catalog.wide_spectrum(rows, "frame", "case", "v", ["a", "b"])
+    with pytest.raises(ValueError, match="no name"):
+        catalog.wide_spectrum(rows.withColumn("case", rows["case"].substr(1, 0)).selectExpr("frame", "nullif(case, '') AS case", "v"), "frame", "case", "v")
+
+
+def test_wide_query_writes_all_series(spark, tmp_path, monkeypatch):
+    orders = [(i, f"2000-01-{i + 1:02d}", name, 10.0 + i) for i, name in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NEW"])]
+    (spark.createDataFrame(orders, "o_orderkey long, o_orderdate string, o_orderpriority string, o_totalprice double")
+     .withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(str(tmp_path / "in/orders.parquet")))
+    monkeypatch.setattr(run_queries, "scratch_dir", lambda spark, purpose: str(tmp_path / purpose))
+    assert run_queries.snk7(spark, str(tmp_path / "in")).columns == ["frame", "urgent", "low"]
+    stored = spark.read.option("header", True).csv(str(tmp_path / "wide-spectrum"))
+    assert stored.columns == ["frame", *[o[2] for o in orders]] and stored.count() == 1 and None not in stored.first()
+
+
 def test_edges_and_times(spark):
     rows = [("up", k, float(k)) for k in range(4)] + [("down", k, -float(k)) for k in range(3)] + [("same", 0, 1.0), ("same", 1, 1.0)] + [("uneven", 0, 0.0), ("uneven", 1, 1.0), ("uneven", 2, 5.0)]
     df = spark.createDataFrame(rows, "axis string, i int, edge double")
