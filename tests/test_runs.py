@@ -157,6 +157,20 @@ def test_wide_query_writes_all_series(spark, tmp_path, monkeypatch):
     assert stored.columns == ["frame", *[o[2] for o in orders]] and stored.count() == 1 and None not in stored.first()
 
 
+def test_parameter_maps_fill_missing_fits_with_zero(spark):
+    pixels = spark.createDataFrame([(0, 0, 0), (0, 0, 1)], "frame int, iy int, ix int")
+    fits = spark.createDataFrame([(0, 0, 1, [2.0, 3.0], [0.2, 0.3])], "frame int, iy int, ix int, params array<double>, errors array<double>")
+    maps = image.parameter_maps(fits, pixels, ["frame", "iy", "ix"], ["n", "b"]).orderBy("ix").collect()
+    assert [tuple(r)[2:] for r in maps] == [(0, 0.0, 0.0, 0.0, 0.0), (1, 2.0, 0.2, 3.0, 0.3)]
+
+
+def test_fit_maps_keep_every_label(spark, tmp_path):
+    rows = [(k, label, [float(k + 1)] * 64) for k, label in enumerate([0, 3, None])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = image_queries.jon14_all(spark, str(tmp_path)).orderBy("ix").collect()
+    assert [(r["n_nth"], r["err_b"]) for r in got] == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)]
+
+
 def test_edges_and_times(spark):
     rows = [("up", k, float(k)) for k in range(4)] + [("down", k, -float(k)) for k in range(3)] + [("same", 0, 1.0), ("same", 1, 1.0)] + [("uneven", 0, 0.0), ("uneven", 1, 1.0), ("uneven", 2, 5.0)]
     df = spark.createDataFrame(rows, "axis string, i int, edge double")
