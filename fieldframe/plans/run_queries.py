@@ -476,6 +476,17 @@ def dq3_uniform(spark, sf):
     return bad.agg(F.countDistinct(F.split("key", "/")[0]).alias("axes"), F.count(F.lit(1)).alias("bad"))
 
 
+@query("dq3_uniform_all_edges", """
+WITH a AS (SELECT vec_id, k AS i, CAST(embedding[k] AS DOUBLE)*1e-2+k*25e-2 AS edge FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS k FROM embeddings)),
+l AS (SELECT *, edge-lag(edge) OVER (PARTITION BY vec_id ORDER BY i) AS here FROM a), s AS (SELECT vec_id, max(edge)-min(edge) AS span, count(edge) AS n FROM a GROUP BY vec_id)
+SELECT 'uniform' AS "check", l.vec_id || '/' || i AS key FROM l JOIN s ON s.vec_id=l.vec_id
+WHERE abs(here-span/greatest(n-1,1)) > greatest(abs(span), abs(span/greatest(n-1,1)), abs(here), 1e0)*1024e0/4503599627370496e0""")
+def dq3_uniform_all(spark, sf):
+    t = T.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
+    axes = t.select("vec_id", (F.col("k") + 1).alias("i"), (F.col("v").cast("double") * 0.01 + (F.col("k") + 1) * 0.25).alias("edge"))
+    return quality.edges(axes, ["vec_id"], uniform=True).filter(F.col("check") == "uniform").select("check", "key")
+
+
 @query("dq4_frequency_grid", """
 WITH a AS (SELECT vec_id, k AS freq_idx, CAST(embedding[k] AS DOUBLE)+k*2e-1-5e-1 AS f FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS k FROM embeddings)), l AS (SELECT *, lag(f) OVER (PARTITION BY vec_id ORDER BY freq_idx) AS prev FROM a)
 SELECT "check", count(*) AS n FROM (SELECT 'positive' AS "check" FROM l WHERE f<=0 UNION ALL SELECT 'increasing' FROM l WHERE f<=prev) GROUP BY 1""")

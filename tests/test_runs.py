@@ -183,6 +183,13 @@ def test_edges_and_times(spark):
     assert [r["key"] for r in quality.time_consistency(times, 0.1).collect()] == ["3"]
 
 
+def test_uniform_edges_are_checked_at_every_place(spark, tmp_path):
+    rows = [(k, [1.0 if i == place else 0.0 for i in range(1, 65)]) for k, place in enumerate([0, 2, 45, 63])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["key"] for r in run_queries.dq3_uniform_all(spark, str(tmp_path)).collect()}
+    assert got == {"1/2", "1/3", "2/45", "2/46", "3/63", "3/64"}
+
+
 def test_alfven_time():
     speed = 50.0 / math.sqrt(4 * math.pi * 1e10 * 1.6726219e-24) / 100.0
     assert K.alfven_time_seconds() == pytest.approx(5.0e6 / speed)
