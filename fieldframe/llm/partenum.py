@@ -232,6 +232,19 @@ def _signed(join: Join):
     return run
 
 
+def _signed_alone(join: Join):
+    """As :func:`_signed`, with the set key, and no row speaks for another id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole):
+                rows = {(number, *set_key(elements)): elements for number, elements in
+                        zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), join.width)) if len(elements)}
+                found = [np.concatenate([signatures(e, b) for b in join.of(len(e))]) for e in rows.values()]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), _lists(found)],
+                                                 names=["id", "k1", "k2", "sigs"])
+    return run
+
+
 def _sketched(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -398,17 +411,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.filter(F.col("id").isNotNull())
     keyed = staged(rows.mapInArrow(_keys(join), "id long, n long, k1 long, k2 long"), "set-keys")
-    nodes = (keyed.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("id").agg(F.min(F.struct("k1", "k2", "n")).alias("s"))
-             .select("id", "s.*"))
+    nodes = (keyed.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("id")
+             .agg(F.min(F.struct("k1", "k2", "n")).alias("s"), F.max(F.struct("k1", "k2", "n")).alias("t"))
+             .select("id", "s.*", (F.col("s") != F.col("t")).alias("mixed")))
     # the class of equal sets goes by its smallest id
     smallest = nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    classes = staged(nodes.join(smallest, ["k1", "k2"]).select("id", "rep", "n", "k1", "k2"), "set-classes")
+    classes = staged(nodes.join(smallest, ["k1", "k2"]).select("id", "rep", "n", "k1", "k2", "mixed"), "set-classes")
 
     # copies need no signatures of their own; where they are too many for a broadcast, they are merged further down
     copies = staged(classes.filter("id <> rep").select("id"), "set-copies")
     few = small(copies)
     speakers = known.join(few, "id", "left_anti") if few is not copies else known
-    signed = speakers.mapInArrow(_signed(join), "id long, sigs array<long>").select("id", F.explode("sigs").alias("sig"))
+    # an id with unequal texts speaks for its own class only, by the text that put it there
+    mixed = staged(classes.filter("mixed").select("id", "k1", "k2"), "mixed-ids")
+    some = mixed.limit(1).count() > 0
+    single = speakers.join(small(mixed.select("id")), "id", "left_anti") if some else speakers
+    lists = single.mapInArrow(_signed(join), "id long, sigs array<long>")
+    if some:
+        alone = speakers.join(small(mixed.select("id")), "id").mapInArrow(_signed_alone(join), "id long, k1 long, k2 long, sigs array<long>")
+        lists = lists.unionByName(alone.join(small(mixed), ["id", "k1", "k2"]).select("id", "sigs"))
+    signed = lists.select("id", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("sig")
     met = signed.join(shared, "sig").join(classes.select("id", "rep", "n"), "id").select("sig", "rep", "n").distinct()
     buckets = staged(met, "buckets")

@@ -115,6 +115,18 @@ def test_null_ids_repeated_rows_extra_columns_and_empty(make):
     assert partenum.jaccard_components(make([])).count() == 0
 
 
+def test_an_id_with_two_texts_does_not_silence_another(make):
+    join = Join(3, 80, 100)
+    texts = [" ".join(f"{p}{i}" for i in range(60)) for p in "ab"]
+    one, two = sorted(texts, key=lambda t: partenum.set_key(next(partenum.shingle_sets([t], join.width))))
+    rows = [(5, one), (5, two), (6, two), (7, two + " end"), (8, one + " end")]
+    # one partition and batch, so that the row of id 5 comes before that of id 6
+    got = {r["doc_id"]: r["component_id"] for r in partenum.jaccard_components(make(rows).coalesce(1), join=join).collect()}
+    # id 5 stands for the text with the smallest set key
+    want = brute([(5, one), *rows[2:]], join)
+    assert got == {i: c for i, (_, c) in want.items()} == {5: 5, 6: 6, 7: 6, 8: 5}
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 199)]
     got = {r["node"]: r["component"] for r in partenum.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
