@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm import exact_dedup, fingerprints, mixing, partenum, reply_trees, sentencepieces
+from fieldframe.llm import byte_bpe, exact_dedup, fingerprints, mixing, partenum, reply_trees, sentencepieces
 from fieldframe.llm.common import LOWER, UPPER, read
 from fieldframe.llm.queries import register
 
@@ -68,6 +68,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), packed=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @register("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(read(spark, sf_dir, "documents"), join=partenum.Join(width=3, under=90, over=100))
