@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ("text_queries", "web_queries", "model_queries")
+_MODULES = ("text_queries", "web_queries", "model_queries", "vector_queries", "conversation_queries")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
