@@ -32,7 +32,7 @@ def test_query_against_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"op11_whitening"}))
 def test_query_has_a_row_for_each_input(spark, sf, name):
     table = "pages" if name.startswith("op1_") else "documents"
     key = "page_id" if table == "pages" else "doc_id"
