@@ -1,10 +1,14 @@
 """Ordered operations whose groups may hold a large share of all rows.
 
 A window over (keys, order) sorts each whole key group in one task. The functions
-here cut every group into blocks of the order value, work inside (keys, block), and
-carry a small summary from block to block: one row per block for running sums, at
-most ``n`` rows per block for lags. The big side is shuffled once on (keys, block);
-the summaries join back on the same key.
+here cut every group into blocks along the order, work inside (keys, block), and
+carry a small summary from block to block: one row per block for running sums and
+latest values, at most ``n`` rows per block for lags. Summaries are carried in a tree: inside groups of
+``FAN`` neighbouring blocks, then among those groups, so that no task holds all summaries either.
+The big side is shuffled once on (keys, block); the summaries join back on the same key.
+
+Blocks are fixed ranges of an integer order column, or measured: the rows are dealt by ranges of
+(keys, order) that Spark samples, and the number of the range is the block.
 """
 
 from __future__ import annotations
@@ -14,13 +18,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldframe.functions.numeric import finite
+from fieldframe.session import materialize
 
 #: Default width of a block in units of an integer order column.
 BLOCK_WIDTH = 1 << 20
-#: Rows aimed at per block of measured values.
-BLOCK_ROWS = 2_000_000
+#: Blocks whose summaries meet in one task.
+FAN = 1 << 16
+#: Bins of one pass over the values of a key when a percentile is narrowed down.
+BINS = 4096
 
-_BLOCK = "_block"
+_BLOCK, _PARENT, _ALL = "_block", "_parent", "_all"
 
 
 def fixed_blocks(order: str, width: int = BLOCK_WIDTH) -> Column:
@@ -28,37 +36,15 @@ def fixed_blocks(order: str, width: int = BLOCK_WIDTH) -> Column:
     return F.floor(F.col(order) / float(width)).cast("long")
 
 
-def value_boundaries(df: DataFrame, value: str, blocks: int | None = None) -> list[float]:
-    """Approximate quantiles of a column that cut it into blocks, fetched to the driver.
+def range_blocks(df: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """Deal rows by sampled ranges of ``columns`` and add the number of the range.
 
-    Without ``blocks`` the rows are counted and a block gets about ``BLOCK_ROWS`` of them:
-    one number for each, a few MB for 10^12 rows.
+    Rows that agree in all columns may lie in several neighbouring ranges, so a hot value does not
+    fill one. The table is written, so that ranges stay as they are when a task is repeated.
     """
-    if blocks is None:
-        blocks = -(-df.count() // BLOCK_ROWS)
-    if blocks <= 1:
-        return []
-    probabilities = [i / blocks for i in range(1, blocks)]
-    found = df.stat.approxQuantile(value, probabilities, 1.0 / (4.0 * blocks))
-    return sorted(set(found))
-
-
-def value_blocks(value: Column, boundaries: list[float]) -> Column:
-    """Block number of a value among sorted boundaries, by binary search."""
-    if not boundaries:
-        return F.when(value.isNotNull(), F.lit(0)).cast("long")
-    known = F.array(*[F.lit(b) for b in boundaries])
-
-    def narrow(span: Column, _step: Column) -> Column:
-        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        below = value < F.get(known, middle)
-        open_ = span["lo"] < span["hi"]
-        return F.struct(F.when(open_ & ~below, middle + 1).otherwise(span["lo"]).alias("lo"),
-                        F.when(open_ & below, middle).otherwise(span["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(boundaries)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(boundaries).bit_length()))
-    return F.aggregate(steps, start, narrow, lambda span: span["lo"]).cast("long")
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(*columns, "_tie").drop("_tie")
+    return materialize(ranged.withColumn(out, F.spark_partition_id().cast("long")), "ranges")
 
 
 def _keyed(df: DataFrame, keys: list[str], block: Column) -> tuple[DataFrame, list[str], list[str]]:
@@ -82,6 +68,19 @@ def _keyed(df: DataFrame, keys: list[str], block: Column) -> tuple[DataFrame, li
     return df.withColumns(added), group, [*group, _BLOCK]
 
 
+def _with_parents(summaries: DataFrame) -> DataFrame:
+    """Add the group of neighbouring blocks, and a column that is 0 for all of them.
+
+    The latter deals the few rows of the top by their keys, or to one task where there are none.
+    """
+    parent = F.floor((F.col(_BLOCK) + 1) / float(FAN)).cast("long")
+    return summaries.withColumn(_PARENT, parent).withColumn(_ALL, F.least(F.abs(_BLOCK), F.lit(0).cast("long")))
+
+
+def _earlier(within: list[str], order: str, last: int = W.unboundedPreceding) -> W:
+    return W.partitionBy(*within).orderBy(order).rowsBetween(last, -1)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
                 block: Column | None = None, width: int = BLOCK_WIDTH,
                 totals: dict[str, str] | None = None) -> DataFrame:
@@ -93,13 +92,17 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     """
     blocked, group, cut = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
     inside = W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = blocked.groupBy(*cut).agg(*[F.sum(c).alias(f"_total_{o}") for o, c in values.items()])
-    whole = W.partitionBy(*group)
-    before = whole.orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
-        *cut,
-        *[F.coalesce(F.sum(f"_total_{o}").over(before), F.lit(0)).alias(f"_before_{o}") for o in values],
+    sums = _with_parents(blocked.groupBy(*cut).agg(*[F.sum(c).alias(f"_total_{o}") for o, c in values.items()]))
+    above = sums.groupBy(*group, _PARENT, _ALL).agg(*[F.sum(f"_total_{o}").alias(f"_total_{o}") for o in values])
+    whole = W.partitionBy(*group, _ALL)
+    above = above.select(
+        *group, _PARENT,
+        *[F.coalesce(F.sum(f"_total_{o}").over(_earlier([*group, _ALL], _PARENT)), F.lit(0)).alias(f"_above_{o}") for o in values],
         *[F.sum(f"_total_{o}").over(whole).alias(name) for name, o in (totals or {}).items()])
+    beside = sums.select(*cut, _PARENT, *[
+        F.coalesce(F.sum(f"_total_{o}").over(_earlier([*group, _PARENT], _BLOCK)), F.lit(0)).alias(f"_beside_{o}") for o in values])
+    offsets = beside.join(above, [*group, _PARENT]).select(
+        *cut, *[(F.col(f"_above_{o}") + F.col(f"_beside_{o}")).alias(f"_before_{o}") for o in values], *(totals or {}))
     local = blocked.withColumns({f"_local_{o}": F.sum(c).over(inside) for o, c in values.items()})
     return local.join(offsets, cut).select(
         *df.columns, *[(F.col(f"_local_{o}") + F.col(f"_before_{o}")).alias(o) for o in values],
@@ -131,8 +134,14 @@ def shifted_rows(df: DataFrame, keys: list[str], order: list[str],
              .groupBy(*cut)
              .agg(F.array_sort(F.collect_list(
                  F.struct((-F.col("_rev")).alias("pos"), *columns))).alias("_tail")))
-    before = W.partitionBy(*group).orderBy(_BLOCK).rowsBetween(-depth, -1)
-    carried = tails.select(*cut, F.flatten(F.collect_list("_tail").over(before)).alias("_carry"))
+    tails = _with_parents(tails)
+    newest = W.partitionBy(*group, _PARENT).orderBy(F.col(_BLOCK).desc())
+    above = (tails.withColumn("_rev", F.row_number().over(newest)).filter(F.col("_rev") <= depth)
+             .groupBy(*group, _PARENT, _ALL)
+             .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(_BLOCK, "_tail"))), lambda t: t["_tail"])).alias("_tail"))
+             .select(*group, _PARENT, F.flatten(F.collect_list("_tail").over(_earlier([*group, _ALL], _PARENT, -depth))).alias("_above")))
+    carried = (tails.select(*cut, _PARENT, F.flatten(F.collect_list("_tail").over(_earlier([*group, _PARENT], _BLOCK, -depth))).alias("_beside"))
+               .join(above, [*group, _PARENT]).select(*cut, F.concat("_above", "_beside").alias("_carry")))
 
     def pick(name: str, column: str, back: int) -> Column:
         index = F.size("_carry") - (F.lit(back) - (F.col("_rn") - 1))
@@ -152,36 +161,59 @@ def last_value(df: DataFrame, keys: list[str], order: list[str], column: str, ou
     blocked, group, cut = _keyed(df, keys, fixed_blocks(order[0], width) if block is None else block)
     inside = W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     latest = F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
-    ends = blocked.groupBy(*cut).agg(latest.alias("_end"))
-    before = W.partitionBy(*group).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*cut, F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    ends = _with_parents(blocked.groupBy(*cut).agg(latest.alias("_end")))
+    above = (ends.groupBy(*group, _PARENT, _ALL)
+             .agg(F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col(_BLOCK))).alias("_end"))
+             .select(*group, _PARENT, F.last("_end", ignorenulls=True).over(_earlier([*group, _ALL], _PARENT)).alias("_above")))
+    carried = (ends.select(*cut, _PARENT, F.last("_end", ignorenulls=True).over(_earlier([*group, _PARENT], _BLOCK)).alias("_beside"))
+               .join(above, [*group, _PARENT]).select(*cut, F.coalesce("_beside", "_above").alias("_before")))
     local = blocked.withColumn("_local", F.last(column, ignorenulls=True).over(inside))
     kept = [c for c in df.columns if c != out]
     return local.join(carried, cut).select(*kept, F.coalesce("_local", "_before").alias(out))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
-                      blocks: int | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated percentiles per key, output name -> fraction (AGG23).
 
-    Equal values are counted first, the counts are summed along the value inside value
-    blocks, and the two ranks around each percentile are picked with partial aggregates,
-    so no task sees a whole group.
+    Each percentile lies between two ranks, and each rank is narrowed down: a pass counts the
+    rows between its bounds in ``BINS`` equal steps, with the least and largest value of each, and the bin
+    that holds the rank gives the next bounds, until they are equal. A pass is an aggregate of fixed size for each
+    key; only rows between some bounds are written for the next one. Values that are NULL or not finite
+    are left out, a key without others has no row. Passes run when the function is called, two or three as a rule.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    boundaries = value_boundaries(df.select(value), value, blocks)
-    sized = running_sum(counted, keys, [value], {"_cum": "_n"}, totals={"_rows": "_cum"},
-                        block=value_blocks(F.col(value), boundaries))
-    start = F.col("_cum") - F.col("_n")
-    picks = []
-    for name, fraction in points.items():
-        rank = (F.col("_rows") - 1) * float(fraction)
-        low, high = F.floor(rank), F.ceil(rank)
-        picks += [
-            F.max(F.when((start <= low) & (low < F.col("_cum")), F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when((start <= high) & (high < F.col("_cum")), F.col(value))).alias(f"_hi_{name}"),
-            F.max(rank - low).alias(f"_t_{name}"),
-        ]
-    return sized.groupBy(*keys).agg(*picks).select(*keys, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_t_{n}")).alias(n)
-        for n in points])
+    # always 0, but not a literal, so that tables without keys are joined on a column too
+    one = F.shiftright(F.shiftrightunsigned(F.hash(value), 1), 31).alias("_one")
+    usable = df.filter(finite(F.col(value)))
+    rows = usable.select(F.struct(one, *keys).alias("_g"), F.col(value).cast("double").alias("_v"))
+    sizes = rows.groupBy("_g").agg((F.count(F.lit(1)) - 1).alias("top"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    ranks = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rounded(F.col("top") * float(q)).cast("long").alias("rank"))
+             for name, q in points.items() for side, rounded in (("low", F.floor), ("high", F.ceil))]
+    shares = [(F.col("top") * float(q) - F.floor(F.col("top") * float(q))).alias(f"share_{name}") for name, q in points.items()]
+    sizes = materialize(sizes.select("_g", "lo", "hi", *shares, F.explode(F.array(*ranks)).alias("r")).select("*", "r.*").drop("r"), "ranks")
+    targets = sizes.select("_g", "name", "side", "rank", "lo", "hi")
+    first = True
+    while not (searched := targets.filter("lo < hi")).isEmpty():
+        between = rows.join(searched.select("_g", "lo", "hi").distinct(), "_g").filter("_v >= lo AND _v <= hi")
+        if not first:
+            between = materialize(between, "between")
+            rows = between.select("_g", "_v")
+        first = False
+        span = F.col("hi") - F.col("lo")
+        # the halves serve spans beyond the largest double
+        along = F.when(span < float("inf"), (F.col("_v") - F.col("lo")) / span).otherwise(
+            (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+        counted = between.groupBy("_g", "lo", "hi", F.least(F.floor(along * BINS), F.lit(BINS - 1)).alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        upto = W.partitionBy("_g", "lo", "hi").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = counted.withColumn("after", F.sum("n").over(upto)).withColumn("before", F.col("after") - F.col("n"))
+        found = searched.join(placed, ["_g", "lo", "hi"]).filter("rank >= before AND rank < after").select(
+            "_g", "name", "side", (F.col("rank") - F.col("before")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"))
+        targets = materialize(targets.filter("lo >= hi").unionByName(found), "targets")
+
+    def at(name: str, side: str) -> Column:
+        return F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("lo")))
+
+    ends = targets.groupBy("_g").agg(*[at(n, s).alias(f"{s}_{n}") for n in points for s in ("low", "high")])
+    share = sizes.groupBy("_g").agg(*[F.first(f"share_{n}").alias(f"share_{n}") for n in points])
+    return ends.join(share, "_g").select(*[F.col("_g")[k].alias(k) for k in keys], *[
+        (F.col(f"low_{n}") + (F.col(f"high_{n}") - F.col(f"low_{n}")) * F.col(f"share_{n}")).alias(n) for n in points])

@@ -185,33 +185,32 @@ def plane_stats(cube: DataFrame, keys: list[str], value: str = "value") -> DataF
         for n, f in (("min", F.min), ("max", F.max), ("sum", F.sum), ("mean", F.avg))])
 
 
-def color_limits(cube: DataFrame, keys: list[str], value: str = "value", log: bool = False,
-                 blocks: int | None = None) -> DataFrame:
+def color_limits(cube: DataFrame, keys: list[str], value: str = "value", log: bool = False) -> DataFrame:
     """2 and 99.5 percent limits of finite values, of positive ones in log mode (AGG23)."""
     usable = finite_positive(F.col(value)) if log else finite(F.col(value))
-    return exact_percentiles(cube.filter(usable), keys, value, {"vmin": 0.02, "vmax": 0.995}, blocks)
+    return exact_percentiles(cube.filter(usable), keys, value, {"vmin": 0.02, "vmax": 0.995})
 
 
-def symmetric_limit(cube: DataFrame, keys: list[str], value: str = "value", blocks: int | None = None) -> DataFrame:
+def symmetric_limit(cube: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """99.5 percent of |value|, at least 1e-12 (AGG23)."""
     sized = cube.filter(finite(F.col(value))).withColumn("_a", F.abs(F.col(value)))
-    out = exact_percentiles(sized, keys, "_a", {"limit": 0.995}, blocks)
+    out = exact_percentiles(sized, keys, "_a", {"limit": 0.995})
     return out.withColumn("limit", F.greatest(F.col("limit"), F.lit(1.0e-12)))
 
 
-def log_limits(cube: DataFrame, keys: list[str], value: str = "value", blocks: int | None = None) -> DataFrame:
+def log_limits(cube: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Maximum and robust minimum (1 percent, at least 1e-5 of the maximum) of positive values (AGG23)."""
     positive = cube.filter(finite_positive(F.col(value)))
-    out = exact_percentiles(positive, keys, value, {"p1": 0.01, "vmax": 1.0}, blocks)
+    out = exact_percentiles(positive, keys, value, {"p1": 0.01, "vmax": 1.0})
     low = F.greatest(F.col("p1"), F.col("vmax") * 1.0e-5)
     floor = F.greatest(F.col("vmax") * 1.0e-5, F.lit(1.0e-300))
     return out.select(*keys, F.when(low >= F.col("vmax"), floor).otherwise(low).alias("vmin"), "vmax")
 
 
-def difference_limit(pairs: DataFrame, keys: list[str], base: str, other: str, blocks: int | None = None) -> DataFrame:
+def difference_limit(pairs: DataFrame, keys: list[str], base: str, other: str) -> DataFrame:
     """98 percent of the absolute fractional difference, at least 1e-6 (AGG23, PRJ21)."""
     sized = pairs.withColumn("_d", F.abs(fractional_difference(F.col(base), F.col(other)))).filter(finite(F.col("_d")))
-    out = exact_percentiles(sized, keys, "_d", {"limit": 0.98}, blocks)
+    out = exact_percentiles(sized, keys, "_d", {"limit": 0.98})
     return out.withColumn("limit", F.greatest(F.col("limit"), F.lit(1.0e-6)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.functions.axes import fixed_edge_index
-from fieldframe.operators.blocks import last_value, shifted_rows, value_blocks, value_boundaries
+from fieldframe.operators.blocks import last_value, range_blocks, shifted_rows
 from fieldframe.session import materialize
 
 
@@ -16,14 +16,15 @@ SMALL_AXIS = 64
 
 def interval_lookup(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str,
                     on: tuple[str, ...] = (), closed_top: float | None = None,
-                    blocks: int | None = None, short: bool = False) -> DataFrame:
+                    short: bool = False) -> DataFrame:
     """Attach the interval with lo <= x < hi to every point (JON6).
 
     Intervals must not overlap inside one ``on`` key. ``closed_top`` names the top edge that
     belongs to the last interval. With ``short`` the caller states that there are at most
     ``SMALL_AXIS`` intervals (more raise): they are searched inside the expression and
-    broadcast. Else they are merged with the distinct point positions along x, block by block, where each position takes the last interval
-    that starts before it; no pairs are formed and a repeated position is looked up once.
+    broadcast. Else points and intervals are dealt together by ranges of x, each point takes the last interval
+    that starts before it in its range, and the last one of a range is carried on to the next. No pairs are formed, and a
+    position that many points share spreads over ranges.
     """
     def inside(position: Column, bottom: Column, top: Column) -> Column:
         fits = (position >= bottom) & (position < top)
@@ -40,21 +41,20 @@ def interval_lookup(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi
 
     names = [c for c in intervals.columns if c not in on]
     stops = intervals.select(*on, F.col(lo).alias("_x"), F.lit(0).alias("_point"), F.struct(*names).alias("_iv"))
-    places = points.select(*on, F.col(x).alias("_x")).distinct().select(
-        *on, "_x", F.lit(1).alias("_point"), F.lit(None).cast(stops.schema["_iv"].dataType).alias("_iv"))
-    marks = stops.unionByName(places)
-    # blocks follow both densities, so neither many points nor many intervals share one
-    cuts = sorted({*value_boundaries(points, x, blocks), *value_boundaries(intervals, lo, blocks)})
-    found = last_value(marks, list(on), ["_x", "_point"], "_iv", "_iv", block=value_blocks(F.col("_x"), cuts))
+    places = points.select(*on, F.col(x).alias("_x"), F.lit(1).alias("_point"), F.struct(*points.columns).alias("_row"))
+    laid = range_blocks(stops.unionByName(places, allowMissingColumns=True), [*on, "_x", "_point"], "_range")
+    found = last_value(laid, list(on), ["_x", "_point"], "_iv", "_iv", block=F.col("_range"))
     hits = found.filter((F.col("_point") == 1) & inside(F.col("_x"), F.col(f"_iv.{lo}"), F.col(f"_iv.{hi}")))
-    return points.join(hits.select(*on, F.col("_x").alias(x), *[F.col(f"_iv.{c}").alias(c) for c in names]), [*on, x])
+    first = [*on, x]
+    kept = [*first, *[c for c in points.columns if c not in first]]
+    return hits.select(*[F.col(f"_row.{c}").alias(c) for c in kept], *[F.col(f"_iv.{c}").alias(c) for c in names])
 
 
-def intervals_of(edges: DataFrame, edge: str, columns: list[str], on: tuple[str, ...] = (),
-                 width: float = 1 << 16) -> DataFrame:
+def intervals_of(edges: DataFrame, edge: str, columns: list[str], on: tuple[str, ...] = ()) -> DataFrame:
     """Half-open intervals ``lo``, ``hi`` between neighbouring edges, with columns of the lower edge."""
     outputs = {"lo": (edge, 1)} | {f"_c_{c}": (c, 1) for c in columns}
-    pairs = shifted_rows(edges, list(on), [edge], outputs, width=width)
+    laid = range_blocks(edges.select(*on, edge, *columns), [*on, edge], "_range")
+    pairs = shifted_rows(laid, list(on), [edge], outputs, block=F.col("_range"))
     return pairs.filter(F.col("lo").isNotNull()).select(
         *on, "lo", F.col(edge).alias("hi"), *[F.col(f"_c_{c}").alias(c) for c in columns])
 

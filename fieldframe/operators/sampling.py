@@ -13,6 +13,7 @@ from fieldframe.functions.numeric import finite
 from fieldframe.functions.predicates import compare, in_region
 from fieldframe.operators.blocks import BLOCK_WIDTH, row_numbers, running_sum
 from fieldframe.operators.lookup import interval_lookup
+from fieldframe.session import materialize
 
 Uniform = Callable[[Column, Column, int], Column]
 
@@ -80,7 +81,10 @@ def cumulative_weight(df: DataFrame, weight: str, order: list[str], width: int =
 
 def total_weight(df: DataFrame, weight: str) -> float:
     """Sum of a weight; zero or non-finite totals are an error (SMP2)."""
-    total = df.agg(F.sum(weight)).first()[0]
+    return _positive(df.agg(F.sum(weight)).first()[0])
+
+
+def _positive(total) -> float:
     if total is None or not 0.0 < float(total) < float("inf"):
         raise ValueError("the total weight must be positive and finite")
     return float(total)
@@ -91,11 +95,12 @@ def weighted_pick(draws: DataFrame, candidates: DataFrame, fraction: str, weight
     """Sampling with replacement by inverse CDF (SMP3).
 
     ``fraction`` in [0, 1) is the draw; the candidate whose cumulative weight first
-    exceeds fraction * total is attached. Zero-weight candidates are never picked.
+    exceeds fraction * total is attached. Zero-weight candidates are never picked. The cumulative
+    weights are written once; their last one is the total.
     """
-    total = total_weight(candidates, weight)
-    cumulative = cumulative_weight(candidates.filter(F.col(weight) > 0.0), weight, order, width)
-    targets = draws.withColumn("target", F.col(fraction) * total)
+    usable = ~(F.col(weight) <= 0.0) | F.isnan(weight)
+    cumulative = materialize(cumulative_weight(candidates.filter(usable), weight, order, width), "cumulative")
+    targets = draws.withColumn("target", F.col(fraction) * _positive(cumulative.agg(F.max("cum_hi")).first()[0]))
     return interval_lookup(targets, "target", cumulative, "cum_lo", "cum_hi")
 
 

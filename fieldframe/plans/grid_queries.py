@@ -345,7 +345,7 @@ WITH e AS (SELECT p_retailprice-9e2 AS lo, lead(p_retailprice) OVER (ORDER BY p_
 SELECT v.event_id, e.p_partkey FROM events v JOIN e ON v.value>=e.lo AND v.value<e.hi""")
 def jon6(spark, sf):
     edges = T.table(spark, sf, "part").groupBy((F.col("p_retailprice") - 900.0).alias("edge")).agg(F.min("p_partkey").alias("p_partkey"))
-    intervals = lookup.intervals_of(edges, "edge", ["p_partkey"], width=20.0)
+    intervals = lookup.intervals_of(edges, "edge", ["p_partkey"])
     points = T.table(spark, sf, "events").select("event_id", "value")
     return lookup.interval_lookup(points, "value", intervals, "lo", "hi").select("event_id", "p_partkey")
 

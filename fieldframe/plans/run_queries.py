@@ -221,7 +221,7 @@ def set1(spark, sf):
 @query("snk4_timing_table", f"""
 SELECT "case", frame, CAST(frame AS DOUBLE)*25e-1 AS physical_time_seconds, particle_count, frame_seconds, {S('sum(frame_seconds) OVER (PARTITION BY "case" ORDER BY frame)', 5)} AS elapsed_seconds FROM timing""", ("timing",))
 def snk4(spark, sf):
-    elapsed = runs.running_elapsed(T.timing(spark, sf), ["case"], width=16)
+    elapsed = runs.running_elapsed(T.timing(spark, sf), ["case"])
     return _rounded(runs.timing_table(elapsed, 2.5), 5, "elapsed_seconds")
 
 

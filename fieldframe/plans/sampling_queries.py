@@ -47,12 +47,12 @@ def smp2(spark, sf):
 
     i, j = F.col("ix"), F.col("iy")
     volume = cell_volume("polar", [X.center(i), Y.center(j)], [X.cell_width(i), Y.cell_width(j)])
-    out = P.candidate_cells(g, {"ix": (3, 20), "iy": (2, 19)}, F.col("bx"), 30.0, "abs_greater", volume, ["cell"], width=500)
+    out = P.candidate_cells(g, {"ix": (3, 20), "iy": (2, 19)}, F.col("bx"), 30.0, "abs_greater", volume, ["cell"])
     return out.select("frame", "ix", "iy", snap(F.col("cell_weight"), 9).alias("cell_weight"), snap(F.col("cum_hi"), 7).alias("cum_hi"))
 
 
 _WEIGHTED_SQL = """w AS (SELECT c_custkey, CAST(greatest(floor(c_acctbal*1e2+5e-1),0e0) AS DOUBLE) AS w FROM customer),
-c AS (SELECT c_custkey, w, sum(w) OVER (ORDER BY c_custkey) AS hi FROM w WHERE w>0)"""
+c AS (SELECT c_custkey, w, sum(w) OVER (ORDER BY c_custkey) AS hi FROM w)"""
 
 
 def _weighted(spark, sf):
@@ -61,14 +61,14 @@ def _weighted(spark, sf):
 
 @query("win3_cumulative_weight", f"WITH {_WEIGHTED_SQL} SELECT c_custkey, w, hi-w AS cum_lo, hi AS cum_hi FROM c")
 def win3(spark, sf):
-    return P.cumulative_weight(_weighted(spark, sf).filter(F.col("w") > 0), "w", ["c_custkey"], width=256)
+    return P.cumulative_weight(_weighted(spark, sf), "w", ["c_custkey"])
 
 
 @query("smp3_weighted_pick", f"""WITH {_WEIGHTED_SQL}, t AS (SELECT o_orderkey, (CAST((o_orderkey*7919) % 100003 AS DOUBLE)/100003e0)*(SELECT sum(w) FROM w) AS target FROM orders)
-SELECT o_orderkey, c_custkey FROM t JOIN c ON target>=hi-w AND target<hi""")
+SELECT o_orderkey, c_custkey FROM t JOIN c ON target>=hi-w AND target<hi AND w>0""")
 def smp3(spark, sf):
     draws = T.table(spark, sf, "orders").select("o_orderkey", (((F.col("o_orderkey") * 7919) % 100003).cast("double") / 100003.0).alias("u"))
-    return P.weighted_pick(draws, _weighted(spark, sf), "u", "w", ["c_custkey"], width=256).select("o_orderkey", "c_custkey")
+    return P.weighted_pick(draws, _weighted(spark, sf), "u", "w", ["c_custkey"]).select("o_orderkey", "c_custkey")
 
 
 @query("smp3_point_in_cell", f"""
@@ -88,7 +88,7 @@ k AS (SELECT *, CASE WHEN o0='split' AND child>=400 THEN 'skipped_capacity' ELSE
 
 
 def _split(spark, sf):
-    return P.split_on_energy_growth(T.event_particles(spark, sf), "energy", ["frame"], ratio=2.0, minimum_child_weight=1.0, capacity=400, width=1000)
+    return P.split_on_energy_growth(T.event_particles(spark, sf), "energy", ["frame"], ratio=2.0, minimum_child_weight=1.0, capacity=400)
 
 
 @query("smp4_split", f"""WITH {_SPLIT_SQL}
@@ -111,7 +111,7 @@ WITH m AS (SELECT *, status=0 AND p>15e-1*power(2e0,split_level) AND p<=2e1 AS w
 SELECT frame, count(*) AS rows, count(*) FILTER (is_child) AS children, sum(CASE WHEN w THEN power(5e-1, split_level+1) ELSE weight END) AS weight, CAST(max(CASE WHEN w THEN split_level+1 ELSE split_level END) AS INTEGER) AS top
 FROM m JOIN (SELECT false AS is_child UNION ALL SELECT true) c ON NOT is_child OR w GROUP BY frame""", ("event_particles",))
 def smp5(spark, sf):
-    out = P.split_on_momentum(T.event_particles(spark, sf), ["frame"], 1.5, 2.0, 20.0, width=1000)
+    out = P.split_on_momentum(T.event_particles(spark, sf), ["frame"], 1.5, 2.0, 20.0)
     return out.groupBy("frame").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("is_child"), 1)).alias("children"),
                                     F.sum("weight").alias("weight"), F.max("split_level").alias("top"))
 
@@ -133,20 +133,20 @@ def srt1(spark, sf):
 
 @query("win7_row_numbers", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events")
 def win7(spark, sf):
-    return blocks.row_numbers(T.table(spark, sf, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], "rn", width=1000)
+    return blocks.row_numbers(T.table(spark, sf, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], "rn")
 
 
 @query("win2_previous_value", """
 SELECT user_id, event_id, value, lag(value,1) OVER w AS prev_value, lag(value,2) OVER w AS step_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def win2(spark, sf):
     e = T.table(spark, sf, "events").select("user_id", "event_id", "value")
-    return runs.previous_positions(e, ["user_id"], ["event_id"], ["value"], width=4000)
+    return runs.previous_positions(e, ["user_id"], ["event_id"], ["value"])
 
 
 @query("win1_running_elapsed", f"""
 SELECT "case", frame, {S('sum(frame_seconds) OVER (PARTITION BY "case" ORDER BY frame)', 5)} AS elapsed_seconds FROM timing""", ("timing",))
 def win1(spark, sf):
-    out = runs.running_elapsed(T.timing(spark, sf), ["case"], width=16)
+    out = runs.running_elapsed(T.timing(spark, sf), ["case"])
     return out.select("case", "frame", snap(F.col("elapsed_seconds"), 5).alias("elapsed_seconds"))
 
 

@@ -336,6 +336,6 @@ def spectral_fit_maps(spark, sf):
 @query("agg29_case_speedup", f"""WITH l AS (SELECT "case", max(frame) AS frame, sum(frame_seconds) AS s FROM timing GROUP BY 1)
 SELECT "case", frame, {S("(SELECT s FROM l WHERE \"case\"='5-LOW')/s", 7)} AS speedup FROM l""", ("timing",))
 def case_speedup(spark, sf):
-    elapsed = runs.running_elapsed(T.timing(spark, sf), ["case"], width=16)
+    elapsed = runs.running_elapsed(T.timing(spark, sf), ["case"])
     latest = compare.latest_per_case(elapsed, ["case"], ["elapsed_seconds"])
     return compare.speed_up(latest, "5-LOW").select("case", "frame", snap(F.col("speedup"), 7).alias("speedup"))

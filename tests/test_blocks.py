@@ -45,7 +45,7 @@ def test_null_keys_are_a_group(spark, hot):
 
 def test_percentiles_match_numpy(spark, hot):
     points = {"low": 0.02, "mid": 0.5, "top": 0.995, "max": 1.0}
-    rows = {r["k"]: r for r in blocks.exact_percentiles(hot, ["k"], "v", points, blocks=16).collect()}
+    rows = {r["k"]: r for r in blocks.exact_percentiles(hot, ["k"], "v", points).collect()}
     groups = {}
     for r in hot.collect():
         groups.setdefault(r["k"], []).append(r["v"])
@@ -56,7 +56,7 @@ def test_percentiles_match_numpy(spark, hot):
 
 
 def test_percentiles_without_keys(spark, hot):
-    row = blocks.exact_percentiles(hot, [], "v", {"m": 0.37}, blocks=8).first()
+    row = blocks.exact_percentiles(hot, [], "v", {"m": 0.37}).first()
     assert row["m"] == pytest.approx(np.percentile([r["v"] for r in hot.collect()], 37))
 
 
@@ -66,7 +66,7 @@ def test_interval_lookup(spark, hot, count):
     edges = sorted(set(r.choice(1000, count, replace=False).tolist()))
     rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if k % 7 != 3]
     intervals = spark.createDataFrame(rows, "bin int, lo double, hi double")
-    got = lookup.interval_lookup(hot.select("id", "v"), "v", intervals, "lo", "hi", closed_top=float(edges[-1]), blocks=16)
+    got = lookup.interval_lookup(hot.select("id", "v"), "v", intervals, "lo", "hi", closed_top=float(edges[-1]))
     found = {row["id"]: row["bin"] for row in got.collect()}
     known = {k for k, _, _ in rows}
     for row in hot.collect():
@@ -80,17 +80,51 @@ def test_interval_lookup(spark, hot, count):
 
 def test_interval_lookup_by_key(spark, hot):
     intervals = spark.range(0, 1000, 10).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("lo"), (F.col("id") + 10.0).alias("hi"))
-    got = lookup.interval_lookup(hot.filter("k < 3"), "v", intervals, "lo", "hi", on=("k",), blocks=8).collect()
+    got = lookup.interval_lookup(hot.filter("k < 3"), "v", intervals, "lo", "hi", on=("k",)).collect()
     want = [r for r in hot.filter("k < 3").collect() if int(r["v"] // 10 * 10) % 3 == r["k"]]
     assert sorted(r["id"] for r in got) == sorted(r["id"] for r in want)
     assert all(r["lo"] <= r["v"] < r["hi"] for r in got)
 
 
-def test_many_blocks_are_searched(spark):
-    boundaries = [float(v) for v in range(0, 3000, 3)]
-    df = spark.range(0, 3500, 7).select(F.col("id").cast("double").alias("v"))
-    for r in df.select("v", blocks.value_blocks(F.col("v"), boundaries).alias("b")).collect():
-        assert r["b"] == bisect.bisect_right(boundaries, r["v"])
+def test_percentiles_of_hard_values(spark):
+    """Values over many scales, many equal ones, a NULL key, spans beyond a double, and rows that do not count."""
+    r = np.random.default_rng(1)
+    groups = {"scales": (10.0 ** r.uniform(-30, 30, 500)).tolist(), "equal": [3.5] * 400 + [7.0], None: r.normal(size=301).tolist(),
+              "wide": [-1.7e308, 0.0, 5e-324, 1.7e308, 1.0], "one": [2.0]}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("one", None), ("one", float("nan")), ("one", float("inf")), ("none", None)]
+    points = {"a": 0.02, "b": 0.5, "c": 0.995}
+    found = {r["k"]: r for r in blocks.exact_percentiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", points).collect()}
+    assert found.keys() == groups.keys()
+    for k, values in groups.items():
+        values = sorted(values)
+        for name, q in points.items():
+            at = (len(values) - 1) * q
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            assert found[k][name] == pytest.approx(low + (high - low) * (at - np.floor(at)), rel=1e-12)
+    assert blocks.exact_percentiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", points).count() == 0
+
+
+def test_summaries_are_carried_in_a_tree(spark, hot, monkeypatch):
+    """Three blocks to a group: sums, lags and latest values cross groups, also where blocks are sparse or negative."""
+    monkeypatch.setattr(blocks, "FAN", 3)
+    some = hot.filter("id < 2000").withColumn("id", (F.col("id") - 700) * F.when(F.col("id") > 1500, 1000).otherwise(1))
+    some = some.withColumn("gap", F.when(F.col("v") % 50 == 7, F.col("v")))
+    w = W.partitionBy("k").orderBy("id")
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    want = some.withColumns({"s": F.sum("v").over(upto), "a": F.lag("v", 1).over(w), "b": F.lag("id", 4).over(w), "l": F.last("gap", ignorenulls=True).over(upto)})
+    got = blocks.running_sum(some, ["k"], ["id"], {"s": "v"}, width=9)
+    got = blocks.shifted_rows(got, ["k"], ["id"], {"a": ("v", 1), "b": ("id", 4)}, width=9)
+    got = blocks.last_value(got.withColumn("l", F.col("gap")), ["k"], ["id"], "l", "l", width=9)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    total = blocks.running_sum(some, [], ["id"], {"s": "v"}, width=9, totals={"t": "s"}).agg(F.max("s"), F.min("t"), F.max("t")).first()
+    assert set(total) == {some.agg(F.sum("v")).first()[0]}
+    assert "SinglePartition" not in blocks.running_sum(some, [], ["id"], {"s": "v"})._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_spread_a_hot_position(spark):
+    points = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id") / 100.0).alias("x"))
+    laid = blocks.range_blocks(points.repartition(4), ["x"], "r")
+    assert laid.filter("x = 5.0").select("r").distinct().count() > 1 or laid.select("r").distinct().count() == 1
 
 
 def test_last_value(spark, hot):
