@@ -14,13 +14,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldframe.llm.common import small, staged
+
 UNKNOWN = "und"
 NGRAMS, BITS, WIDTH = (1, 2, 3, 4), 16, 16
-#: The training sample: about this many texts of each language, and the most languages that are learned.
-SAMPLE_TEXTS, MAX_LANGUAGES = 500, 200
+#: The training sample: about this many texts of each language, and at most so many (subword, share) pairs over all
+#: languages (12 bytes each), dealt evenly. Every language is learned; a text gives at least ``LEAST_PAIRS`` of its pairs.
+SAMPLE_TEXTS, SAMPLE_PAIRS, LEAST_PAIRS = 500, 16_000_000, 1_000
 EPOCHS, RATE = 6, 2.0
 #: Share of wrong answers that accepted texts may have, as measured on the texts kept out.
 ACCEPTED_ERROR = 0.01
@@ -70,18 +73,23 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     languages: list[str]
-    #: Embeddings already multiplied by the softmax weights, one row for each bucket.
+    #: One row for each bucket: its embedding, or, where there are fewer languages than ``WIDTH``, that times the weights.
     table: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, 0), np.float32))
+    #: Softmax weights of the averaged embedding, None where the table holds them already.
+    weight: np.ndarray | None = None
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     temperature: float = 1.0
     threshold: float = 0.0
 
     def probabilities(self, text: str) -> np.ndarray:
-        total, count = np.zeros(len(self.languages)), 0
+        total, count = np.zeros(self.table.shape[1]), 0
         for rows in subwords(text):
             total += self.table[rows].sum(axis=0, dtype=np.float64)
             count += len(rows)
-        return _softmax((total / max(count, 1) + self.bias) / self.temperature)
+        return _softmax((self._scores(total / max(count, 1)) + self.bias) / self.temperature)
+
+    def _scores(self, mean: np.ndarray) -> np.ndarray:
+        return mean if self.weight is None else mean @ self.weight
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, probability, and whether the probability is high enough to be relied on."""
@@ -121,8 +129,12 @@ def fit(texts: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], s
             # the share of a subword in the text scales its step; the root evens out long and short texts
             embed[rows] -= rate * np.outer(np.sqrt(share), back)
             step += 1
-    model.table, model.bias = embed @ weight, bias
-    logits = np.array([share @ model.table[rows] + bias for _, rows, share in keep])
+    model.bias = bias
+    if len(languages) <= WIDTH:
+        model.table = embed @ weight
+    else:
+        model.table, model.weight = embed, weight
+    logits = np.array([model._scores(share @ model.table[rows]) + bias for _, rows, share in keep])
     truth = np.array([t[0] for t in keep])
     at = np.arange(len(truth))
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(logits / t)[at, truth] + 1e-12).mean()))
@@ -134,45 +146,52 @@ def fit(texts: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], s
     return model
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, shares = [], []
-        for text in batch.column("text").to_pylist():
-            count = np.zeros(1 << BITS, np.int64)
-            for part in subwords(text):
-                count += np.bincount(part, minlength=1 << BITS)
-            used = np.flatnonzero(count)
-            rows.append(used.astype(np.int32))
-            shares.append((count[used] / max(1, count.sum())).astype(np.float32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), batch.column("h"), pa.array(rows, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
-            names=["lang", "h", "rows", "shares"])
+def _hashed(most: int):
+    """Subword counts of texts; of a text with more than ``most`` different ones the most frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, shares = [], []
+            for text in batch.column("text").to_pylist():
+                count = np.zeros(1 << BITS, np.int64)
+                for part in subwords(text):
+                    count += np.bincount(part, minlength=1 << BITS)
+                used = np.flatnonzero(count)
+                if len(used) > most:
+                    used = np.sort(used[np.argsort(-count[used], kind="stable")[:most]])
+                rows.append(used.astype(np.int32))
+                shares.append((count[used] / max(1, count[used].sum())).astype(np.float32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("h"), pa.array(rows, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
+                names=["lang", "h", "rows", "shares"])
+    return run
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_texts: int = SAMPLE_TEXTS) -> Model:
+          sample_texts: int = SAMPLE_TEXTS, sample_pairs: int = SAMPLE_PAIRS) -> Model:
     """Fit on a bounded sample of the labelled texts in ``docs``: those with the smallest hashes of their ids.
 
-    The sample has about ``sample_texts`` texts of each of at most ``MAX_LANGUAGES`` languages (the most frequent
-    ones). Tasks count the subwords of the sampled texts; the driver receives the counts, at most 2^16 a text. Rows
-    with a null text, language or id are passed over. Runs now.
+    Every language is learned, from about ``sample_texts`` of its texts; of several texts of one id the one with the smallest hash is taken.
+    Tasks count the subwords; the driver receives the counts: ``sample_pairs`` over all languages, an equal part for each, filled
+    in the order of the hashes, and from a text that alone has more the most frequent ones. Rows with a null text, language or id are passed over.
+    With so many languages that a part has fewer than ``LEAST_PAIRS`` pairs the counts grow with them. Runs now.
     """
-    known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    counts = staged(known.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "languages")
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not languages:
         return Model([])
-    languages = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, sample_texts / r["count"]) for r in counts}
-    chance = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])
-    hashed = F.xxhash64(F.col(id_col))
-    rows = known.select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.col(text_col).alias("text"))
-    drawn = rows.filter((F.col("h").cast("double") / float(1 << 64) + 0.5) < chance[F.col("lang")])
-    found = (drawn.mapInArrow(_hashed, "lang string, h long, rows array<int>, shares array<float>")
-             .limit(2 * sample_texts * len(languages)).collect())
+    part = max(LEAST_PAIRS, sample_pairs // len(languages))
+    here = F.col("h").cast("double") / float(1 << 64) + 0.5
+    drawn = (known.join(small(counts), "lang").filter(here < F.lit(float(sample_texts)) / F.col("texts"))
+             .groupBy("lang", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    hashed = staged(drawn.mapInArrow(_hashed(part), "lang string, h long, rows array<int>, shares array<float>").filter(F.size("rows") > 0), "language-sample")
+    upto = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = hashed.withColumn("pairs", F.sum(F.size("rows")).over(upto)).filter(F.col("pairs") <= part).drop("pairs").orderBy("h", "lang").toArrow()
     number = {lang: i for i, lang in enumerate(languages)}
-    ordered = sorted(found, key=lambda r: (r["h"], r["lang"], r["rows"]))
-    texts = [(number[r["lang"]], np.array(r["rows"], np.int64), np.array(r["shares"], np.float32)) for r in ordered if r["rows"]]
-    return fit(texts, languages)
+    told = held.column("lang").to_pylist()
+    lists = [[x.values.to_numpy() for x in held.column(c)] for c in ("rows", "shares")]
+    return fit([(number[lang], rows.astype(np.int64), shares) for lang, rows, shares in zip(told, *lists)], languages)
 
 
 def _predictor(shared):
@@ -191,8 +210,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``lang_pred`` is always a learned language, or ``und`` with score 0 if the text is null or has no letter, or
     nothing was learned. Whole texts are read, in slices. Repeated rows get equal results, null ids pass, further
-    columns are ignored, an empty table gives no rows. There is no shuffle. What is broadcast is the table of 2^16
-    rows with a number for each language, at most ``MAX_LANGUAGES``.
+    columns are ignored, an empty table gives no rows. There is no shuffle. What is broadcast is a table of 2^16
+    rows with ``WIDTH`` numbers at most, and ``WIDTH`` weights for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -131,10 +131,24 @@ def _placed(copies: DataFrame, mix: Mix) -> DataFrame:
             .withColumn("before", F.col("after") - F.col("n_tokens")).drop("offset", "bucket"))
 
 
+def _fits(n_tokens, rest, mix: Mix):
+    """A document that the cut epoch may take. One of more than twice the rest would only lead away from the quota; a given budget is kept."""
+    return n_tokens <= (2 * rest if mix.budget is None else rest)
+
+
 def _rest_copies(rows: DataFrame, quotas: DataFrame, mix: Mix) -> DataFrame:
-    """The documents of each source's last, cut epoch: the permutation as far as the rest of the quota reaches."""
+    """The documents of each source's last, cut epoch.
+
+    The permutation of the documents that fit is followed as far as the rest of the quota reaches; the document that
+    crosses its end is taken if that comes nearer to the quota, unless a budget was given, which is not exceeded. A source
+    so misses its quota by half a document at most, with a budget by less than one.
+    """
     begun = quotas.filter("rest > 0").select("source", "docs", "rest", "total", "quota", F.col("epochs").alias("epoch"))
-    return _placed(rows.join(small(begun), "source"), mix).filter(F.col("after") <= F.col("rest")).drop("rest")
+    fitting = rows.join(small(begun), "source").filter(_fits(F.col("n_tokens"), F.col("rest"), mix))
+    together = Window.partitionBy("source", "epoch", "at", "id")
+    placed = _placed(fitting, mix).withColumn("start", F.col("after") - F.sum("n_tokens").over(together))
+    crossing = F.lit(mix.budget is None) & (F.col("start") < F.col("rest")) & (F.col("after") - F.col("rest") <= F.col("rest") - F.col("start"))
+    return placed.filter((F.col("after") <= F.col("rest")) | crossing).drop("start")
 
 
 def plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -167,11 +181,23 @@ def repeat(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col:
     rows = _rows(docs, id_col, text_col, source_col)
     quotas = source_quotas(rows, mix)
     reached = _rest_copies(rows, quotas, mix).groupBy("source").agg(F.max(F.struct("at", "id")).alias("mark"))
-    marks = staged(quotas.select("source", "epochs").join(reached, "source", "left")
-                   .select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("mark").alias("_mark")), "source-marks")
-    keyed = docs.select(row_of(docs), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_key"))
+    marks = staged(quotas.select("source", "epochs", "rest").join(reached, "source", "left")
+                   .select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("rest").alias("_rest"), F.col("mark").alias("_mark")), "source-marks")
+    keyed = docs.select(row_of(docs), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_key"),
+                        tokens(F.col(text_col)).alias("_tokens"))
     here = F.struct(order(mix.seed, F.col("_epochs"), F.col("_id")).alias("at"), F.col("_id").alias("id"))
-    more = F.when(F.col("_mark").isNotNull() & (here <= F.col("_mark")), F.lit(1)).otherwise(F.lit(0))
+    more = F.when(F.col("_mark").isNotNull() & (here <= F.col("_mark")) & _fits(F.col("_tokens"), F.col("_rest"), mix), F.lit(1)).otherwise(F.lit(0))
     copies = F.expr("array_repeat(1, cast(_copies as int))")
     return (keyed.join(small(marks), F.col("_key") == F.col("_source")).withColumn("_copies", F.col("_epochs") + more)
             .withColumn("_copy", F.explode(copies)).select("row.*"))
+
+
+def report(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per source: total tokens, quota, planned weight, and the tokens and weight that :func:`plan` realises."""
+    rows = _rows(docs, id_col, text_col, source_col)
+    quotas = source_quotas(rows, mix)
+    more = _rest_copies(rows, quotas, mix).groupBy("source").agg(F.sum("n_tokens").alias("more"))
+    got = staged(quotas.join(more, "source", "left").select(
+        "source", "total", "quota", "weight", (F.col("epochs") * F.col("total") + F.coalesce("more", F.lit(0))).alias("realised")), "mix-report")
+    whole = got.agg(F.sum("realised")).first()[0] or 1
+    return got.withColumn("realised_weight", F.col("realised") / F.lit(float(whole)))

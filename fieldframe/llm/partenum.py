@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldframe.llm.common import small, staged
@@ -207,13 +207,14 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, rows)
 
 
-def _keys(join: Join):
+def _keys(join: Join, carried: str = "id"):
+    """Set sizes and keys beside the column ``carried``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = ((len(s), *set_key(s)) for s in shingle_sets(batch.column("text").to_pylist(), join.width))
             columns = list(zip(*sets)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns)],
-                                             names=["id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(carried), *(pa.array(c, pa.int64()) for c in columns)],
+                                             names=[carried, "n", "k1", "k2"])
     return run
 
 
@@ -232,19 +233,6 @@ def _signed(join: Join):
     return run
 
 
-def _signed_alone(join: Join):
-    """As :func:`_signed`, with the set key, and no row speaks for another id."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _slices(whole):
-                rows = {(number, *set_key(elements)): elements for number, elements in
-                        zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), join.width)) if len(elements)}
-                found = [np.concatenate([signatures(e, b) for b in join.of(len(e))]) for e in rows.values()]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), _lists(found)],
-                                                 names=["id", "k1", "k2", "sigs"])
-    return run
-
-
 def _sketched(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -399,37 +387,93 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _told_apart(rows: DataFrame, keyed: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (id, text), the sets of their ids, and what stands for ids with several sets.
+
+    Such an id is replaced by a number of its own for each of its sets, larger than any id or smaller than all. The
+    third table says (id, own, digest): the id, its numbers, and the digests of the texts; None if there is none such.
+    """
+    known = rows.filter(F.col("id").isNotNull())
+    sets = keyed.filter(F.col("id").isNotNull() & (F.col("n") > 0))
+    nodes = sets.groupBy("id").agg(F.min(F.struct("k1", "k2", "n")).alias("s"), F.max(F.struct("k1", "k2", "n")).alias("t"))
+    mixed = staged(nodes.filter("s <> t").select("id"), "mixed-ids")
+    if mixed.isEmpty():
+        return known, nodes.select("id", "s.*"), None
+    several = known.join(small(mixed), "id").select(F.struct("id", F.sha2("text", 256).alias("digest")).alias("own_id"), "text")
+    found = staged(several.mapInArrow(_keys(join, "own_id"), "own_id struct<id: long, digest: string>, n long, k1 long, k2 long")
+                   .filter("n > 0").select("own_id.id", "own_id.digest", "n", "k1", "k2").distinct(), "mixed-sets")
+    each = found.select("id", "k1", "k2", "n").distinct()
+    low, high, count = *keyed.agg(F.min("id"), F.max("id")).first(), each.count()
+    first = high + 1 if high < (1 << 63) - 1 - count else low - count
+    # numbers by partition and place in it, written so that they stay as they are
+    loose = staged(each.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "mixed-places")
+    sizes = loose.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("place").alias("begin"))
+    before = Window.partitionBy(F.least(F.abs("part"), F.lit(0))).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("part", "begin", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    numbered = staged(loose.join(F.broadcast(begins), "part").select(
+        "id", "k1", "k2", "n", (F.col("place") - F.col("begin") + F.col("before") + F.lit(first)).alias("own")), "mixed-numbers")
+    names = staged(found.join(numbered, ["id", "k1", "k2", "n"]).select("id", "own", "digest"), "mixed-names")
+    renamed = (known.join(small(mixed), "id").withColumn("digest", F.sha2("text", 256))
+               .join(names, ["id", "digest"]).select(F.col("own").alias("id"), "text"))
+    apart = known.join(small(mixed), "id", "left_anti").unionByName(renamed)
+    own_sets = numbered.select(F.col("own").alias("id"), "k1", "k2", "n")
+    return apart, nodes.join(small(mixed), "id", "left_anti").select("id", "s.*").unionByName(own_sets), names
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """Per row of ``docs``: id, n_shingles (size of its set), component_id (smallest id that links reach, itself included).
 
     Words are what stands between spaces, tabs and line ends, after lower-casing A-Z; a set holds the distinct
     shingles of ``join.width`` words, the whole sequence if there are fewer words. Without text or words the set is
-    empty and linked with nothing. Sets are held as 64-bit hashes. Rows of one id are one document: its links are
-    those of the text with the smallest set key. Rows with a null id keep their n_shingles and have a null
+    empty and linked with nothing. Sets are held as 64-bit hashes. Rows of one id are one document, which has the
+    links of all its texts. Rows with a null id keep their n_shingles and have a null
     component. Further columns are ignored, an empty table gives no rows. Several steps are written as they come.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.filter(F.col("id").isNotNull())
+    keyed, reached, names = _reached(docs, id_col, text_col, join)
+    if names is not None:
+        # an id with several texts ties the groups of its texts together
+        mixed = names.select("id", "own").distinct()
+        ids = reached.join(mixed.select(F.col("id").alias("real"), F.col("own").alias("id")), "id", "left").select(F.coalesce("real", "id").alias("id"), "component_id").distinct()
+        ids = staged(ids, "ids-of-groups")
+        least = ids.join(small(mixed.select("id").distinct()), "id").groupBy("id").agg(F.min("component_id").alias("a"))
+        ties = ids.join(least, "id").select(F.col("component_id").alias("b"), "a").filter("a <> b")
+        tied = components(ties)
+        merged = ids.join(tied.withColumnRenamed("node", "component_id"), "component_id", "left").select("id", F.coalesce("component", "component_id").alias("group")).distinct()
+        smallest = merged.groupBy("group").agg(F.min("id").alias("component_id"))
+        reached = staged(merged.join(smallest, "group").select("id", "component_id"), "groups")
+    return (keyed.select("id", F.col("n").alias("n_shingles")).join(reached, "id", "left")
+            .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", F.col("id")).alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """What to drop so that of each group of linked texts the document with the smallest id stays: (id, digest).
+
+    A null ``digest`` stands for all texts of the id; else only the text with this SHA-256 goes, as the id has others
+    too. Of several near texts under the smallest id one stays. Null ids and sets without words are in no group.
+    """
+    _, reached, names = _reached(docs, id_col, text_col, join)
+    if names is None:
+        return reached.filter("component_id <> id").select("id", F.lit(None).cast("string").alias("digest"))
+    named = reached.join(names.select(F.col("id").alias("real"), F.col("own").alias("id"), "digest"), "id", "left").select(
+        F.coalesce("real", "id").alias("real"), "id", "digest", "component_id")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("real", "id")).alias("stays"))
+    return named.join(stays, "component_id").filter(F.col("stays.id") != F.col("id")).select(F.col("real").alias("id"), "digest")
+
+
+def _reached(docs: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The sets of all rows (id, n, k1, k2), (id, component_id) of all sets told apart, and the names of ids told apart."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keyed = staged(rows.mapInArrow(_keys(join), "id long, n long, k1 long, k2 long"), "set-keys")
-    nodes = (keyed.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("id")
-             .agg(F.min(F.struct("k1", "k2", "n")).alias("s"), F.max(F.struct("k1", "k2", "n")).alias("t"))
-             .select("id", "s.*", (F.col("s") != F.col("t")).alias("mixed")))
+    known, nodes, names = _told_apart(rows, keyed, join)
     # the class of equal sets goes by its smallest id
     smallest = nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    classes = staged(nodes.join(smallest, ["k1", "k2"]).select("id", "rep", "n", "k1", "k2", "mixed"), "set-classes")
+    classes = staged(nodes.join(smallest, ["k1", "k2"]).select("id", "rep", "n", "k1", "k2"), "set-classes")
 
     # copies need no signatures of their own; where they are too many for a broadcast, they are merged further down
     copies = staged(classes.filter("id <> rep").select("id"), "set-copies")
     few = small(copies)
     speakers = known.join(few, "id", "left_anti") if few is not copies else known
-    # an id with unequal texts speaks for its own class only, by the text that put it there
-    mixed = staged(classes.filter("mixed").select("id", "k1", "k2"), "mixed-ids")
-    some = mixed.limit(1).count() > 0
-    single = speakers.join(small(mixed.select("id")), "id", "left_anti") if some else speakers
-    lists = single.mapInArrow(_signed(join), "id long, sigs array<long>")
-    if some:
-        alone = speakers.join(small(mixed.select("id")), "id").mapInArrow(_signed_alone(join), "id long, k1 long, k2 long, sigs array<long>")
-        lists = lists.unionByName(alone.join(small(mixed), ["id", "k1", "k2"]).select("id", "sigs"))
+    lists = speakers.mapInArrow(_signed(join), "id long, sigs array<long>")
     signed = lists.select("id", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("sig")
     met = signed.join(shared, "sig").join(classes.select("id", "rep", "n"), "id").select("sig", "rep", "n").distinct()
@@ -460,5 +504,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = _linked(staged(across.distinct(), "cross-pairs").join(stars, ["a", "b"], "left_anti"), details, known, join)
         found = staged(components(links.unionByName(more)), "components")
     reached = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
-    return (keyed.select("id", F.col("n").alias("n_shingles")).join(reached, "id", "left")
-            .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", F.col("id")).alias("component_id")))
+    return keyed, reached, names

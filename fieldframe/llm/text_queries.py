@@ -106,9 +106,11 @@ MIX = mixing.Mix(entropy=0.95, repeats=2.0, budget=None, block_tokens=1_000_000)
     g AS (SELECT ceil(sum(quota) / {MIX.block_tokens}.0) AS blocks FROM e),
     c AS (SELECT doc_id, d.source, n_tokens, unnest(range(0, epochs + 1)) AS epoch, total, quota, epochs FROM d JOIN e USING (source)),
     p AS (SELECT *, ('0x' || substr(md5('{MIX.seed}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS place FROM c),
-    r AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, doc_id) AS BIGINT) AS after FROM p),
+    m AS (SELECT *, quota - epochs * total AS rest FROM p WHERE epoch < epochs OR (quota > epochs * total AND n_tokens <= 2 * (quota - epochs * total))),
+    r AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, doc_id) AS BIGINT) AS after,
+                 CAST(sum(n_tokens) OVER (PARTITION BY source, epoch, place, doc_id) AS BIGINT) AS same FROM m),
     f AS (SELECT *, CASE WHEN quota > 0 THEN CAST(least(floor((epoch * total + after - n_tokens)::DOUBLE * blocks / quota), blocks - 1) AS BIGINT) ELSE 0 END AS block
-          FROM r, g WHERE epoch < epochs OR (quota > epochs * total AND after <= quota - epochs * total))
+          FROM r, g WHERE epoch < epochs OR after <= rest OR (after - same < rest AND after - rest <= rest - (after - same)))
     SELECT doc_id, source, n_tokens, epoch, block,
            row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('{MIX.seed}-block:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT, epoch, doc_id) AS position
     FROM f""")

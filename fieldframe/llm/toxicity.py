@@ -25,9 +25,11 @@ from fieldframe.llm.common import row_of, staged
 
 #: The training sample: texts of each class, and the longest text (in characters) that may be one of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1800, 60_000
-#: Window and step in bytes; the overlap is as long as a word, so no word is cut in all windows.
-WINDOW, STEP = 48, 36
-#: Bytes of common ordinary text at the start of both dictionaries, and of text of one class at their ends.
+#: Window and step in bytes, and the longest learned stretch: windows overlap by as much, so no stretch is cut in all of them.
+WINDOW, STRETCH_BYTES = 48, 26
+STEP = WINDOW - STRETCH_BYTES
+#: Bytes of common ordinary text at the start of both dictionaries, and of text of one class at their ends. Of what is
+#: specific to toxic texts the strongest stretches have room; ``Model.left_out`` says how many bytes had none.
 SHARED_BYTES, OWN_BYTES = 8000, 4000
 #: A stretch of a word is specific to toxic texts from this many standard errors and this ratio of document frequencies on.
 MIN_ERRORS, MIN_RATIO, MIN_TEXTS = 6.0, 8.0, 10
@@ -41,6 +43,8 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...]
+    #: Bytes of stretches specific to toxic texts that the dictionary had no room for.
+    left_out: int = 0
 
     @property
     def fitted(self) -> bool:
@@ -52,7 +56,7 @@ def _stretches(text: str) -> Counter:
     found = set()
     for word in set(text.lower().split()):
         word = word.strip(_STRIP)
-        if 3 <= len(word) <= 24:
+        if len(word) >= 3 and len(word.encode("utf-8", "surrogatepass")) <= STRETCH_BYTES - 2:
             found.add(f" {word} ")
             found.update(f" {word[:n]}" for n in range(4, min(len(word), 9)))
     return Counter(found)
@@ -76,16 +80,17 @@ def _specific(own: Counter, n_own: int, other: Counter, n_other: int) -> list[st
     return sorted((s for s in error if longer.get(s, 0) < 0.9 * own[s]), key=error.get)
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, int]:
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for text in texts:
             counts.update(_stretches(text))
     common = "".join(s for s, _ in in_ordinary.most_common(4000) if s.endswith(" ")).encode()
-    own = "".join(_specific(in_toxic, len(toxic), in_ordinary, len(ordinary))).encode()[-OWN_BYTES:]
+    specific = "".join(_specific(in_toxic, len(toxic), in_ordinary, len(ordinary))).encode()
+    own = specific[-OWN_BYTES:]
     # what is specific to toxic texts meets as much further common text of ordinary ones at the same distance
     shared, further = common[:SHARED_BYTES], common[SHARED_BYTES:][: len(own)]
-    return shared + own + b" " * 8, shared + further + b" " * (8 + len(own) - len(further))
+    return shared + own + b" " * 8, shared + further + b" " * (8 + len(own) - len(further)), len(specific) - len(own)
 
 
 @lru_cache(maxsize=4)
@@ -136,20 +141,20 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     if min(len(toxic), len(ordinary)) < 6:
         return Model(b"", b"", ())
     cut_t, cut_o = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
-    dictionaries = _dictionaries(toxic[:cut_t], ordinary[:cut_o])
+    *dictionaries, left_out = _dictionaries(toxic[:cut_t], ordinary[:cut_o])
     rest = toxic[cut_t:] + ordinary[cut_o:]
     x = np.array([features(savings(t, *dictionaries)) for t in rest])
     y = np.array([1.0] * (len(toxic) - cut_t) + [0.0] * (len(ordinary) - cut_o))
     weight = np.where(y == 1, MISS_COST * toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
-    return Model(*dictionaries, tuple(_logistic(x, y, weight)))
+    return Model(*dictionaries, tuple(_logistic(x, y, weight)), left_out)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", sample_texts: int = SAMPLE_TEXTS) -> Model:
     """Fit on a bounded sample of labelled texts: ``sample_texts`` of each class, by the smallest hashes of their ids.
 
-    Texts over ``SAMPLE_CHARS`` characters are not used for learning. Rows without label or id, and texts that are
-    null, are passed over. Runs now; the driver receives the sample.
+    Texts over ``SAMPLE_CHARS`` characters are not used for learning, and of several texts of one id the one with the
+    smallest hash is. Rows without label or id, and texts that are null, are passed over. Runs now; the driver receives the sample.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_toxic"))
     counts = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
@@ -158,11 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         # a share that surely holds the sample, so that no task ranks more than a few times its rows
         share = min(1.0, 2.0 * sample_texts / max(1, counts.get(label, 0)))
         near = F.xxhash64(id_col).cast("double") / float(1 << 64) + 0.5 <= share
-        part = known.filter((F.col("_toxic") == label) & near).orderBy(F.xxhash64(id_col), id_col).limit(sample_texts)
+        part = known.filter((F.col("_toxic") == label) & near).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_texts)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = staged(chosen, "toxicity-sample")  # at most twice sample_texts rows
     rows = (docs.select(id_col, text_col).filter(F.length(text_col) <= SAMPLE_CHARS)
-            .join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), "_toxic").limit(4 * sample_texts).collect())
+            .join(F.broadcast(chosen), id_col).groupBy(id_col, "_toxic").agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), text_col)).alias("t"))
+            .select(F.xxhash64(id_col).alias("h"), "t", "_toxic").collect())
     ordered = sorted(rows, key=lambda r: (r["h"], r["t"]))
     # copies count once
     texts = {label: list({r["t"].lower(): r["t"] for r in ordered if r["_toxic"] == label}.values()) for label in (0, 1)}

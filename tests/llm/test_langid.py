@@ -41,3 +41,29 @@ def test_nothing_to_learn(make):
     model = langid.train(make([(1, "abc"), (2, None, "xx")]))
     assert [r["lang_pred"] for r in langid.predict(make([(1, "abc")]), model).collect()] == ["und"]
     assert langid.predict(make([]), model).count() == 0
+
+
+def test_every_language_is_learned(make):
+    """201 languages, each with a word ending of its own; a small sample still holds all of them."""
+    ending = {f"l{k:03d}": chr(0x4E00 + k) * 2 for k in range(201)}
+    rows = [(10 * k + i, " ".join(f"ab{e} cd{e}" for _ in range(3 + i)), lang) for k, (lang, e) in enumerate(ending.items()) for i in range(6)]
+    model = langid.train(make(rows), sample_texts=6, sample_pairs=201 * 60)
+    assert model.languages == sorted(ending) and model.table.shape[1] == langid.WIDTH
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(make(rows), model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.9
+
+
+def test_sample_does_not_depend_on_partitions(make):
+    rows = corpus(20) + [(7, "kalomi tu " * n, "aa") for n in range(1, 30)]
+    models = [langid.train(make(rows).repartition(n), sample_texts=15, sample_pairs=4_000) for n in (1, 7)]
+    assert np.array_equal(models[0].table, models[1].table) and np.array_equal(models[0].bias, models[1].bias)
+
+
+def test_scores_are_the_plain_softmax_of_averages(make):
+    model = langid.train(make(corpus()))
+    for r in langid.predict(make(corpus(5)).withColumnRenamed("source", "score").withColumnRenamed("n_chars", "accepted"), model).collect():
+        text = next(t for i, t, _ in corpus(5) if i == r["doc_id"])
+        rows = np.concatenate(list(langid.subwords(text)))
+        z = (sum(model.table[k].astype(float) for k in rows) / len(rows) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r["lang_pred"] == model.languages[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-6

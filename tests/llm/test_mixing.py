@@ -54,3 +54,16 @@ def test_repeated_rows_null_ids_and_empty(make):
     docs = make([(1, "a b", None, "s", 0)] * 3 + [(None, "c", None, "s", 0), (2, "d", None, "t", 0)])
     assert sum(Counter(r["doc_id"] for r in mixing.plan(docs).collect()).values()) >= 5
     assert mixing.plan(make([])).count() == 0 and mixing.repeat(make([])).count() == 0
+
+
+def test_a_long_document_does_not_cost_the_quota(make):
+    """200 documents of one word and one of 700, wherever it comes: the quota is met within half of it."""
+    rows = [(i, "w", None, "mixed", 0) for i in range(200)] + [(900, "w " * 700, None, "mixed", 0)] + [(1000 + i, "w " * 10, None, "big", 0) for i in range(158)]
+    for seed in range(4):
+        mix = mixing.Mix(entropy=1.0, repeats=2.0, seed=str(seed))
+        got = mixing.plan(make(rows), mix).collect()
+        told = {r["source"]: r for r in mixing.report(make(rows), mix).collect()}
+        for source, r in told.items():
+            realised = sum(g["n_tokens"] for g in got if g["source"] == source)
+            assert realised == r["realised"] and abs(realised - r["quota"]) <= 350 and abs(r["realised_weight"] - r["weight"]) < 0.12
+        assert Counter(g["doc_id"] for g in got) == Counter(r["doc_id"] for r in mixing.repeat(make(rows), mix).collect())

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -115,16 +116,49 @@ def test_null_ids_repeated_rows_extra_columns_and_empty(make):
     assert partenum.jaccard_components(make([])).count() == 0
 
 
-def test_an_id_with_two_texts_does_not_silence_another(make):
+def brute_rows(rows, join):
+    """Components of ids whose rows are linked or shared."""
+    numbered = brute([(n, t) for n, (_, t) in enumerate(rows)], join)
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, _) in enumerate(rows):
+        x, y = find(i), find(rows[numbered[n][1]][0])
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def two_texts():
+    one, two = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    return [(5, one), (5, two), (6, two), (7, two + " end"), (8, one + " end"), (9, "far from all else here"), (9, "and this too is alone"),
+            (10, "far from ALL else here"), (2, None), (2, ""), (11, one.upper()), (11, "")]
+
+
+@pytest.mark.parametrize("shift", [0, (1 << 63) - 12, -(1 << 63)])
+def test_an_id_with_several_texts_has_the_links_of_all(make, shift):
+    rows = [(i + shift, t) for i, t in two_texts()]
     join = Join(3, 80, 100)
-    texts = [" ".join(f"{p}{i}" for i in range(60)) for p in "ab"]
-    one, two = sorted(texts, key=lambda t: partenum.set_key(next(partenum.shingle_sets([t], join.width))))
-    rows = [(5, one), (5, two), (6, two), (7, two + " end"), (8, one + " end")]
-    # one partition and batch, so that the row of id 5 comes before that of id 6
-    got = {r["doc_id"]: r["component_id"] for r in partenum.jaccard_components(make(rows).coalesce(1), join=join).collect()}
-    # id 5 stands for the text with the smallest set key
-    want = brute([(5, one), *rows[2:]], join)
-    assert got == {i: c for i, (_, c) in want.items()} == {5: 5, 6: 6, 7: 6, 8: 5}
+    for parts in (1, 4):
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in partenum.jaccard_components(make(rows).repartition(parts), join=join).collect()]
+        want = brute_rows(rows, join)
+        assert sorted(got) == sorted((i, len(shingles(t, 3)), want[i]) for i, t in rows)
+
+
+def test_near_duplicates_go_by_id_and_text(make):
+    base = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, base + " more"), (6, base), (6, "near to nothing at all"), (7, "plain other text of some words")]
+    gone = sorted((r["id"], r["digest"]) for r in partenum.near_duplicates(make(rows), join=Join(3, 80, 100)).collect())
+    assert gone == [(6, hashlib.sha256(base.encode()).hexdigest())]
+    rows = [(1, base + " more"), (6, base), (7, "plain other text of some words")]
+    assert [tuple(r) for r in partenum.near_duplicates(make(rows), join=Join(3, 80, 100)).collect()] == [(6, None)]
+    # two near texts of the smallest id: one stays
+    rows = [(1, base + " more"), (1, base), (6, base + " else")]
+    gone = [tuple(r) for r in partenum.near_duplicates(make(rows), join=Join(3, 80, 100)).collect()]
+    assert len(gone) == 2 and [i for i, _ in gone].count(6) == 1
 
 
 def test_components_of_chains_and_stars(spark):

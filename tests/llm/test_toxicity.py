@@ -51,3 +51,28 @@ def test_windows_cover_the_whole_text():
         text = ("ea on " * 1000)[:6000]
         spoiled = text[:at] + " blockhead " + text[at:]
         assert toxicity.savings(spoiled, model.toxic, model.ordinary).max() > toxicity.savings(text, model.toxic, model.ordinary).max()
+
+
+def test_a_stretch_is_seen_at_every_offset():
+    model = toxicity.fit([r[1] for r in corpus() if r[2]], [r[1] for r in corpus() if not r[2]], 0.25)
+    clean = "the ering onst anre " * 30
+    for word in RUDE:
+        for at in range(toxicity.STEP):
+            spoiled = clean[:200 + at] + f" {word} " + clean[200 + at:]
+            assert toxicity.savings(spoiled, model.toxic, model.ordinary).max() >= 2
+
+
+def test_scores_are_the_plain_model_and_the_sample_is_ordered(spark, make):
+    """Repeated ids with different texts, and another partitioning, leave the model as it is; scores follow from windows alone."""
+    rows = corpus() + [(4, f"nitwit {n} an the", 1) for n in range(40)]
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in corpus()] * 2, "doc_id long, quality int, toxic int")
+    models = [toxicity.train(make([r[:2] for r in rows]).repartition(n), labels.repartition(n)) for n in (1, 6)]
+    assert models[0] == models[1] and models[0].left_out >= 0
+    model = models[0]
+    for r in toxicity.scored(make([r[:2] for r in rows[:30]]), model).collect():
+        data = r["text"].lower().encode()
+        a, b = (toxicity._compressor(d) for d in (model.toxic, model.ordinary))
+        saved = [len(b.compress(data[i:i + toxicity.WINDOW])) - len(a.compress(data[i:i + toxicity.WINDOW]))
+                 for i in range(0, max(1, len(data) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
+        value = sum(w * x for w, x in zip(model.weights, toxicity.features(np.array(saved, float))))
+        assert abs(r["score"] - 1 / (1 + np.exp(-max(-30, min(30, value))))) < 1e-9
