@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldframe import configure
 from fieldframe.llm import exact_dedup, mixing, partenum, sentencepieces, toxicity
-from fieldframe.llm.common import read, small, staged
+from fieldframe.llm.common import read, row_of, small, staged
 from fieldframe.llm.model_queries import learnable_labels
 
 #: Documents scored at least so high are rejected.
@@ -26,7 +26,8 @@ MIX = mixing.Mix(entropy=0.95, repeats=2.0, budget=None)
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the model calls toxic."""
     model = toxicity.train(docs, learnable_labels(read(spark, sf_dir, "labels")))
-    return toxicity.scored(docs, model, out="_toxicity").filter(F.col("_toxicity") < TOXIC_SCORE).drop("_toxicity")
+    rows = docs.select(row_of(docs), F.col("text"))
+    return toxicity.scored(rows, model).filter(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,19 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without an id stay."""
-    found = partenum.jaccard_components(docs, join=NEAR)
-    gone = staged(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked texts the one with the smallest doc_id stays; rows without an id stay.
+
+    Where an id has several texts, each goes by its own links.
+    """
+    gone = staged(partenum.near_duplicates(docs, join=NEAR), "near-duplicates")
+    ids = gone.filter("digest IS NULL").select(F.col("id").alias("_id"))
+    texts = gone.filter("digest IS NOT NULL").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_id"))
+    kept = rows.join(small(staged(ids, "near-ids")), "_id", "left_anti")
+    if not texts.isEmpty():
+        digest = F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)
+        kept = kept.withColumn("_digest", digest).join(small(staged(texts, "near-texts")), ["_id", "_digest"], "left_anti")
+    return kept.select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
