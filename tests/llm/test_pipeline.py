@@ -70,3 +70,13 @@ def test_stages_on_an_empty_table(spark, sf, make):
         assert out.count() == 0
         if name != "token_ids":
             assert out.columns == docs.columns
+
+
+def test_stages_keep_columns_of_any_name_and_a_second_text(spark, sf, make):
+    base = " ".join(f"a{i}" for i in range(60))
+    docs = make([(1, base + " more"), (6, base), (6, "near to nothing at all"), (None, base)]).selectExpr("*", "1 AS `a.b`", "2 AS _toxicity", "3 AS score", "4 AS row", "5 AS _id")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", base + " more"), ("6", "near to nothing at all"), ("None", base)]
+    clean = corpus_pipeline.toxicity_filter(spark, docs, sf)
+    assert clean.columns == docs.columns and {r["_toxicity"] for r in clean.collect()} <= {2}
