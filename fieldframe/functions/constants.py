@@ -144,6 +144,9 @@ FIELD_ALIASES = {
     "pressure": ("press", "pressure", "prs", "pgas", "p"),
 }
 
+# Fixed value: a step record of a run log, its frame and seconds.
+STEP_PATTERN = r"Step\s+(\d+)\s+takes\s+([0-9.+\-Ee]+)\s+seconds"
+
 # Columns of the per-frame run summary.
 RUN_SUMMARY_COLUMNS = (
     "frame", "time", "stored", "active", "inactive", "weight_sum", "p_min", "p_max",

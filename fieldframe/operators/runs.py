@@ -96,14 +96,11 @@ def previous_positions(particles: DataFrame, keys: list[str], order: list[str],
 
 # -- text records ---------------------------------------------------------------------------------
 
-STEP_PATTERN = r"Step\s+(\d+)\s+takes\s+([0-9.+\-Ee]+)\s+seconds"
-
-
 def parse_step_log(lines: DataFrame, keys: list[str], line_no: str = "line_no", text: str = "value") -> DataFrame:
     """Step seconds per frame from log lines; a later line of the same frame wins (SRC11)."""
-    hits = lines.filter(F.col(text).rlike(STEP_PATTERN)).select(
-        *keys, line_no, F.regexp_extract(text, STEP_PATTERN, 1).cast("int").alias("frame"),
-        F.regexp_extract(text, STEP_PATTERN, 2).cast("double").alias("seconds"))
+    hits = lines.filter(F.col(text).rlike(C.STEP_PATTERN)).select(
+        *keys, line_no, F.regexp_extract(text, C.STEP_PATTERN, 1).cast("int").alias("frame"),
+        F.regexp_extract(text, C.STEP_PATTERN, 2).cast("double").alias("seconds"))
     return hits.groupBy(*keys, "frame").agg(F.max_by("seconds", line_no).alias("frame_seconds"))
 
 

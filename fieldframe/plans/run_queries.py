@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from fieldframe.operators import catalog as K
 from fieldframe.operators import compare as M
 from fieldframe.operators import fit, memo, quality, runs
+from fieldframe.plans import rollup
 from fieldframe.plans import tables as T
 from fieldframe.plans.particle_queries import _ACCEPT, _HIST_SQL, _cell_hist, _edged, _fit_sql, _quality
 from fieldframe.plans.registry import SQL, query, snap
@@ -136,26 +137,67 @@ def src11(spark, sf):
     o = T.table(spark, sf, "orders")
     frame = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
     step = F.format_string(" Step %d  takes %s seconds, ok", frame, (F.floor("o_totalprice").cast("double") / 1.0e3).cast("string"))
-    lines = o.select(F.col("o_orderpriority").alias("case"), F.col("o_orderkey").alias("line_no"),
-                     F.when(F.col("o_orderkey") % 3 != 0, step).otherwise(F.lit("Stepping takes no seconds")).alias("value"))
-    return runs.parse_step_log(lines, ["case"])
+    lines = o.select("o_orderpriority", "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, step).otherwise(F.lit("Stepping takes no seconds")).alias("value"))
+    path = scratch_dir(spark, "step-logs")
+    IO.write_text(lines, path, "o_orderpriority", ["o_orderkey"])
+    return IO.read_step_log(spark, path, by_folder=True)
 
 
 @query("src12_counts", "SELECT l_returnflag AS \"case\", CAST(l_orderkey % 500 AS INTEGER) AS frame, max(l_quantity) AS particle_count FROM lineitem GROUP BY ALL")
 def src12(spark, sf):
     t = T.table(spark, sf, "lineitem")
-    rows = t.select(F.col("l_returnflag").alias("case"), (F.col("l_quantity") * 1000 + 1).cast("long").alias("line_no"),
-                    F.format_string("   %d \t %s  7.5 ", F.col("l_orderkey") % 500, F.col("l_quantity").cast("string")).alias("value"))
-    header = t.select(F.col("l_returnflag").alias("case")).distinct().select("case", F.lit(0).cast("long").alias("line_no"), F.lit("# iframe  nptl").alias("value"))
-    return runs.parse_counts(rows.unionByName(header), ["case"])
+    rows = t.select(F.col("l_returnflag").alias("case"), (F.col("l_orderkey") % 500).alias("iframe"), F.col("l_quantity").alias("nptl"), F.lit("7.5 ").alias("dt"))
+    path = scratch_dir(spark, "count-tables")
+    # every file begins with the header; the rows of a case go up in quantity from file to file
+    (rows.repartitionByRange("case", "nptl").sortWithinPartitions("case", "nptl").write.partitionBy("case")
+     .option("header", True).option("sep", "\t").option("ignoreTrailingWhiteSpace", False).csv(path))
+    return IO.read_counts(spark, path, by_folder=True)
 
 
 @query("src13_manifest", "SELECT event_type AS run, 'key' || (user_id % 20) AS key, arg_max('a=' || event_id, event_id) AS value FROM events WHERE user_id % 9 <> 0 GROUP BY ALL")
 def src13(spark, sf):
     e = T.table(spark, sf, "events")
     text = F.format_string(" key%d = a=%d ", F.col("user_id") % 20, F.col("event_id"))
-    lines = e.select(F.col("event_type").alias("run"), F.col("event_id").alias("line_no"), F.when(F.col("user_id") % 9 == 0, F.lit("# note")).otherwise(text).alias("value"))
-    return runs.parse_manifest(lines, ["run"])
+    lines = e.select("event_type", "event_id", F.when(F.col("user_id") % 9 == 0, F.lit("# note")).otherwise(text).alias("value"))
+    path = scratch_dir(spark, "manifests")
+    IO.write_text(lines, path, "event_type", ["event_id"])
+    return IO.read_manifest(spark, path, by_folder=True).withColumnRenamed("case", "run")
+
+
+@query("src11_line_offsets", f"""
+WITH l AS (SELECT *, octet_length(encode(t))+1 AS b FROM (SELECT o_orderpriority AS "case", o_orderkey, 'order ' || o_orderkey || ' of ' || o_orderpriority AS t FROM orders))
+SELECT "case", o_orderkey, CAST(row_number() OVER w - 1 AS BIGINT) AS line_no, CAST(sum(b) OVER w - b AS BIGINT) AS first_byte FROM l WINDOW w AS (PARTITION BY "case" ORDER BY o_orderkey)""")
+def src11_offsets(spark, sf):
+    """Numbers and offsets of lines through all files of a case; small splits cut the files in many places."""
+    o = T.table(spark, sf, "orders")
+    path = scratch_dir(spark, "lines")
+    told = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.col("o_orderpriority"))
+    IO.write_text(o.select("o_orderpriority", "o_orderkey", told.alias("value")), path, "o_orderpriority", ["o_orderkey"])
+    lines = IO.read_numbered_lines(spark, path).withColumn("case", IO.folder_name())
+    sizes = lines.groupBy("case", "path").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("offset") + F.octet_length("value") + 1).alias("bytes"))
+    earlier = Window.partitionBy("case").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("path", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", "bytes")])
+    return lines.join(before, "path").select(
+        "case", F.regexp_extract("value", r"^order (\d+) ", 1).cast("long").alias("o_orderkey"),
+        (F.col("line_no") + F.col("_n")).alias("line_no"), (F.col("offset") + F.col("_bytes")).alias("first_byte"))
+
+
+@query("rollup_timing", f"""
+SELECT "case", frame, CAST(frame AS DOUBLE)*25e-1 AS physical_time_seconds, particle_count, frame_seconds, {S('sum(frame_seconds) OVER (PARTITION BY "case" ORDER BY frame)', 5)} AS elapsed_seconds, NULL::VARCHAR AS absent FROM timing WHERE "case" <> '5-LOW'
+UNION ALL SELECT '5-LOW', NULL, NULL, NULL, NULL, NULL, 'counts' UNION ALL SELECT 'none', NULL, NULL, NULL, NULL, NULL, unnest(['counts', 'steps'])""", ("timing",))
+def rollup_timing(spark, sf):
+    """Step logs and counts of all priorities but one, whose counts are absent, and a case without any file."""
+    t = T.timing(spark, sf)
+    root, out = scratch_dir(spark, "run-files"), scratch_dir(spark, "timing")
+    step = F.format_string("Step %d takes %s seconds", "frame", F.col("frame_seconds").cast("string"))
+    IO.write_text(t.withColumn("value", step), f"{root}/steps", "case", ["frame"])
+    counts = t.filter(F.col("case") != "5-LOW").select("case", F.col("frame").alias("iframe"), "particle_count")
+    counts.write.partitionBy("case").option("header", True).option("sep", " ").csv(f"{root}/counts")
+    cases = [*sorted(_PRIORITIES), "none"]
+    absent = rollup.rollup_timing(spark, root, cases, 2.5, out)
+    stored = spark.read.option("header", True).schema(
+        "case string, frame int, physical_time_seconds double, particle_count double, frame_seconds double, elapsed_seconds double").csv(out)
+    return _rounded(stored.unionByName(absent.withColumnRenamed("kind", "absent"), allowMissingColumns=True), 5, "elapsed_seconds")
 
 
 @query("src15_frame_names", "SELECT CAST((year(l_shipdate)-1995)*12+month(l_shipdate) AS INTEGER) AS frame, 'particles_' || lpad(CAST((year(l_shipdate)-1995)*12+month(l_shipdate) AS VARCHAR),5,'0') || '.bin' AS name, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -233,7 +275,9 @@ def snk6(spark, sf):
     speed = M.speed_up(total, "5-LOW").select(F.lit("timing").alias("metric_type"), "case", "frame", snap(F.col("speedup"), 8).alias("speedup"))
     error = M.series_difference(_series(spark, sf), ["iy"])
     spectra = error.select(F.lit("spectrum").alias("metric_type"), F.col("iy").cast("string").alias("case"), snap(F.col("relative_l1")).alias("relative_l1"))
-    return runs.union_cases(speed, spectra)
+    path = scratch_dir(spark, "speed-accuracy")
+    IO.write_speed_accuracy(runs.union_cases(speed, spectra), path)
+    return spark.read.option("header", True).schema("metric_type string, case string, frame int, speedup double, relative_l1 double").csv(path)
 
 
 @query("snk7_wide_spectrum", "SELECT frame, max(CASE WHEN \"case\"='1-URGENT' THEN frame_seconds END) AS urgent, max(CASE WHEN \"case\"='5-LOW' THEN frame_seconds END) AS low FROM timing GROUP BY frame", ("timing",))
@@ -424,9 +468,25 @@ def jsn1(spark, sf):
 
 @query("src14_metrics", """SELECT event_type, 'props/k' AS metric, sum(CAST(props->>'$.k' AS BIGINT))::BIGINT AS total FROM events GROUP BY ALL""")
 def src14(spark, sf):
-    nested = F.concat(F.lit('{"props": '), F.col("props"), F.lit("}"))
-    flat = K.flatten_json(T.table(spark, sf, "events").select("event_type", nested.alias("j")), ["event_type"], "j")
-    return flat.groupBy("event_type", "metric").agg(F.sum(F.col("value").cast("long")).alias("total"))
+    """One document of nested sums a file, by type and day of the week; a document is bounded, their number is too."""
+    e = T.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    sums = e.groupBy("event_type", F.dayofweek("ts").alias("day")).agg(F.sum(k).alias("k"))
+    path = scratch_dir(spark, "metrics")
+    document = F.to_json(F.struct(F.struct("k").alias("props"), F.struct(F.struct("day").alias("of")).alias("about")))
+    sums.select("event_type", "day", document.alias("value")).repartition("event_type", "day").write.partitionBy("event_type", "day").text(path)
+    flat = K.flatten_json(IO.read_metrics(spark, path), ["path"], "json").filter(F.col("metric") == "props/k")
+    event_type = F.regexp_extract("path", "event_type=([^/]*)/", 1)
+    return flat.groupBy(event_type.alias("event_type"), "metric").agg(F.sum(F.col("value").cast("long")).alias("total"))
+
+
+@query("src16_file_listing", "SELECT DISTINCT l_returnflag AS flag, l_linestatus AS status FROM lineitem WHERE l_returnflag <> 'R'")
+def src16_files(spark, sf):
+    """Files found below a folder by suffix and keywords, without reading them."""
+    path = scratch_dir(spark, "products")
+    T.table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")).write.partitionBy("l_returnflag", "l_linestatus").parquet(path)
+    found = K.product_listing(IO.list_files(spark, path), (".parquet",), ("l_linestatus=",), "l_returnflag=R")
+    return found.select(F.regexp_extract("path", "l_returnflag=([^/]*)", 1).alias("flag"), F.regexp_extract("path", "l_linestatus=([^/]*)", 1).alias("status")).distinct()
 
 
 @query("src16_listing", "SELECT DISTINCT url AS path FROM pages WHERE (suffix(lower(url),'=x') OR suffix(lower(url),'#top')) AND contains(url,'example') AND NOT contains(url,'/de/')")

@@ -12,7 +12,7 @@ from fieldframe.functions import kinematics as K
 from fieldframe.functions.axes import Axis
 from fieldframe.operators import binning as B
 from fieldframe.operators import compare, runs
-from fieldframe.plans import emission, sample_files, spectral_fit
+from fieldframe.plans import emission, rollup, sample_files, spectral_fit
 from fieldframe.plans import tables as T
 from fieldframe.plans.grid_queries import X, Y
 from fieldframe.functions.radiometry import SIGMA_PER_FWHM, voxel_volume_cm3
@@ -147,18 +147,33 @@ def snk11(spark, sf):
         F.count(F.when(F.col("species_name") == "electron", 1)).alias("electrons"), F.sum("is_escaped").alias("escaped"))
 
 
+_SPECTRA = ("case string, frame int, p_left double, p_right double, p_center double, energy_left_kev double, energy_right_kev double, "
+            "energy_center_kev double, weight double, dndlog10p double, dndlog10e double")
+
+
 @query("snk3_spectra_table", f"""
 WITH base AS ({HISTOGRAM_SQL}) SELECT 'lineitem' AS "case", frame, count(*) AS rows, sum(weight) AS weight FROM base GROUP BY frame""", ("particles",))
 def snk3(spark, sf):
     spectra = B.spectrum_columns(B.momentum_histogram(T.particles(spark, sf))).withColumn("case", F.lit("lineitem"))
     path = scratch_dir(spark, "spectra")
     IO.write_spectra(runs.union_cases(spectra, None), path)
-    stored = spark.read.option("header", True).schema(
-        "case string, frame int, p_left double, p_right double, p_center double, energy_left_kev double, energy_right_kev double, "
-        "energy_center_kev double, weight double, dndlog10p double, dndlog10e double").csv(path)
+    stored = spark.read.option("header", True).schema(_SPECTRA).csv(path)
     return stored.groupBy("case", "frame").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight"))
 
 
+@query("rollup_spectra", f"""
+WITH base AS ({HISTOGRAM_SQL}) SELECT CASE WHEN frame % 2 = 0 THEN 'even' ELSE 'odd' END AS "case", frame, count(*) AS rows, sum(weight) AS weight, NULL AS absent FROM base GROUP BY frame
+UNION ALL SELECT 'lost', NULL, NULL, NULL, 'spectra'""", ("particles",))
+def rollup_spectra(spark, sf):
+    """Histogram files of two cases, and a third that has none."""
+    root, out = scratch_dir(spark, "case-files"), scratch_dir(spark, "spectra")
+    hist = B.momentum_histogram(T.particles(spark, sf)).withColumn("case", F.when(F.col("frame") % 2 == 0, "even").otherwise("odd"))
+    IO.write_table(hist, f"{root}/spectra", ["case", "frame"], format="csv")
+    absent = rollup.rollup_spectra(spark, root, ["even", "lost", "odd"], out)
+    counted = spark.read.option("header", True).schema(_SPECTRA).csv(out).groupBy("case", "frame").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight"))
+    return counted.unionByName(absent.withColumnRenamed("kind", "absent"), allowMissingColumns=True)
+
+
 @query("snk12_field_table", "SELECT frame, ix, iy, bx FROM grid UNION ALL SELECT frame, ix+30, iy, bx FROM grid WHERE ix<1 UNION ALL SELECT frame, ix-30, iy, bx FROM grid WHERE ix>=29", ("grid",))
 def snk12(spark, sf):
     from fieldframe.operators.grid import add_ghosts

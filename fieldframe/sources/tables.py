@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldframe.functions import constants as C
 from fieldframe.operators import runs
+from fieldframe.operators.blocks import running_sum
 
 HISTOGRAM_SCHEMA = "bin int, p_left double, p_right double, weight double"
 SUMMARY_REQUIRED = frozenset({"frame", "active", "total_frame_seconds", "total_elapsed_seconds"})
@@ -35,41 +36,66 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
     ``line_no`` orders the lines of one file: the start of the split, then the position in it.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
     order = F.struct(F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("row"))
     return lines.select(F.col("_metadata.file_path").alias("path"), order.alias("line_no"), "value")
 
 
-def read_small_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of small per-run files (manifests, count tables) with true line numbers from 0."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"),
-                        F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as (path, line_no, offset, value): their numbers from 0 and their first bytes in the file, splittable.
 
+    Lines and bytes are summed along the splits of each file, so a file of any size is read by many tasks. Lines
+    end with a line feed; a carriage return before it is dropped. Offsets hold for valid UTF-8.
+    """
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    sized = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"), F.lit(1).cast("long").alias("_one"),
+        (F.octet_length("value") + 1).cast("long").alias("_bytes"), F.regexp_replace("value", "\r$", "").alias("value"))
+    placed = running_sum(sized, ["path"], ["_start", "_row"], {"_lines": "_one", "_end": "_bytes"}, block=F.col("_start"))
+    return placed.select("path", (F.col("_lines") - 1).alias("line_no"), (F.col("_end") - F.col("_bytes")).alias("offset"), "value")
+
+
+def folder_name(path: str = "path") -> Column:
+    """Name of the folder of a file path as the reader gives it; of a folder ``key=value`` the value."""
+    name = F.regexp_replace(F.element_at(F.split(F.col(path), "/"), -2), "^[^=]*=", "")
+    return F.url_decode(F.regexp_replace(name, r"\+", "%2B"))
+
+
+def _of_cases(records: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Records by folder instead of file: a case may have several files, the later name wins."""
+    return (records.withColumn("case", folder_name()).groupBy("case", *keys)
+            .agg(F.max_by(value, "path").alias(value)))
+
+
+def read_step_log(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """Step seconds per file and frame (SRC11); a file set without any record is an error, found now.
 
-def read_step_log(spark: SparkSession, path: str) -> DataFrame:
-    """Step seconds per file and frame (SRC11); a file set without any record is an error, found now."""
+    ``by_folder`` gives them per ``case``, the folder of the files; of files that a log was split into, the later name wins.
+    """
     records = runs.parse_step_log(read_log_lines(spark, path), ["path"])
-    if not records.limit(1).count():
+    if records.isEmpty():
         raise ValueError(f"no step record in {path}")
-    return records
+    return _of_cases(records, ["frame"], "frame_seconds") if by_folder else records
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Particle counts per file and frame (SRC12)."""
-    return runs.parse_counts(read_small_lines(spark, path), ["path"])
+def read_counts(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """Particle counts per file, or per case, and frame (SRC12); each file begins with its header."""
+    records = runs.parse_counts(read_numbered_lines(spark, path), ["path"])
+    return _of_cases(records, ["frame"], "particle_count") if by_folder else records
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest entries per file (SRC13)."""
-    return runs.parse_manifest(read_small_lines(spark, path), ["path"])
+def read_manifest(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """Manifest entries per file, or per case (SRC13)."""
+    records = runs.parse_manifest(read_log_lines(spark, path), ["path"])
+    return _of_cases(records, ["key"], "value") if by_folder else records
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric documents as (path, json) for ``catalog.flatten_json`` (SRC14)."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"),
-                                                        F.col("value").alias("json"))
+    """Metric documents, one a file, as (path, json) for ``catalog.flatten_json`` (SRC14)."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -85,7 +111,7 @@ def merge_results(spark: SparkSession, path: str, schema: str, format: str = "pa
     A folder written with ``partitionBy`` gives its value; that of NULL gives NULL.
     """
     rows = spark.read.schema(schema).format(format).option("recursiveFileLookup", True).load(path)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", "")
+    name = folder_name("_metadata.file_path")
     group = F.when(name != "__HIVE_DEFAULT_PARTITION__", F.regexp_replace(name, r"\.[^.]*$", ""))
     return rows.withColumn("group", group)
 
@@ -131,6 +157,20 @@ def write_timing(timing: DataFrame, path: str, overwrite: bool = False) -> None:
     write_table(timing.select(*columns), path, overwrite=overwrite, format="csv")
 
 
+def write_text(df: DataFrame, path: str, case: str, order: list[str], text: str = "value") -> None:
+    """Lines of each case in a folder ``case=<name>``, in order through its files.
+
+    Rows are dealt by ranges of (case, order), so a long log becomes several files, named in order.
+    """
+    ranged = df.repartitionByRange(case, *order).sortWithinPartitions(case, *order)
+    ranged.select(F.col(case).alias("case"), F.col(text).alias("value")).write.partitionBy("case").text(path)
+
+
+def write_speed_accuracy(summary: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The tall speed and accuracy summary as CSV (SNK6)."""
+    write_table(summary, path, overwrite=overwrite, format="csv")
+
+
 def write_wide_spectrum(wide: DataFrame, path: str, overwrite: bool = False) -> None:
     """A wide spectrum with all its series as CSV (SNK7)."""
     write_table(wide, path, overwrite=overwrite, format="csv")
