@@ -24,6 +24,7 @@ from fieldframe.session import scratch_dir
 from fieldframe.sources import register_all
 from fieldframe.sources import tables as IO
 from fieldframe.streaming import frames as ST
+from fieldframe.streaming.store import FrameStore
 
 NX, NY = T.GRID_NX, T.GRID_NY
 
@@ -195,33 +196,53 @@ def set3(spark, sf):
 
 # -- streams -------------------------------------------------------------------------------------------------
 
-def _stream(spark, sf, partial) -> DataFrame:
-    schema = T.table(spark, sf, "lineitem").schema
-    rows = ST.read_frames(spark, sf, schema, "lineitem.parquet")
-    price = F.col("l_extendedprice")
+def _frames_of(rows: DataFrame) -> DataFrame:
     flag = F.col("l_returnflag")
-    particles = rows.select(
+    return rows.select(
         ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("int").alias("frame"),
-        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("status"), (price / 1.0e4).alias("p"),
+        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("status"), (F.col("l_extendedprice") / 1.0e4).alias("p"),
         F.floor(F.col("l_discount") * 100.0 + 0.5).cast("double").alias("weight"))
-    out, checkpoint = scratch_dir(spark, "stream"), scratch_dir(spark, "stream-checkpoint")
-    ST.accumulate(particles, partial, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+
+
+def _stream(spark, sf, partial, merge, late: bool = False) -> DataFrame:
+    """Three files, one a micro-batch, each with rows of all frames; with ``late`` the last comes after the query has stopped."""
+    rows = T.table(spark, sf, "lineitem")
+    folder, checkpoint = scratch_dir(spark, "stream-input"), scratch_dir(spark, "stream-checkpoint")
+
+    def arrive(part: int) -> None:
+        rows.filter(F.col("l_orderkey") % 3 == part).coalesce(1).write.parquet(f"{folder}/part={part}")
+
+    for part in (0, 1) if late else (0, 1, 2):
+        arrive(part)
+    store = FrameStore(spark, scratch_dir(spark, "stream"), merge)
+    for last in (False, True) if late else (True,):
+        if late and last:
+            arrive(2)
+        store.follow(_frames_of(ST.read_frames(spark, f"{folder}/*", rows.schema, files_per_batch=1)), partial, checkpoint).awaitTermination()
+    return store.read()
 
 
 @query("str1_stream_histogram", f"WITH base AS ({HISTOGRAM_SQL}) SELECT frame, bin, weight FROM base", ("particles",))
 def str1(spark, sf):
-    return ST.merged_histogram(_stream(spark, sf, ST.histogram_partial()))
+    return ST.merged_histogram(_stream(spark, sf, ST.histogram_partial(), ST.merge_histogram))
 
 
 @query("str1_stream_summary", f"""
 SELECT frame, count(*)::BIGINT AS stored, count(*) FILTER (status=0) AS active, count(*) FILTER (status<>0) AS inactive, coalesce(sum(weight) FILTER (status=0),0e0) AS weight_sum,
  coalesce(min(p) FILTER (status=0),0e0) AS p_min, coalesce(max(p) FILTER (status=0),0e0) AS p_max, {S('coalesce(avg(p) FILTER (status=0),0e0)', 7)} AS p_avg FROM particles GROUP BY frame""", ("particles",))
 def str2(spark, sf):
-    out = ST.merged_summary(_stream(spark, sf, ST.summary_partial))
+    out = ST.merged_summary(_stream(spark, sf, ST.summary_partial, ST.merge_summary))
     return out.withColumn("p_avg", snap(F.col("p_avg"), 7))
 
 
+@query("str2_resume", f"""
+SELECT frame, count(*)::BIGINT AS stored, count(*) FILTER (status=0) AS active, coalesce(sum(weight) FILTER (status=0),0e0) AS weight_sum FROM particles GROUP BY frame""", ("particles",))
+def str2_resume(spark, sf):
+    """The query stops, a late file comes for frames that are stored already, and the query goes on from its checkpoint."""
+    out = ST.merged_summary(_stream(spark, sf, ST.summary_partial, ST.merge_summary, late=True))
+    return out.select("frame", "stored", "active", "weight_sum")
+
+
 _FIT_LIMIT = "6e0"
 
 # -- whole pipelines -------------------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Per-frame summaries and histograms over a stream of frame files (STR1, STR2).
 
-Each micro-batch writes its partial sums under its own batch number, replacing what an
-earlier attempt of the same batch wrote. A reader merges the partials, so a restart from
-the checkpoint neither loses nor repeats rows and no state is kept in memory.
+Each micro-batch is reduced to partial sums that can be merged. ``store.FrameStore`` merges them by frame as
+they come, for streams that go on; ``accumulate`` keeps the partials of each batch apart under its number, for
+runs of few batches whose parts are wanted. A restart from the checkpoint neither loses nor repeats rows.
 """
 
 from __future__ import annotations
@@ -51,10 +51,14 @@ def histogram_partial(pmin: float = 0.01, pmax: float = 10.0, bins: int = 128) -
     return run
 
 
+def merge_histogram(partials: DataFrame) -> DataFrame:
+    """Partial histograms as one."""
+    return partials.groupBy("frame", "bin").agg(F.sum("weight").alias("weight"))
+
+
 def merged_histogram(partials: DataFrame, bins: int = 128) -> DataFrame:
     """Histogram of all batches so far, all bins present."""
-    total = partials.groupBy("frame", "bin").agg(F.sum("weight").alias("weight"))
-    return fill_bins(total, ["frame"], bins)
+    return fill_bins(merge_histogram(partials), ["frame"], bins)
 
 
 def summary_partial(batch: DataFrame) -> DataFrame:
@@ -67,12 +71,17 @@ def summary_partial(batch: DataFrame) -> DataFrame:
         F.min(p).alias("p_min"), F.max(p).alias("p_max"))
 
 
+def merge_summary(partials: DataFrame) -> DataFrame:
+    """Partial summaries as one."""
+    sums, least, most = ("stored", "active", "weight_sum", "p_sum"), F.min("p_min"), F.max("p_max")
+    return partials.groupBy("frame").agg(*[F.sum(c).alias(c) for c in sums], least.alias("p_min"), most.alias("p_max"))
+
+
 def merged_summary(partials: DataFrame) -> DataFrame:
     """Frame summary of all batches so far."""
-    total = partials.groupBy("frame").agg(
-        F.sum("stored").alias("stored"), F.sum("active").alias("active"),
-        F.coalesce(F.sum("weight_sum"), F.lit(0.0)).alias("weight_sum"), F.sum("p_sum").alias("_p"),
-        F.coalesce(F.min("p_min"), F.lit(0.0)).alias("p_min"), F.coalesce(F.max("p_max"), F.lit(0.0)).alias("p_max"))
+    zero = F.lit(0.0)
+    total = merge_summary(partials).withColumnRenamed("p_sum", "_p").withColumns(
+        {c: F.coalesce(c, zero) for c in ("weight_sum", "p_min", "p_max")})
     mean = F.when(F.col("active") > 0, F.col("_p") / F.when(F.col("active") > 0, F.col("active")))
     return total.withColumns({"inactive": F.col("stored") - F.col("active"),
                               "p_avg": F.coalesce(mean, F.lit(0.0))}).drop("_p")
