@@ -7,19 +7,23 @@ function of the caller; it sees one row per distinct parameter key.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldframe.functions import constants as C
+from fieldframe.functions import radiometry as R
 from fieldframe.functions.axes import Axis, fixed_edge_index, log_edge_index
 from fieldframe.functions.geometry import magnitude
 from fieldframe.functions.numeric import clip, rescale
 from fieldframe.functions.predicates import active_above
 from fieldframe.functions.radiometry import voxel_volume_cm3
 from fieldframe.operators import binning, fit, image, memo
+from fieldframe.operators.blocks import row_numbers
+from fieldframe.operators.compare import movie_index
 from fieldframe.session import materialize
 
 CELL = ["frame", "iy", "ix"]
@@ -151,26 +155,35 @@ def keyed_cells(cells: DataFrame, config: EmissionConfig) -> DataFrame:
         "los_depth_arcsec": F.lit(float(config.depth_arcsec))})
 
 
+#: Array outputs that :func:`reference_spectra` adds, each as total flux and, with the suffix, as circular flux.
+VARIANTS = ("thermal_only", "no_razin_density_proxy", "optically_thin_proxy")
+IMPACTS = {"absorption_impact": "optically_thin_proxy", "razin_impact": "no_razin_density_proxy"}
+CIRCULAR = "_circular"
+REFERENCES = tuple(n + c for n in (*VARIANTS, "background_only", *IMPACTS) for c in ("", CIRCULAR))
+
+
 def reference_spectra(model: Model) -> Model:
     """Model wrapper that also evaluates the reference variants and their differences.
 
-    Adds ``thermal_only``, ``no_razin_density_proxy``, ``optically_thin_proxy`` (total flux
-    arrays), ``background_only`` (zeros), ``absorption_impact`` and ``razin_impact``.
+    All variants of all representatives go through the model in one call, and one aggregate brings those of a key
+    together. Adds the arrays of ``REFERENCES``: variants, ``background_only`` (zeros), and the impacts, variant less full.
     """
     def run(representatives: DataFrame) -> DataFrame:
         keys = [c for c in representatives.columns if c not in PARAMETERS]
         rows = model(memo.reference_variants(representatives))
-        total = F.zip_with("left", "right", lambda a, b: a + b)
-        scaled = memo.array_scale(total, F.col("rescale"))
-        names = ["thermal_only", "no_razin_density_proxy", "optically_thin_proxy"]
-        picked = [F.max(F.when(F.col("variant") == n, scaled)).alias(n) for n in names]
-        full = [F.max(F.when(F.col("variant") == "full", F.col(s))).alias(s) for s in ("left", "right")]
-        once = rows.groupBy(*keys).agg(*full, *picked)
-        flux = F.zip_with("left", "right", lambda a, b: a + b)
-        return once.withColumns({
-            "background_only": memo.array_zero(F.col("left")),
-            "absorption_impact": memo.array_subtract(F.col("optically_thin_proxy"), flux),
-            "razin_impact": memo.array_subtract(F.col("no_razin_density_proxy"), flux)})
+        spectra = F.struct(*[memo.array_scale(F.col(s), F.col("rescale")).alias(s) for s in ("left", "right")])
+        once = rows.withColumn("_s", spectra).groupBy(*keys).agg(
+            *[F.max(F.when(F.col("variant") == n, F.col("_s"))).alias(f"_{n}") for n in ("full", *VARIANTS)])
+        out = {s: F.col(f"_full.{s}") for s in ("left", "right")}
+        for n in ("full", *VARIANTS):
+            left, right = F.col(f"_{n}.left"), F.col(f"_{n}.right")
+            out |= {n: F.zip_with(left, right, lambda a, b: a + b), n + CIRCULAR: memo.array_subtract(right, left)}
+        whole = once.withColumns(out)
+        for c in ("", CIRCULAR):
+            whole = whole.withColumn("background_only" + c, memo.array_zero(F.col("left")))
+            for impact, variant in IMPACTS.items():
+                whole = whole.withColumn(impact + c, memo.array_subtract(F.col(variant + c), F.col("full" + c)))
+        return whole.drop("full", "full" + CIRCULAR, *[f"_{n}" for n in ("full", *VARIANTS)])
     return run
 
 
@@ -178,53 +191,95 @@ def image_cube(cells: DataFrame, model: Model, config: EmissionConfig,
                extra: tuple[str, ...] = ()) -> DataFrame:
     """Dense cube (frame, freq_hz, iy, ix) of left, right, total and circular flux.
 
-    ``extra`` names further array outputs of the model, see ``reference_spectra``.
+    ``extra`` names further array outputs of the model, see ``reference_spectra``. The keyed cells are written
+    once: the dense grid, the representatives and the join back read them.
     """
-    keyed = keyed_cells(cells, config)
+    keyed = materialize(keyed_cells(cells, config), "keyed-cells")
     arrays = ["left", "right", *extra]
     evaluated = memo.evaluate_once(
         keyed.filter(F.col("weight") > 0.0), KEYS, PARAMETERS, [F.col("iy"), F.col("ix")], model, arrays,
         ("frame",)).select(*CELL, *arrays)
     freqs = F.array(*[F.lit(f * 1.0e9) for f in config.frequencies_ghz])
     zeros = F.array_repeat(F.lit(0.0), len(config.frequencies_ghz))
-    dense = cells.select(*CELL).join(evaluated, CELL, "left").select(
+    dense = keyed.select(*CELL).join(evaluated, CELL, "left").select(
         *CELL, *[F.coalesce(a, zeros).alias(a) for a in arrays])
     rows = dense.select(*CELL, *arrays, F.posexplode(freqs).alias("_k", "freq_hz"))
     flat = rows.select("frame", "freq_hz", "iy", "ix", *[F.get(a, F.col("_k")).alias(a) for a in arrays])
     return flat.withColumns({"i_flux": F.col("left") + F.col("right"), "v_flux": F.col("right") - F.col("left")})
 
 
+def pixel_grid(spark: SparkSession, config: EmissionConfig) -> DataFrame:
+    """Image cells with the centres of their pixels on the native axes."""
+    x, y = config.image_axes
+    cells = spark.range(config.nx * config.ny).select(
+        F.floor(F.col("id") / config.nx).cast("int").alias("iy"), (F.col("id") % config.nx).cast("int").alias("ix"))
+    return cells.withColumns({"x": x.center(F.col("ix")), "y": y.center(F.col("iy"))})
+
+
+def diagnostics(cells: DataFrame) -> DataFrame:
+    """Per frame: cells, occupied cells, accepted fits, range of indices and largest density."""
+    occupied = F.col("weight") > 0.0
+    index = F.when(occupied, F.col("power_law_index"))
+    return cells.groupBy("frame").agg(
+        F.count(F.lit(1)).alias("cells"), F.count(F.when(occupied, 1)).alias("occupied_cells"),
+        F.count(F.when(F.col("accepted"), 1)).alias("accepted_fits"), F.min(index).alias("index_min"), F.max(index).alias("index_max"),
+        F.max("nonthermal_density_cm3").alias("peak_density_cm3"))
+
+
 def run_emission(particles: DataFrame, field_table: DataFrame, model: Model, config: EmissionConfig,
-                 background: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All product tables: cells, cube, beam, roi and meta (SNK9 payload).
+                 background: DataFrame | None = None, references: bool = False) -> dict[str, DataFrame]:
+    """All product tables (SNK9 payload): cells, cube, beam, roi, grid, calibration, diagnostics, config and meta.
 
-    Cells and cube feed several tables, so both are written to the scratch folder and read
+    ``references`` adds the reference spectra of the full image, from the same evaluation of the model. Cells and cube feed
+    several tables, so both are written to the scratch folder and read
     back: particles and model are evaluated once, whatever is used later.
     """
+    spark = particles.sparkSession
     cells = materialize(cell_table(particles, field_table, config, background), "cells")
-    cube = materialize(image_cube(cells, model, config), "cube")
+    extra = REFERENCES if references else ()
+    cube = materialize(image_cube(cells, reference_spectra(model) if references else model, config, extra), "cube")
     area = config.pixel_arcsec ** 2
     keys = ["frame", "freq_hz"]
     slim = cube.select(*keys, "iy", "ix", "i_flux", "v_flux")
     beam = image.beam_convolve(slim, keys, ["i_flux", "v_flux"], config.beam_fwhm_pixels)
     center = ((config.nx - 1.0) / 2.0, (config.ny - 1.0) / 2.0)
-    full = image.roi_spectrum(slim, keys, "full_image", value="i_flux").withColumnRenamed("i_flux", "full_image_sfu")
-    middle = image.roi_spectrum(slim, keys, "gaussian_beam", center, fwhm=config.beam_fwhm_pixels,
-                                value="i_flux").withColumnRenamed("i_flux", "beam_center_sfu")
+    roi = None
+    for flux, sign in (("i_flux", ""), ("v_flux", "_v")):
+        for mode, name in (("full_image", "full_image"), ("gaussian_beam", "beam_center")):
+            shape = {"center": center, "fwhm": config.beam_fwhm_pixels} if mode == "gaussian_beam" else {}
+            one = image.roi_spectrum(slim, keys, mode, value=flux, **shape).withColumnRenamed(flux, f"{name}{sign}_sfu")
+            roi = one if roi is None else roi.join(one, keys)
+    mean = R.flux_to_intensity(F.col("full_image_sfu"), area * config.nx * config.ny)
+    roi = roi.withColumn("full_image_tb", R.intensity_to_tb(mean, F.col("freq_hz")))
     meta = cells.select("frame").distinct().withColumns({
         "transport_model": F.lit("parker"), "field_source_kind": F.lit("table"),
         "background_source_kind": F.lit("constant" if background is None else "table"),
         "coordinate_unit": F.lit("code_length"),
         "specific_intensity_unit": F.lit(C.UNIT_TOKENS[1][1]), "brightness_temperature_unit": F.lit("K")})
-    return {"cells": cells, "cube": image.stokes_cube(cube, area), "beam": image.stokes_cube(beam, area),
-            "roi": full.join(middle, keys), "meta": meta}
-
-
-def movie_frames(particles: DataFrame, roi: DataFrame, config: EmissionConfig, threshold_ev: float) -> DataFrame:
-    """Per-frame movie index with weights around a threshold and the spectrum peak (SNK5)."""
-    from fieldframe.operators.compare import movie_index
-
+    calibration = cells.groupBy("frame").agg(F.max("per_weight").alias("per_weight")).withColumns({
+        "target_density_cm3": F.lit(config.target_density_cm3), "voxel_volume_cm3": F.lit(voxel_volume_cm3(config.pixel_arcsec, config.depth_arcsec))})
+    settings = spark.createDataFrame([(k, json.dumps(v)) for k, v in asdict(config).items() if k not in ("x_axis", "y_axis")], "name string, value string")
+    stokes = cube.drop(*REFERENCES)
+    tables = {"cells": cells, "cube": image.stokes_cube(stokes, area), "beam": image.stokes_cube(beam, area), "roi": roi, "meta": meta,
+              "grid": pixel_grid(spark, config), "calibration": calibration, "diagnostics": diagnostics(cells), "config": settings}
+    if references:
+        tables["references"] = cube.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in REFERENCES])
+    return tables
+
+
+def movie_frames(particles: DataFrame, roi: DataFrame, config: EmissionConfig, threshold_ev: float,
+                 calibration: DataFrame | None = None, energy_source: str | None = None) -> DataFrame:
+    """Per-frame movie index with weights around a threshold and the spectrum peak (SNK5).
+
+    ``sequence_index`` numbers the frames from 0. ``calibration`` adds the per-weight factor that each frame suggests.
+    """
     x, y = config.image_axes
     inside: Column = ((F.col("status") == C.STATUS_ACTIVE) & x.contains(F.col("x")) & y.contains(F.col("y")))
     spectra = roi.select("frame", F.col("full_image_sfu").alias("value"))
-    return movie_index(particles.filter(inside), threshold_ev, ["frame"], spectra)
+    index = materialize(movie_index(particles.filter(inside), threshold_ev, ["frame"], spectra), "movie-index")
+    out = row_numbers(index, [], ["frame"], "_n").withColumn("sequence_index", F.col("_n") - 1).drop("_n")
+    if energy_source is not None:
+        out = out.withColumn("energy_source", F.lit(energy_source))
+    if calibration is not None:
+        out = out.join(calibration.select("frame", F.col("per_weight").alias("suggested_per_weight")), "frame", "left")
+    return out

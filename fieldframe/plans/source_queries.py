@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from fieldframe.plans.particle_queries import _ACCEPT, HISTOGRAM_SQL, _fit_sql,
 from fieldframe.plans.registry import number as D
 from fieldframe.plans.registry import query, snap
 from fieldframe.plans.registry import sql_snap as S
-from fieldframe.session import scratch_dir
+from fieldframe.session import materialize, scratch_dir
 from fieldframe.sources import register_all
 from fieldframe.sources import tables as IO
 from fieldframe.streaming import frames as ST
@@ -325,33 +327,70 @@ def emission_product(spark, sf):
     """Cells and region spectra through a written product (SNK9)."""
     tables = emission.run_emission(*emission_inputs(spark, sf), power_law_source, emission_config())
     path = scratch_dir(spark, "product")
-    IO.write_product({k: tables[k] for k in ("cells", "roi", "meta")}, path)
-    roi = spark.read.schema(tables["roi"].schema).parquet(f"{path}/roi")
+    IO.write_product(tables, path)
+    roi = IO.read_product(spark, path)["roi"]
     return roi.select("frame", "freq_hz", snap(F.col("full_image_sfu"), 4).alias("full_image_sfu"), snap(F.col("beam_center_sfu"), 5).alias("beam_center_sfu"))
 
 
+_SUM = "sum((n*field+1e-2)*fall{0})"
+
+
+@query("emission_product_groups", f"""WITH {_EMISSION}, f AS (SELECT count(DISTINCT frame) AS n FROM b),
+sums AS (SELECT {_SUM.format('*225e-2')} AS i, {_SUM.format('*25e-2')} AS v, sum((1e-9*field+1e-2)*fall*25e-2) AS cool FROM flux)
+SELECT 'cells' AS "group", n*80 AS rows, {S('(SELECT sum(w) FROM w)', 3)} AS value FROM f UNION ALL SELECT 'cube', n*320, {S('i', 2)} FROM f, sums UNION ALL SELECT 'cube_v', n*320, {S('v', 2)} FROM f, sums
+UNION ALL SELECT 'beam', n*320, NULL FROM f UNION ALL SELECT 'roi', n*4, {S('i', 2)} FROM f, sums UNION ALL SELECT 'roi_v', n*4, {S('v', 2)} FROM f, sums UNION ALL SELECT 'meta', n, NULL FROM f
+UNION ALL SELECT 'grid', 80, {S('12e0*80+15e0*80', 6)} UNION ALL SELECT 'calibration', n, {S(f'(SELECT sum({D(3.0e7 * _VOLUME)}/top)/1e30 FROM wt)', 5)} FROM f UNION ALL SELECT 'diagnostics', n, CAST((SELECT count(*) FROM w) AS DOUBLE) FROM f
+UNION ALL SELECT 'config', {len(fields(emission.EmissionConfig)) - 2}, NULL UNION ALL SELECT 'references', n*4, {S('cool', 3)} FROM f, sums""", ("event_particles", "grid"))
+def emission_product_groups(spark, sf):
+    """Every group of a product, written, published by its manifest and read back (SNK9)."""
+    path = scratch_dir(spark, "product")
+    IO.write_product(emission.run_emission(*emission_inputs(spark, sf), power_law_source, emission_config(), references=True), path)
+    stored = IO.read_product(spark, path)
+
+    def told(group: str, value=None, name: str | None = None, digits: int = 2) -> DataFrame:
+        number = F.lit(None).cast("double") if value is None else snap(F.sum(value), digits)
+        return stored[group].agg(F.lit(name or group).alias("group"), F.count(F.lit(1)).alias("rows"), number.alias("value"))
+
+    parts = [told("cells", F.col("weight"), digits=3), told("cube", F.col("i_flux")), told("cube", F.col("v_flux"), "cube_v"), told("beam"),
+             told("roi", F.col("full_image_sfu")), told("roi", F.col("full_image_v_sfu"), "roi_v"), told("meta"), told("grid", F.col("x") + F.col("y"), digits=6),
+             told("calibration", F.col("per_weight") / 1.0e30, digits=5), told("config"), told("references", F.col("thermal_only_circular"), digits=3)]
+    occupied = stored["diagnostics"].agg(F.lit("diagnostics").alias("group"), F.count(F.lit(1)).alias("rows"), F.sum("occupied_cells").cast("double").alias("value"))
+    out = occupied
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 @query("emission_references", f"""WITH {_EMISSION}
-SELECT frame, freq_hz, {S('sum((n*field+1e-2)*fall*225e-2)', 3)} AS i_flux, {S('sum((1e-9*field+1e-2)*fall*225e-2)', 3)} AS thermal_only, {S('sum((n*field+1e-2)*fall*225e-2*(8e0/8e-5))/1e5', 3)} AS optically_thin_e5,
+SELECT frame, freq_hz, {S('sum((n*field+1e-2)*fall*225e-2)', 3)} AS i_flux, {S('sum((1e-9*field+1e-2)*fall*225e-2)', 3)} AS thermal_only, {S('sum((1e-9*field+1e-2)*fall*25e-2)', 3)} AS thermal_only_circular, {S('sum((n*field+1e-2)*fall*225e-2*(8e0/8e-5))/1e5', 3)} AS optically_thin_e5,
  0e0 AS background_only, {S('sum(((n*field+1e-6*1e-2)-(n*field+1e-2))*fall*225e-2)', 6)} AS razin_impact FROM flux GROUP BY ALL""", ("event_particles", "grid"))
 def emission_references(spark, sf):
     """Reference variants and their differences summed over the image (UDF3)."""
     particles, field = emission_inputs(spark, sf)
     config = emission_config()
-    extra = ("thermal_only", "optically_thin_proxy", "background_only", "razin_impact")
-    cube = emission.image_cube(emission.cell_table(particles, field, config), emission.reference_spectra(power_law_source), config, extra)
+    extra = ("thermal_only", "thermal_only_circular", "optically_thin_proxy", "background_only", "razin_impact")
+    cells = materialize(emission.cell_table(particles, field, config), "cells")
+    cube = emission.image_cube(cells, emission.reference_spectra(power_law_source), config, extra)
     sums = cube.groupBy("frame", "freq_hz").agg(*[F.sum(c).alias(c) for c in ("i_flux", *extra)])
-    return sums.select("frame", "freq_hz", snap(F.col("i_flux"), 3).alias("i_flux"), snap(F.col("thermal_only"), 3).alias("thermal_only"),
+    return sums.select("frame", "freq_hz", snap(F.col("i_flux"), 3).alias("i_flux"), snap(F.col("thermal_only"), 3).alias("thermal_only"), snap(F.col("thermal_only_circular"), 3).alias("thermal_only_circular"),
                        snap(F.col("optically_thin_proxy") / 1.0e5, 3).alias("optically_thin_e5"), "background_only",
                        snap(F.col("razin_impact"), 6).alias("razin_impact"))
 
 
-@query("snk5_movie_frames", f"""WITH {_IN}
-SELECT frame, count(*) AS particle_count, sum(weight) AS active_weight, sum(CASE WHEN e<2e4 THEN weight ELSE 0e0 END) AS below_threshold_weight, sum(CASE WHEN e<2e4 THEN 0e0 ELSE weight END) AS above_threshold_weight, 1e0 AS spectrum_peak_sfu
-FROM p WHERE status=0 AND x BETWEEN 0e0 AND 3e1 AND y BETWEEN 0e0 AND 24e0 GROUP BY frame""", ("event_particles",))
+@query("snk5_movie_frames", f"""WITH {_EMISSION}, s AS (SELECT frame, freq_hz, {_SUM.format('*225e-2')} AS v FROM flux GROUP BY ALL), peak AS (SELECT frame, max(v) AS high FROM s GROUP BY frame)
+SELECT p.frame, row_number() OVER (ORDER BY p.frame) - 1 AS sequence_index, count(*) AS particle_count, sum(weight) AS active_weight, sum(CASE WHEN e<2e4 THEN weight ELSE 0e0 END) AS below_threshold_weight, sum(CASE WHEN e<2e4 THEN 0e0 ELSE weight END) AS above_threshold_weight,
+ {S('max(high)', 4)} AS spectrum_peak_sfu, 'table' AS energy_source, {S(f'max({D(3.0e7 * _VOLUME)}/top)/1e30', 5)} AS suggested_per_weight_e30
+FROM p JOIN peak ON peak.frame=p.frame JOIN wt ON wt.frame=p.frame WHERE status=0 AND x BETWEEN 0e0 AND 3e1 AND y BETWEEN 0e0 AND 24e0 GROUP BY p.frame""", ("event_particles", "grid"))
 def snk5(spark, sf):
-    particles, _ = emission_inputs(spark, sf)
-    roi = particles.select("frame").distinct().withColumn("full_image_sfu", F.lit(1.0))
-    return emission.movie_frames(particles, roi, emission_config(), 2.0e4)
+    """The movie index of a product, its peaks from the region spectra, written as CSV and read back."""
+    particles, field_table = emission_inputs(spark, sf)
+    config = emission_config()
+    tables = emission.run_emission(particles, field_table, power_law_source, config)
+    index = emission.movie_frames(particles, tables["roi"], config, 2.0e4, tables["calibration"], "table")
+    path = scratch_dir(spark, "movie")
+    IO.write_movie_frames(index, path)
+    stored = spark.read.option("header", True).schema(index.schema).csv(path)
+    return stored.withColumns({"spectrum_peak_sfu": snap(F.col("spectrum_peak_sfu"), 4), "suggested_per_weight_e30": snap(F.col("suggested_per_weight") / 1.0e30, 5)}).drop("suggested_per_weight")
 
 
 @query("spectral_fit_maps", f"""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldframe.functions import constants as C
 from fieldframe.operators import runs
@@ -176,10 +181,51 @@ def write_wide_spectrum(wide: DataFrame, path: str, overwrite: bool = False) ->
     write_table(wide, path, overwrite=overwrite, format="csv")
 
 
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a product that were written to the end."""
+    try:
+        names = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(f"{path}/manifest").inputFiles()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted({int(m[1]) for n in names if (m := re.search(r"/version=(\d+)/[^/]*\.parquet$", n))})
+
+
 def write_product(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
-    """One Parquet table per group of a product, by frame where it has one (SNK9)."""
+    """One Parquet table per group of a product, by frame where it has one, and a manifest that lists them (SNK9).
+
+    The manifest is one file and is written last; readers open only what it lists, so a product appears at once or not at
+    all. An earlier product is refused unless ``overwrite``, which adds a version and leaves readers of the old one alone.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    versions = _manifests(spark, path)
+    if versions and not overwrite:
+        raise ValueError(f"{path} already holds a product")
+    version = max(versions, default=-1) + 1
     for name, df in tables.items():
-        write_table(df, f"{path}/{name}", ["frame"] if "frame" in df.columns else None, overwrite)
+        write_table(df, f"{path}/groups/version={version}/{name}", ["frame"] if "frame" in df.columns else None, overwrite=True)
+    listed = [(name, f"groups/version={version}/{name}", df.schema.json()) for name, df in tables.items()]
+    spark.createDataFrame(listed, "name string, place string, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
+
+
+def read_product(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The groups that the newest manifest of a product lists; a product without one is not finished."""
+    versions = _manifests(spark, path)
+    if not versions:
+        raise ValueError(f"{path} holds no finished product")
+    listed = spark.read.parquet(f"{path}/manifest/version={versions[-1]}").collect()
+    return {r["name"]: spark.read.schema(StructType.fromJson(json.loads(r["schema"]))).parquet(f"{path}/{r['place']}") for r in listed}
+
+
+def write_background_maps(maps: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Normalized density and temperature maps by frame (SNK13)."""
+    write_table(maps, path, ["frame"], overwrite)
+
+
+def write_movie_frames(index: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The per-frame movie index as CSV, in order of frames (SNK5)."""
+    write_table(index, path, overwrite=overwrite, format="csv")
 
 
 def write_particles(particles: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -37,7 +37,7 @@ class FrameStore:
         try:
             names = self.spark.read.option("recursiveFileLookup", True).format("binaryFile").load(f"{self.path}/ledger").inputFiles()
         except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing.getCondition()):
+            if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
         batches = {int(m[1]) for n in names if (m := re.search(r"/batch=(\d+)/[^/]*\.parquet$", n))}
