@@ -25,10 +25,9 @@ def densify(df: DataFrame, groups: DataFrame, keys: list[str], cells: dict[str,
     outside = F.lit(False)
     for name, n in cells.items():
         outside = outside | (F.col(name) < 0) | (F.col(name) >= n)
-    first = next(iter(cells))
     where = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in cells])
-    df = df.withColumn(first, F.when(outside, F.raise_error(F.concat(F.lit("outside the declared cells: "), where)).cast("int"))
-                       .otherwise(F.col(first)))
+    # a filter leaves the index columns plain for the join
+    df = df.filter(F.when(outside, F.raise_error(F.concat(F.lit("outside the declared cells: "), where)).cast("boolean")).otherwise(True))
     grid = groups.select(*keys).distinct()
     for name, n in cells.items():
         grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -184,3 +184,45 @@ def validation_summary(fits: DataFrame, maps: DataFrame, spectra: DataFrame, key
         F.max("global_r2").alias("global_power_law_r_squared"))
     return (counts.join(map_metrics(maps, keys), keys)
             .join(spectrum_error(spectra, keys), keys))
+
+
+def validation_groups(pairs: DataFrame, keys: list[str], kind: str = "kind", name: str = "name") -> DataFrame:
+    """Error measures of matched pixels for each (kind, name), each kind, and each case, in one pass (AGG33).
+
+    ``pairs`` holds truth and candidate with iy, ix, kind and name. The wider groups have ``all`` in place of what
+    they leave out; a kind or name that is NULL is called ``none``. Maps, peaks, flux and brightness centroid are
+    measured as in ``map_metrics`` and ``image_metrics``.
+    """
+    named = pairs.withColumns({c: F.coalesce(F.col(c), F.lit("none")) for c in (kind, name)})
+    t, c, diff, relative = _measures(named, None)
+    seen = diff.isNotNull()
+    wt = F.when(seen, F.greatest(t, F.lit(0.0))).otherwise(0.0)
+    wc = F.when(seen, F.greatest(c, F.lit(0.0))).otherwise(0.0)
+    moments = {f"_{w}{d}": F.sum(m * F.col(f"i{d}") if d else m) for w, m in (("t", wt), ("c", wc)) for d in ("", "x", "y")}
+    sums = named.groupingSets([[*keys, kind, name], [*keys, kind], [*keys]], *keys, kind, name).agg(
+        F.grouping(kind).alias("_no_kind"), F.grouping(name).alias("_no_name"),
+        _zero(F.avg(F.abs(diff))).alias("mae"), _zero(F.sqrt(F.avg(diff * diff))).alias("rmse"),
+        _zero(F.avg(F.abs(relative))).alias("relative_mae"), _zero(F.sqrt(F.avg(relative * relative))).alias("relative_rmse"),
+        _zero(F.max(F.when(seen, t))).alias("peak_theory"), _zero(F.max(F.when(seen, c))).alias("peak_reconstructed"),
+        *[m.alias(n) for n, m in moments.items()])
+    both = (F.col("_t") > 0.0) & (F.col("_c") > 0.0)
+    offset = [F.col(f"_c{d}") / F.when(both, F.col("_c")) - F.col(f"_t{d}") / F.when(both, F.col("_t")) for d in ("x", "y")]
+    return sums.select(
+        *keys, F.when(F.col("_no_kind") == 1, "all").otherwise(F.col(kind)).alias(kind),
+        F.when(F.col("_no_name") == 1, "all").otherwise(F.col(name)).alias(name),
+        "mae", "rmse", "relative_mae", "relative_rmse", "peak_theory", "peak_reconstructed",
+        _relative_error(F.col("peak_theory"), F.col("peak_reconstructed")).alias("peak_relative_error"),
+        _relative_error(F.col("_t"), F.col("_c")).alias("flux_relative_error"),
+        _zero(F.hypot(*offset)).alias("centroid_offset_pixels"))
+
+
+def validation_documents(groups: DataFrame, keys: list[str], summary: DataFrame, kind: str = "kind", name: str = "name") -> DataFrame:
+    """One VARIANT ``report`` a case: ``summary``, its columns, and ``groups``, measures by kind and name (AGG33).
+
+    A case has as many groups as kinds and names, not as pixels. Cases without a summary are left out.
+    """
+    measures = [c for c in groups.columns if c not in (*keys, kind, name)]
+    by_name = groups.groupBy(*keys, kind).agg(F.map_from_entries(F.collect_list(F.struct(F.col(name), F.struct(*measures)))).alias("_names"))
+    by_kind = by_name.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(kind), F.col("_names")))).alias("groups"))
+    told = summary.select(*keys, F.struct(*[c for c in summary.columns if c not in keys]).alias("summary"))
+    return told.join(by_kind, keys).select(*keys, F.parse_json(F.to_json(F.struct("summary", "groups"))).alias("report"))

@@ -400,32 +400,40 @@ def temperature_proxy(pressure: Column, density: Column) -> Column:
     return F.when(usable, pressure / density).otherwise(0.0)
 
 
-def normalize_map(df: DataFrame, value: str, reference: float, mode: str = "mean",
-                  keys: tuple[str, ...] = ("frame",), out: str | None = None) -> DataFrame:
-    """Scale a map so that its mean or maximum over finite positive cells is ``reference`` (PRJ18).
+def normalize_maps(df: DataFrame, maps: dict[str, tuple[float, str]], mode: str = "mean",
+                   keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Scale maps so that their mean or maximum over finite positive cells is a reference (PRJ18).
 
-    A frame without such cells, or with a bad denominator, is divided by 1.
+    ``maps`` names, for each value column, the reference and the output column. One aggregate measures all of them. A
+    frame without such cells, or with a bad denominator, is divided by 1.
     """
-    out = out or value
     if mode == "none":
-        return df.withColumn(out, F.col(value) * float(reference))
+        return df.withColumns({out: F.col(value) * float(reference) for value, (reference, out) in maps.items()})
     if mode not in ("mean", "max"):
         raise ValueError(f"unsupported normalization: {mode}")
-    good = F.when(finite_positive(F.col(value)), F.col(value))
-    measure = F.avg(good) if mode == "mean" else F.max(good)
-    scale = df.groupBy(*keys).agg(measure.alias("_m"))
-    usable = F.coalesce(finite_positive(F.col("_m")), F.lit(False))
-    denominator = F.when(usable, F.col("_m")).otherwise(1.0)
+    found = F.avg if mode == "mean" else F.max
+    scale = df.groupBy(*keys).agg(*[found(F.when(finite_positive(F.col(v)), F.col(v))).alias(f"_m_{v}") for v in maps])
+
+    def denominator(value: str) -> Column:
+        usable = F.coalesce(finite_positive(F.col(f"_m_{value}")), F.lit(False))
+        return F.when(usable, F.col(f"_m_{value}")).otherwise(1.0)
+
     return (df.join(scale, list(keys))
-            .withColumn(out, F.col(value) / denominator * float(reference)).drop("_m"))
+            .withColumns({out: F.col(value) / denominator(value) * float(reference) for value, (reference, out) in maps.items()})
+            .drop(*[f"_m_{v}" for v in maps]))
+
+
+def normalize_map(df: DataFrame, value: str, reference: float, mode: str = "mean",
+                  keys: tuple[str, ...] = ("frame",), out: str | None = None) -> DataFrame:
+    """One map as :func:`normalize_maps` scales it (PRJ18)."""
+    return normalize_maps(df, {value: (reference, out or value)}, mode, keys)
 
 
 def background_maps(fluid: DataFrame, density_cm3: float, temperature_mk: float,
                     mode: str = "mean", keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Background table from density and pressure with raw values and provenance (SNK13, SRC8)."""
     proxy = fluid.withColumn("temperature_proxy", temperature_proxy(F.col("pressure"), F.col("rho")))
-    scaled = normalize_map(proxy, "rho", density_cm3, mode, keys, "thermal_density_cm3")
-    scaled = normalize_map(scaled, "temperature_proxy", temperature_mk, mode, keys, "temperature_mk")
+    scaled = normalize_maps(proxy, {"rho": (density_cm3, "thermal_density_cm3"), "temperature_proxy": (temperature_mk, "temperature_mk")}, mode, keys)
     return scaled.withColumns({
         "normalization": F.lit(mode), "reference_density_cm3": F.lit(float(density_cm3)),
         "reference_temperature_mk": F.lit(float(temperature_mk))})

@@ -319,14 +319,6 @@ def arr2(spark, sf):
     return T.table(spark, sf, "embeddings").select("vec_id", snap(total).alias("total"), F.size(M.array_zero(F.col("embedding"))).alias("zeros"))
 
 
-@query("jon14_parameter_maps", """
-WITH px AS (SELECT DISTINCT frame, iy, ix FROM cube), f AS (SELECT CAST(vec_id // 400 AS INTEGER) AS frame, CAST((vec_id % 400) // 20 AS INTEGER) AS iy, CAST(vec_id % 20 AS INTEGER) AS ix, embedding FROM embeddings WHERE label<>3)
-SELECT px.frame, px.iy, px.ix, coalesce(CAST(embedding[1] AS DOUBLE),0e0) AS n_nth, coalesce(CAST(embedding[9] AS DOUBLE),0e0) AS err_n_nth, coalesce(CAST(embedding[2] AS DOUBLE),0e0) AS b, coalesce(CAST(embedding[10] AS DOUBLE),0e0) AS err_b
-FROM px LEFT JOIN f ON f.frame=px.frame AND f.iy=px.iy AND f.ix=px.ix""", ("cube",))
-def jon14(spark, sf):
-    return _fit_maps(spark, sf, T.table(spark, sf, "embeddings").filter(F.col("label") != 3))
-
-
 def _fit_maps(spark, sf, t):
     e = F.transform("embedding", lambda v: v.cast("double"))
     v = F.col("vec_id")
@@ -335,10 +327,14 @@ def _fit_maps(spark, sf, t):
     return I.parameter_maps(fits, T.cube(spark, sf).select(*PIXEL).distinct(), PIXEL, ["n_nth", "b"])
 
 
-@query("jon14_all_fits", """
+_ALL_FITS = """
 WITH px AS (SELECT DISTINCT frame, iy, ix FROM cube), f AS (SELECT CAST(vec_id // 400 AS INTEGER) AS frame, CAST((vec_id % 400) // 20 AS INTEGER) AS iy, CAST(vec_id % 20 AS INTEGER) AS ix, embedding FROM embeddings)
 SELECT px.frame, px.iy, px.ix, coalesce(CAST(embedding[1] AS DOUBLE),0e0) AS n_nth, coalesce(CAST(embedding[9] AS DOUBLE),0e0) AS err_n_nth, coalesce(CAST(embedding[2] AS DOUBLE),0e0) AS b, coalesce(CAST(embedding[10] AS DOUBLE),0e0) AS err_b
-FROM px LEFT JOIN f ON f.frame=px.frame AND f.iy=px.iy AND f.ix=px.ix""", ("cube",))
+FROM px LEFT JOIN f ON f.frame=px.frame AND f.iy=px.iy AND f.ix=px.ix"""
+
+
+@query("jon14_parameter_maps", _ALL_FITS, ("cube",))
+@query("jon14_all_fits", _ALL_FITS, ("cube",))
 def jon14_all(spark, sf):
     """Maps of every fit; a pixel is 0 only where there is none."""
     return _fit_maps(spark, sf, T.table(spark, sf, "embeddings"))

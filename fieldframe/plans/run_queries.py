@@ -128,6 +128,35 @@ def agg33(spark, sf):
     return out.select("frame", "accepted_local_fits", *[snap(F.col(c), 5).alias(c) for c in out.columns if c not in ("frame", "accepted_local_fits")])
 
 
+_GROUP_METRICS = {"mae": "avg(abs(c-t))", "rmse": "sqrt(avg((c-t)*(c-t)))", "relative_mae": f"avg(abs({_RELATIVE}))", "relative_rmse": f"sqrt(avg(({_RELATIVE})*({_RELATIVE})))",
+                  "peak_theory": "max(t)", "peak_reconstructed": "max(c)", "peak_relative_error": "abs(max(c)-max(t))/max(t)", "flux_relative_error": "abs(sum(c)-sum(t))/sum(t)",
+                  "centroid_offset_pixels": "sqrt((sum(c*ix)/sum(c)-sum(t*ix)/sum(t))*(sum(c*ix)/sum(c)-sum(t*ix)/sum(t))+(sum(c*iy)/sum(c)-sum(t*iy)/sum(t))*(sum(c*iy)/sum(c)-sum(t*iy)/sum(t)))"}
+_GROUP_SELECT = " UNION ALL ".join(f"SELECT frame, kind || '/' || name || '/{m}' AS metric, {m} AS value FROM g" for m in _GROUP_METRICS)
+
+
+@query("validation_groups", f"""
+WITH {PAIRS}, r AS (SELECT frame, iy, ix, 'parameter_metrics' AS kind, 'density' AS name, t, c FROM pairs UNION ALL SELECT frame, iy, ix, 'parameter_metrics', 'density_by_row', t*(iy+1), c*(iy+1) FROM pairs
+ UNION ALL SELECT frame, iy, ix, 'morphology_metrics', 'plane ' || CAST(ix % 4 AS VARCHAR), t, c FROM pairs),
+g AS (SELECT frame, CASE WHEN grouping(kind)=1 THEN 'all' ELSE kind END AS kind, CASE WHEN grouping(name)=1 THEN 'all' ELSE name END AS name, {', '.join(f'{e} AS {m}' for m, e in _GROUP_METRICS.items())}
+ FROM r GROUP BY GROUPING SETS ((frame, kind, name), (frame, kind), (frame))),
+m AS ({_GROUP_SELECT}) SELECT frame, 'groups/' || metric AS metric, {S('value', 5)} AS value FROM m UNION ALL SELECT frame, 'summary/pixels', CAST(count(*) AS DOUBLE) FROM pairs GROUP BY frame""", TC)
+def validation_groups(spark, sf):
+    """The validation report of each frame as one nested document, written and opened again."""
+    pairs = _pairs(spark, sf)
+
+    def of(kind: str, name, factor) -> DataFrame:
+        return pairs.select("frame", "iy", "ix", F.lit(kind).alias("kind"), name.alias("name"), (F.col("truth") * factor).alias("truth"), (F.col("candidate") * factor).alias("candidate"))
+
+    rows = (of("parameter_metrics", F.lit("density"), F.lit(1.0)).unionByName(of("parameter_metrics", F.lit("density_by_row"), F.col("iy") + 1.0))
+            .unionByName(of("morphology_metrics", F.concat(F.lit("plane "), (F.col("ix") % 4).cast("string")), F.lit(1.0))))
+    summary = pairs.groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"))
+    documents = M.validation_documents(M.validation_groups(rows, ["frame"]), ["frame"], summary)
+    path = scratch_dir(spark, "validation")
+    documents.select("frame", F.to_json("report").alias("value")).write.partitionBy("frame").text(path)
+    flat = K.flatten_json(IO.read_metrics(spark, path).select(F.col("json"), IO.folder_name().cast("int").alias("frame")), ["frame"], "json")
+    return flat.select("frame", "metric", snap(F.col("value").cast("double"), 5).alias("value"))
+
+
 # -- run logs -----------------------------------------------------------------------------------------------
 
 @query("src11_step_log", """
@@ -280,11 +309,6 @@ def snk6(spark, sf):
     return spark.read.option("header", True).schema("metric_type string, case string, frame int, speedup double, relative_l1 double").csv(path)
 
 
-@query("snk7_wide_spectrum", "SELECT frame, max(CASE WHEN \"case\"='1-URGENT' THEN frame_seconds END) AS urgent, max(CASE WHEN \"case\"='5-LOW' THEN frame_seconds END) AS low FROM timing GROUP BY frame", ("timing",))
-def snk7(spark, sf):
-    return _wide_csv(spark, sf).select("frame", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
-
-
 def _wide_csv(spark, sf):
     """All series of the timing table, written as CSV and read back."""
     wide = K.wide_spectrum(T.timing(spark, sf), "frame", "case", "frame_seconds")
@@ -297,6 +321,7 @@ _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 _WIDE = ", ".join(f"max(CASE WHEN \"case\"='{p}' THEN frame_seconds END) AS \"{p}\"" for p in _PRIORITIES)
 
 
+@query("snk7_wide_spectrum", f"SELECT frame, {_WIDE} FROM timing GROUP BY frame", ("timing",))
 @query("snk7_wide_all_series", f"SELECT frame, {_WIDE} FROM timing GROUP BY frame", ("timing",))
 def snk7_all(spark, sf):
     return _wide_csv(spark, sf)
@@ -526,21 +551,15 @@ def dq3(spark, sf):
     return quality.edges(axes, ["vec_id"]).select("check", "key")
 
 
-@query("dq3_uniform_edges", """
-WITH a AS (SELECT vec_id, k AS i, CASE WHEN k=30 THEN CAST(embedding[1] AS DOUBLE)*1e-2 ELSE 0e0 END+k*25e-2 AS edge FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS k FROM embeddings))
-SELECT count(*) AS axes, 2*count(*) AS bad FROM a WHERE i=30 AND abs(edge-75e-1)>1e-11""")
-def dq3_uniform(spark, sf):
-    t = T.table(spark, sf, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("e"), F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
-    axes = t.select("vec_id", "i", (F.when(F.col("i") == 30, F.col("e") * 0.01).otherwise(0.0) + F.col("i") * 0.25).alias("edge"))
-    bad = quality.edges(axes, ["vec_id"], uniform=True).filter(F.col("check") == "uniform")
-    return bad.agg(F.countDistinct(F.split("key", "/")[0]).alias("axes"), F.count(F.lit(1)).alias("bad"))
-
-
-@query("dq3_uniform_all_edges", """
+_UNIFORM = """
 WITH a AS (SELECT vec_id, k AS i, CAST(embedding[k] AS DOUBLE)*1e-2+k*25e-2 AS edge FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS k FROM embeddings)),
 l AS (SELECT *, edge-lag(edge) OVER (PARTITION BY vec_id ORDER BY i) AS here FROM a), s AS (SELECT vec_id, max(edge)-min(edge) AS span, count(edge) AS n FROM a GROUP BY vec_id)
 SELECT 'uniform' AS "check", l.vec_id || '/' || i AS key FROM l JOIN s ON s.vec_id=l.vec_id
-WHERE abs(here-span/greatest(n-1,1)) > greatest(abs(span), abs(span/greatest(n-1,1)), abs(here), 1e0)*1024e0/4503599627370496e0""")
+WHERE abs(here-span/greatest(n-1,1)) > greatest(abs(span), abs(span/greatest(n-1,1)), abs(here), 1e0)*1024e0/4503599627370496e0"""
+
+
+@query("dq3_uniform_edges", _UNIFORM)
+@query("dq3_uniform_all_edges", _UNIFORM)
 def dq3_uniform_all(spark, sf):
     t = T.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
     axes = t.select("vec_id", (F.col("k") + 1).alias("i"), (F.col("v").cast("double") * 0.01 + (F.col("k") + 1) * 0.25).alias("edge"))
