@@ -15,6 +15,8 @@ from fieldframe.plans import tables as T
 from fieldframe.plans.registry import number as D
 from fieldframe.plans.registry import query, snap
 from fieldframe.plans.registry import sql_snap as S
+from fieldframe.session import scratch_dir
+from fieldframe.sources import tables as IO
 
 X = Axis.uniform(0.5, 6.5, 30, periodic=True)
 Y = Axis.uniform(0.2, 2.6, 24)
@@ -246,7 +248,10 @@ m AS (SELECT frame, coalesce(avg(CASE WHEN rho>0 THEN rho END),1e0) AS mr, coale
 SELECT p.frame, ix, iy, {S('rho/mr*1e0')} AS density_1e9, {S('tp/mt*2e0')} AS temperature_mk, 'mean' AS normalization FROM p JOIN m ON m.frame=p.frame""", ("grid",))
 def prj18(spark, sf):
     fluid = T.grid(spark, sf).select("frame", "ix", "iy", F.col("bx").alias("rho"), F.col("by").alias("pressure"))
-    out = R.background_maps(fluid, 1.0, 2.0)
+    maps = R.background_maps(fluid, 1.0, 2.0)
+    path = scratch_dir(spark, "background-maps")
+    IO.write_background_maps(maps, path)
+    out = spark.read.schema(maps.schema).parquet(path)
     return out.select("frame", "ix", "iy", snap(F.col("thermal_density_cm3")).alias("density_1e9"),
                       snap(F.col("temperature_mk")).alias("temperature_mk"), "normalization")
 

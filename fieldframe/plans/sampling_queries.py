@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldframe.functions.axes import Axis
-from fieldframe.operators import blocks, lookup, runs
+from fieldframe.operators import blocks, layout, lookup, runs
 from fieldframe.operators import sampling as P
 from fieldframe.plans import tables as T
 from fieldframe.plans.grid_queries import AXES, X, Y
 from fieldframe.plans.registry import number as D
 from fieldframe.plans.registry import query, snap
 from fieldframe.plans.registry import sql_snap as S
+from fieldframe.session import scratch_dir
 
 
 def digest_uniform(row_id, attempt, dim):
@@ -131,6 +132,20 @@ def srt1(spark, sf):
     return P.bucket_order(e, (F.col("user_id") % 10).cast("int"), ["event_id"]).select("sort_key", "event_id", "value")
 
 
+@query("srt1_box_layout", """
+WITH c AS (SELECT frame, CAST(floor(x/1e1) AS INTEGER) AS ix, CAST(floor(y) AS INTEGER) AS iy, weight FROM event_particles)
+SELECT frame, ix, iy, count(*) AS n, sum(weight) AS weight, true AS skips_files FROM c WHERE frame BETWEEN 5 AND 9 AND ix BETWEEN 0 AND 3 AND iy BETWEEN 6 AND 11 GROUP BY ALL""", ("event_particles",))
+def srt1_box(spark, sf):
+    """A box of cells from a layout by cell, and whether files were left unopened."""
+    path = scratch_dir(spark, "cell-layout")
+    cells = T.event_particles(spark, sf).select("frame", F.floor(F.col("x") / 10.0).cast("int").alias("ix"), F.floor("y").cast("int").alias("iy"), "weight")
+    layout.write_cells(cells, path, files=16)
+    box = {"frame": (5, 9), "ix": (0, 3), "iy": (6, 11)}
+    skips = layout.files_of_box(spark, path, box).count() < spark.read.parquet(f"{path}/files").count()
+    return layout.read_box(spark, path, box).groupBy("frame", "ix", "iy").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.lit(skips).alias("skips_files"))
+
+
 @query("win7_row_numbers", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events")
 def win7(spark, sf):
     return blocks.row_numbers(T.table(spark, sf, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], "rn")
