@@ -13,6 +13,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: A side of a join is broadcast when it was counted to have at most this many narrow rows.
 BROADCAST_ROWS = 400_000
+#: Groups with more than this share of all rows are joined by a broadcast, so there are fewer of them than ``HOT_GROUPS``.
+HOT_GROUPS = 20_000
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -46,6 +48,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Each of ``rows`` with the columns of its group; every row has exactly one group, keys are not null.
+
+    ``groups`` is a written table and ``size`` counts the rows of each group. Groups with more than 1/``HOT_GROUPS`` of all rows
+    are broadcast, which the share alone bounds; their rows are dealt one by one through the join that serves the other groups.
+    """
+    others = [c for c in groups.columns if c not in keys]
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_GROUPS > total
+    hot = groups.filter(is_hot).select(*keys, F.struct(*others).alias("_hot"))
+    cold = groups.filter(~is_hot).select(*keys, F.lit(-1).cast("long").alias("_deal"), F.struct(*others).alias("_cold"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    dealt = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    found = dealt.join(cold, [*keys, "_deal"], "left").withColumn("_group", F.coalesce("_hot", "_cold"))
+    return found.select(*rows.columns, *[F.col(f"_group.{c}") for c in others])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null is the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

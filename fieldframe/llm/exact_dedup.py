@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm.common import ascii_lower, row_of, small, staged
+from fieldframe.llm.common import ascii_lower, join_groups, row_of, small, staged
 
 SALTS = 16
 
@@ -39,15 +39,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     return rows.withColumn("_digest", digest(F.col("_text")))
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256,
-                     salts: int = SALTS) -> DataFrame:
-    """Per row of ``docs``: id, keep_id, group_size, kept and the digest of the normalised text.
+def _decided(docs: DataFrame, id_col: str, text_col: str, digest, salts: int) -> DataFrame:
+    """Per row of ``docs``: _id, _digest, keep_id, group_size, kept.
 
-    Texts are equal when they are identical after lower-casing A-Z; null counts as empty, and the empty text is a
-    text like any other. The row with the largest id stays (a null id is the smallest; a group with null ids only
-    keeps one of them). Of repeated rows (same id and text) one stays. Only the id and text columns are read, so
-    further columns do not matter. An empty table gives an empty result. The groups are written before the result
-    is returned.
+    Large groups reach the rows by a bounded broadcast, and the row that stays is told from its repeats by its place in the
+    written table, so no task holds all copies of a text.
     """
     rows = _rows(docs, id_col, text_col, digest)
     groups = staged(text_groups(rows, salts), "text-groups")
@@ -57,12 +53,30 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                            (F.col("_digest") == F.col("_d"))
                            & (F.col("_variant").isNull() | (F.col("_variant") == F.col("_text"))))
     else:
-        joined = rows.drop("_text").join(groups.drop("_variant"), "_digest")
-    same_row = Window.partitionBy("_digest", "_id", "keep_id").orderBy(F.col("group_size"))
-    return joined.select(
-        F.col("_id").alias(id_col), "keep_id", "group_size",
-        (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same_row) == 1)).alias("kept"),
-        F.col("_digest").alias("text_sha256"))
+        joined = join_groups(rows.drop("_text"), groups.drop("_variant"), ["_digest"], "group_size")
+    variant = F.when(F.col("_variant").isNotNull(), F.sha2("_variant", 512)) if collided else F.lit(None).cast("string")
+    best = F.col("_id").eqNullSafe(F.col("keep_id"))
+    placed = staged(joined.select("_id", "_digest", variant.alias("_v"), "keep_id", "group_size", best.alias("_best"),
+                                  F.monotonically_increasing_id().alias("_place")), "dedup-rows")
+    first = placed.filter("_best").groupBy("_digest", "_v").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"))
+    if first.filter("_n > 1").isEmpty():
+        return placed.withColumn("kept", F.col("_best"))
+    chosen = first.select("_place", F.lit(True).alias("_first"))
+    return placed.join(chosen, "_place", "left").withColumn("kept", F.coalesce("_first", F.lit(False)))
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256,
+                     salts: int = SALTS) -> DataFrame:
+    """Per row of ``docs``: id, keep_id, group_size, kept and the digest of the normalised text.
+
+    Texts are equal when they are identical after lower-casing A-Z; null counts as empty, and the empty text is a
+    text like any other. The row with the largest id stays (a null id is the smallest; a group with null ids only
+    keeps one of them). Of repeated rows (same id and text) one stays. Only the id and text columns are read, so
+    further columns do not matter. An empty table gives an empty result. The groups and the rows with their groups are
+    written before the result is returned.
+    """
+    return _decided(docs, id_col, text_col, digest, salts).select(
+        F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_digest").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256,
@@ -73,8 +87,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is broadcast only if it was counted to be small; repeated rows, if there are any, are reduced to one by a
     shuffle of just those rows.
     """
-    decided = staged(duplicate_groups(docs, id_col, text_col, digest, salts)
-                     .select(F.col(id_col).alias("_i"), "kept", F.col("text_sha256").alias("_d")), "dedup-decisions")
+    decided = _decided(docs, id_col, text_col, digest, salts).select(F.col("_id").alias("_i"), "kept", F.col("_digest").alias("_d"))
     gone = staged(decided.groupBy("_i", "_d").agg(F.max("kept").alias("_k"), F.count(F.lit(1)).alias("_n"))
                   .filter(~F.col("_k") | (F.col("_n") > 1)), "dedup-gone")
     keyed = docs.select(row_of(docs), F.col(id_col).alias("_id"), digest(ascii_lower(F.col(text_col))).alias("_digest"))

@@ -1,8 +1,9 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from fieldframe.llm import exact_dedup
+from fieldframe.llm import common, exact_dedup
 
 
 def lower(text):
@@ -45,3 +46,20 @@ def test_repeated_rows_keep_one_and_all_columns(make):
 def test_empty_table(make):
     assert exact_dedup.duplicate_groups(make([])).count() == 0
     assert exact_dedup.deduplicate(make([])).count() == 0
+
+
+@pytest.mark.parametrize("share", [1, 5, 20_000])
+def test_hot_groups_and_others_meet_alike(make, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_GROUPS", share)
+    rows = [(i, "hot") for i in range(40)] + [(None, "hot")] * 3 + [(39, "hot")] * 2 + [(100 + i, f"text {i % 7}") for i in range(20)]
+    docs = make(rows).repartition(5)
+    got = exact_dedup.duplicate_groups(docs).collect()
+    best, sizes = {}, {}
+    for i, t in rows:
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+        sizes[t] = sizes.get(t, 0) + 1
+    assert len(got) == len(rows)
+    digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in best}
+    assert all((r["keep_id"], r["group_size"]) == (best[digest[r["text_sha256"]]], sizes[digest[r["text_sha256"]]]) for r in got)
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted(best.values())
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.deduplicate(docs).collect()) == sorted((i, t) for t, i in best.items())
