@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm.common import small, staged
+from fieldframe.llm.common import join_groups, small, staged
 
 #: Members of one bucket that are compared as one block.
 BLOCK = 2048
@@ -466,8 +466,8 @@ def _reached(docs: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[D
     keyed = staged(rows.mapInArrow(_keys(join), "id long, n long, k1 long, k2 long"), "set-keys")
     known, nodes, names = _told_apart(rows, keyed, join)
     # the class of equal sets goes by its smallest id
-    smallest = nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    classes = staged(nodes.join(smallest, ["k1", "k2"]).select("id", "rep", "n", "k1", "k2"), "set-classes")
+    smallest = staged(nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("ids")), "set-names")
+    classes = staged(join_groups(nodes, smallest, ["k1", "k2"], "ids").select("id", "rep", "n", "k1", "k2"), "set-classes")
 
     # copies need no signatures of their own; where they are too many for a broadcast, they are merged further down
     copies = staged(classes.filter("id <> rep").select("id"), "set-copies")

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldframe.llm import partenum
+from fieldframe.llm import common, partenum
 from fieldframe.llm.partenum import Join
 
 
@@ -28,8 +28,8 @@ def brute(rows, join):
     for k, i in enumerate(ids):
         for j in ids[:k]:
             a, b = sets[i], sets[j]
-            common = len(a & b)
-            if a and b and common * join.over >= (len(a) + len(b) - common) * join.under:
+            both = len(a & b)
+            if a and b and both * join.over >= (len(a) + len(b) - both) * join.under:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -75,6 +75,15 @@ def test_large_buckets_are_cut_into_blocks(make, monkeypatch):
     assert got == brute(rows, join)
 
 
+def test_copies_of_a_set_join_their_class_alike(make, monkeypatch):
+    monkeypatch.setattr(common, "HOT_GROUPS", 8)
+    rows = corpus(3)
+    rows += [(1000 + i, "a set with many copies") for i in range(120)] + [(2000 + i, f"few copies of {i % 6}") for i in range(18)]
+    join = Join(3, 90, 100)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in partenum.jaccard_components(make(rows).repartition(4), join=join).collect()}
+    assert got == brute(rows, join)
+
+
 @pytest.mark.parametrize("join", [Join(3, 90, 100), Join(5, 80, 100, 2)])
 def test_similar_sets_share_a_signature(join):
     rng = np.random.default_rng(3)
