@@ -48,6 +48,8 @@ def _uri(folder: str) -> str:
 
 def _publish(store: pafs.FileSystem, temporary: str, final: str) -> None:
     """Give a finished file its name; a task that runs again replaces its own earlier file."""
+    if store.get_file_info(final).type != pafs.FileType.NotFound:
+        store.delete_file(final)  # not every store renames onto a file
     store.move(temporary, final)
 
 
@@ -268,8 +270,10 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = True) ->
     """Read normalised archives record by record through their sidecars, in slices of ``READ_SLICE`` bytes.
 
     Columns: uri, record_id, record_type, refers_to (a record id), payload_digest, payload_bytes (of the full
-    payload, for revisits too) and payload. A response whose bytes do not have the stated digest raises.
+    payload, for revisits too) and payload. A response whose bytes do not have the stated digest raises. There are as
+    many tasks as slices, which are counted first: by the bytes of the sidecars alone they would be merged.
     """
     sliced = read_index(spark, folder).select("file", "offset", "length", F.expr(f"offset div {READ_SLICE}").alias("slice"))
-    ordered = sliced.repartition("file", "slice").sortWithinPartitions("file", "offset")
+    slices = sliced.groupBy("file", "slice").agg(F.lit(1)).count()
+    ordered = sliced.repartitionByRange(max(1, slices), "file", "slice").sortWithinPartitions("file", "offset")
     return ordered.select("file", "offset", "length").mapInArrow(_reader(_uri(folder), with_payload), _READ)

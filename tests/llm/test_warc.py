@@ -68,3 +68,22 @@ def test_a_cut_record_raises():
     data = b"".join(records(3))[:-9100]
     with pytest.raises(ValueError, match="cut off"):
         warc.normalise_file(io.BytesIO(gzip.compress(data)), io.BytesIO(), lambda e: None)
+
+
+def test_each_slice_is_a_task(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_SLICE", 2_000)
+    pages = spark.createDataFrame([(i, "u", f"{i} " * (i % 5), None) for i in range(40)], SCHEMA).coalesce(1)
+    raw, tidy = shared_folder(spark, "raw"), shared_folder(spark, "tidy")
+    warc.normalise(warc.write_archives(warc.choose_records(pages), raw), raw, tidy)
+    slices = warc.read_index(spark, tidy).selectExpr("file", "offset div 2000").distinct().count()
+    out = warc.read_records(spark, tidy)
+    assert out.rdd.getNumPartitions() == slices > 3
+    assert sorted(int(r["record_id"].split(":")[-1][:-1]) for r in out.collect()) == list(range(40))
+
+
+def test_a_file_published_again_replaces_the_earlier_one(tmp_path):
+    store = warc.pafs.LocalFileSystem()
+    for body in ("first", "second"):
+        (tmp_path / "part").write_text(body)
+        warc._publish(store, str(tmp_path / "part"), str(tmp_path / "final"))
+    assert (tmp_path / "final").read_text() == "second" and not (tmp_path / "part").exists()
