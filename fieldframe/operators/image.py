@@ -146,26 +146,65 @@ def beam_weights(pixels: DataFrame, keys: list[str], center: tuple[float, float]
     return joined.withColumn("w", F.when(good, F.col("_raw") / F.col("_sum")).otherwise(failed)).drop("_raw", "_sum")
 
 
+def roi_weight(mode: str, center: tuple[float, float] = (0.0, 0.0), radius: float = 1.0, fwhm: Column | float = 1.0) -> Column:
+    """Weight of a pixel in a region, the beam not yet normalized: full_image, circular_aperture or gaussian_beam."""
+    ix, iy = F.col("ix"), F.col("iy")
+    if mode == "full_image":
+        return F.lit(1.0)
+    if mode == "circular_aperture":
+        return F.when(in_circle(ix, iy, *center, radius), 1.0).otherwise(0.0)
+    if mode == "gaussian_beam":
+        return R.beam_profile(ix, iy, *center, fwhm)
+    raise ValueError(f"unsupported region mode: {mode}")
+
+
 def roi_spectrum(cube: DataFrame, keys: list[str], mode: str, center: tuple[float, float] = (0.0, 0.0),
                  radius: float = 1.0, fwhm: Column | float = 1.0, value: str = "value") -> DataFrame:
     """Spectrum integrated over a region: full_image, circular_aperture or gaussian_beam (FLT9, AGG12).
 
     The normalized beam needs no join: its sum is a second aggregate of the same pass.
     """
-    ix, iy = F.col("ix"), F.col("iy")
+    weight = roi_weight(mode, center, radius, fwhm)
     v = F.col(value)
     if mode == "full_image":
         total = F.sum(v)
     elif mode == "circular_aperture":
-        total = F.sum(F.when(in_circle(ix, iy, *center, radius), v).otherwise(0.0))
-    elif mode == "gaussian_beam":
-        profile = R.beam_profile(ix, iy, *center, fwhm)
-        total = F.sum(v * profile) / F.sum(profile)
+        total = F.sum(F.when(weight > 0.0, v).otherwise(0.0))
     else:
-        raise ValueError(f"unsupported region mode: {mode}")
+        total = F.sum(v * weight) / F.sum(weight)
     return cube.groupBy(*keys).agg(total.alias(value))
 
 
+def roi_stokes(cube: DataFrame, keys: list[str], regions: dict[str, dict], pixel_area_arcsec2: float, freq: str = "freq_hz",
+               i_flux: str = "i_flux", v_flux: str = "v_flux") -> DataFrame:
+    """Spectra of I and V over several regions from one aggregate: flux, specific intensity and brightness temperature (AGG12, GRD12).
+
+    ``regions`` maps a name to the arguments of :func:`roi_weight`. Each gives ``<name>_sfu``, ``<name>_specific`` and
+    ``<name>_tb`` for I, and the same with ``<name>_v`` for V. The flux of an image or aperture is its sum and the other two are
+    means over its pixels; a beam weighs all three to sum 1. A region without pixels has flux 0 and no means; a null flux counts
+    as no light. ``freq`` is one of ``keys``.
+    """
+    if freq not in keys:
+        raise ValueError(f"the frequency column {freq} must be one of the keys")
+    sums = []
+    for n, region in enumerate(regions.values()):
+        weight = roi_weight(**region)
+        sums.append(F.sum(weight).alias(f"_w{n}"))
+        # outside an aperture a pixel plays no part, whatever it holds
+        sums += [F.sum(F.when(weight > 0.0, F.coalesce(F.col(flux), F.lit(0.0)) * weight).otherwise(0.0)).alias(f"_{sign}{n}")
+                 for sign, flux in (("i", i_flux), ("v", v_flux))]
+    totals = cube.groupBy(*keys).agg(*sums)
+    out = []
+    for n, (name, region) in enumerate(regions.items()):
+        for sign, suffix in (("i", ""), ("v", "_v")):
+            mean = F.col(f"_{sign}{n}") / F.when(F.col(f"_w{n}") > 0.0, F.col(f"_w{n}"))
+            specific = R.flux_to_intensity(mean, pixel_area_arcsec2)
+            flux = F.coalesce(mean, F.lit(0.0)) if region["mode"] == "gaussian_beam" else F.col(f"_{sign}{n}")
+            out += [flux.alias(f"{name}{suffix}_sfu"), specific.alias(f"{name}{suffix}_specific"),
+                    R.intensity_to_tb(specific, F.col(freq)).alias(f"{name}{suffix}_tb")]
+    return totals.select(*keys, *out)
+
+
 def stokes_cube(cube: DataFrame, pixel_area_arcsec2: float, freq: str = "freq_hz", i_flux: str = "i_flux",
                 v_flux: str = "v_flux") -> DataFrame:
     """Intensity and brightness temperature of I and V flux cubes (GRD12)."""

@@ -60,6 +60,7 @@ class EmissionConfig:
     minimum_bins: int = 4
     minimum_r2: float = 0.5
     beam_fwhm_pixels: float = 3.0
+    aperture_radius_pixels: float = 5.0
     levels: dict[str, int] = field(default_factory=lambda: dict.fromkeys(KEYS, 8))
 
     @property
@@ -112,7 +113,8 @@ def cell_table(particles: DataFrame, field_table: DataFrame, config: EmissionCon
     """
     weight, hist = particle_maps(particles, config)
     bmag = field_table.withColumn("bmag", magnitude([F.col(c) for c in ("bx", "by", "bz")]))
-    coarse = binning.coarse_average(bmag, config.x_axis, config.y_axis, config.nx, config.ny, ["bmag"])
+    # as small as the image; the extremes and the cells read it back, the native field is averaged once
+    coarse = materialize(binning.coarse_average(bmag, config.x_axis, config.y_axis, config.nx, config.ny, ["bmag"]), "coarse-field")
     ends = coarse.groupBy("frame").agg(F.min("bmag").alias("_lo"), F.max("bmag").alias("_hi"))
     gauss = coarse.join(ends, "frame").select(*CELL, rescale(
         F.col("bmag"), F.col("_lo"), F.col("_hi"), config.field_floor_gauss, config.field_peak_gauss)
@@ -243,14 +245,10 @@ def run_emission(particles: DataFrame, field_table: DataFrame, model: Model, con
     slim = cube.select(*keys, "iy", "ix", "i_flux", "v_flux")
     beam = image.beam_convolve(slim, keys, ["i_flux", "v_flux"], config.beam_fwhm_pixels)
     center = ((config.nx - 1.0) / 2.0, (config.ny - 1.0) / 2.0)
-    roi = None
-    for flux, sign in (("i_flux", ""), ("v_flux", "_v")):
-        for mode, name in (("full_image", "full_image"), ("gaussian_beam", "beam_center")):
-            shape = {"center": center, "fwhm": config.beam_fwhm_pixels} if mode == "gaussian_beam" else {}
-            one = image.roi_spectrum(slim, keys, mode, value=flux, **shape).withColumnRenamed(flux, f"{name}{sign}_sfu")
-            roi = one if roi is None else roi.join(one, keys)
-    mean = R.flux_to_intensity(F.col("full_image_sfu"), area * config.nx * config.ny)
-    roi = roi.withColumn("full_image_tb", R.intensity_to_tb(mean, F.col("freq_hz")))
+    roi = image.roi_stokes(slim, keys, {
+        "full_image": {"mode": "full_image"},
+        "aperture": {"mode": "circular_aperture", "center": center, "radius": config.aperture_radius_pixels},
+        "beam_center": {"mode": "gaussian_beam", "center": center, "fwhm": config.beam_fwhm_pixels}}, area)
     meta = cells.select("frame").distinct().withColumns({
         "transport_model": F.lit("parker"), "field_source_kind": F.lit("table"),
         "background_source_kind": F.lit("constant" if background is None else "table"),

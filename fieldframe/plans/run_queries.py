@@ -123,8 +123,7 @@ FROM g JOIN n ON n.frame=g.frame JOIN m ON m.frame=g.frame JOIN e ON e.frame=g.f
 def agg33(spark, sf):
     fits = fit.power_law_map(_edged(_cell_hist(spark, sf)), ["frame"], 12, 16)
     pairs = _pairs(spark, sf)
-    spectra = pairs.groupBy("frame", "ix").agg(F.sum("truth").alias("truth"), F.sum("candidate").alias("candidate"))
-    out = M.validation_summary(fits, pairs, spectra, ["frame"])
+    out = M.validation_summary(fits, pairs, ["ix"], ["frame"])
     return out.select("frame", "accepted_local_fits", *[snap(F.col(c), 5).alias(c) for c in out.columns if c not in ("frame", "accepted_local_fits")])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
+from dataclasses import fields, replace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from fieldframe.functions import constants as C
 from fieldframe.functions import kinematics as K
 from fieldframe.functions.axes import Axis
 from fieldframe.operators import binning as B
@@ -332,6 +333,24 @@ def emission_product(spark, sf):
     return roi.select("frame", "freq_hz", snap(F.col("full_image_sfu"), 4).alias("full_image_sfu"), snap(F.col("beam_center_sfu"), 5).alias("beam_center_sfu"))
 
 
+_TB = f"*{D(C.SFU / (4.0 * C.ARCSEC * C.ARCSEC))}*{D(C.SPEED_OF_LIGHT ** 2 / (2.0 * C.BOLTZMANN))}/(freq_hz*freq_hz)"
+_APERTURE = "((ix-45e-1)*(ix-45e-1)+(iy-35e-1)*(iy-35e-1)<=9e0)"
+_REGIONS = {"full_image": ("sum({0})", "sum({0})/count(*)"), "aperture": (f"sum({{0}}) FILTER {_APERTURE}", f"sum({{0}}) FILTER {_APERTURE}/count(*) FILTER {_APERTURE}"),
+            "beam_center": (f"sum({{0}}*{_BEAM})/sum({_BEAM})",) * 2}
+_REGION_COLUMNS = [(name, f"{name}{sign}", factor) for name in _REGIONS for sign, factor in (("", "225e-2"), ("_v", "25e-2"))]
+
+
+@query("emission_regions", f"""WITH {_EMISSION} SELECT frame, freq_hz, {', '.join(f"{S(_REGIONS[r][0].format(f'(n*field+1e-2)*fall*{k}'), 5)} AS {c}_sfu, {S('(' + _REGIONS[r][1].format(f'(n*field+1e-2)*fall*{k}') + ')' + _TB + '/1e9', 5)} AS {c}_tb_gk" for r, c, k in _REGION_COLUMNS)}
+FROM flux GROUP BY frame, freq_hz""", ("event_particles", "grid"))
+def emission_regions(spark, sf):
+    """Flux and brightness temperature of I and V over the whole image, an aperture and the central beam."""
+    particles, field = emission_inputs(spark, sf)
+    config = replace(emission_config(), aperture_radius_pixels=3.0)
+    roi = emission.run_emission(particles, field, power_law_source, config)["roi"]
+    told = [part for _, c, _ in _REGION_COLUMNS for part in (snap(F.col(f"{c}_sfu"), 5).alias(f"{c}_sfu"), snap(F.col(f"{c}_tb") / 1.0e9, 5).alias(f"{c}_tb_gk"))]
+    return roi.select("frame", "freq_hz", *told)
+
+
 _SUM = "sum((n*field+1e-2)*fall{0})"
 
 
