@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldframe.llm.common import staged
+from fieldframe.operators.blocks import range_blocks, row_numbers
 
 OPEN, SEPARATOR, CLOSE = "### ", ": ", "</turn>\n"
 #: Character and its escape; the backslash comes first when escaping and last when reading back.
@@ -71,10 +72,10 @@ def format_trees(messages: DataFrame, top: int | None = None, loss_role: str = "
     Result: tree, leaf, rank, score, n_turns, formatted, loss_spans (array of start and length in characters of
     ``formatted``, each covering the escaped text of one turn of ``loss_role``).
 
-    A branch scores the mean of its nodes' scores (null counts as 0); ties go to the smaller leaf. ``top`` keeps
+    A branch scores the mean of its nodes' scores (null counts as 0, NaN ranks before all numbers); ties go to the smaller leaf. ``top`` keeps
     that many branches of each tree, the default keeps all. Null texts and roles are empty, repeated rows of one
     (tree, node) count once (smallest parent, role, text, score), rows with a null tree form the tree null and a null node is dropped. Further
-    columns are ignored. An empty table gives no rows. Paths are found eagerly, round by round.
+    columns are ignored. An empty table gives no rows. Paths and ranks are found eagerly, round by round.
     """
     one = F.min(F.struct("parent", "role", "text", F.col("score").cast("double").alias("score")))
     # a null tree is carried as a flag so that joins on the tree are plain equality
@@ -111,10 +112,14 @@ def format_trees(messages: DataFrame, top: int | None = None, loss_role: str = "
 
 
 def _ranks(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rank of every branch in its tree; branches are dealt by sampled ranges, so a tree of any size is no single task."""
     scored = (paths.join(nodes.select("tree", "node", "score"), ["tree", "node"])
               .groupBy("tree", "leaf").agg(F.avg("score").alias("score")))
-    best_first = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    return scored.withColumn("rank", F.row_number().over(best_first))
+    falling = scored.withColumns({"_number": ~F.isnan("score"), "_down": F.lit(0.0) - F.col("score")})
+    best_first = ["_number", "_down", "leaf"]
+    dealt = range_blocks(falling, ["tree", *best_first], "_range")
+    ranked = row_numbers(dealt, ["tree"], best_first, "rank", F.col("_range"))
+    return ranked.select("tree", "leaf", "score", "rank")
 
 
 def read_turns(formatted: Column) -> Column:

@@ -57,3 +57,10 @@ def test_repeated_null_and_single_rows(make):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
     assert fp.compare_edits(make([])).count() == 0
     assert [r["n_chars"] for r in fp.compare_edits(make([(None, "xy")])).collect()] == [2]
+
+
+def test_extra_columns_with_names_of_results(make):
+    plain = make([(i, "some words here " * i) for i in range(1, 9)])
+    renamed = plain.withColumnRenamed("lang", "fingerprint").withColumnRenamed("source", "range").withColumnRenamed("n_chars", "ghost")
+    rows = [{tuple(r) for r in fp.compare_edits(d).collect()} for d in (plain, renamed)]
+    assert rows[0] == rows[1] and len(rows[0]) == 8

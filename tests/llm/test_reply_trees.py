@@ -41,3 +41,25 @@ def test_cycles_raise(spark):
     rows = [(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0), (1, 3, 1, "user", "c", 0.0)]
     with pytest.raises(ValueError, match="cycle"):
         formatted(spark, rows)
+
+
+def test_ranks_of_a_hot_tree_over_many_ranges(spark):
+    """One tree holds most branches, with ties, NaN and signed zeros; extra columns have the names of results."""
+    scores = [3.0, 1.0, float("nan"), 0.0, -0.0, None, -2.5, 3.0, float("inf")]
+    rows = [(None, 0, None, "user", "q", 1.0, "x", 5)]
+    rows += [(None, i, 0, "assistant", f"a{i}", scores[i % len(scores)], "x", i) for i in range(1, 3000)]
+    rows += [(t, 10 * t + k, None if k == 0 else 10 * t, "user", "b", float(k), "x", 0) for t in range(1, 60) for k in range(4)]
+    wide = spark.createDataFrame(rows, SCHEMA + ", rank string, leaf long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["tree"], r["leaf"]): (r["rank"], r["n_turns"]) for r in reply_trees.format_trees(wide).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def place(row):
+        mean = (1.0 + (row[5] or 0.0)) / 2
+        return (mean == mean, -mean if mean == mean else 0.0, row[1])
+
+    hot = sorted((r for r in rows if r[0] is None and r[1]), key=place)
+    assert {leaf: v for (tree, leaf), v in got.items() if tree is None} == {r[1]: (n, 2) for n, r in enumerate(hot, 1)}
+    assert all(got[t, 10 * t + k] == (4 - k, 2) for t in range(1, 60) for k in range(1, 4)) and len(got) == 2999 + 59 * 3

@@ -42,3 +42,10 @@ def test_real_documents(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in sentencepieces.encode_decode(docs, PATH).collect():
         assert r["ids"] == model.encode(texts[r["doc_id"]], add_eos=True) and r["decoded"] == model.decode(r["ids"])
+
+
+def test_extra_columns_with_names_of_results(make):
+    docs = make([(1, "a b", "x", "y", 3), (None, None, "x", "y", 3)]).withColumnRenamed("lang", "ids").withColumnRenamed("source", "decoded").withColumnRenamed("n_chars", "id")
+    out = sentencepieces.encode_decode(docs, PATH)
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    assert {r["doc_id"]: r["decoded"] for r in out.collect()} == {1: "a b", None: ""}

@@ -34,3 +34,16 @@ def test_empty_tables(spark):
     assert url_filter.judge_urls(urls, rules).count() == 0
     one = spark.createDataFrame([(None, "http://a/b"), (None, "http://a/b")], "page_id long, url string")
     assert [r["verdict"] for r in url_filter.judge_urls(one, rules).collect()] == ["allow", "allow"]
+
+
+def test_very_long_urls(spark):
+    """Hosts and paths far beyond the length of a boundary key are judged whole."""
+    host = ".".join(["sub"] * 20_000) + ".example.org"
+    urls = [f"http://{host}/es/{'p' * 300_000}", f"http://{host[1:]}/en/2", f"http://x{host}.com/de/{'é' * 100_000}?q", f"http://{host}x/es/", "http://example.org/es/"] * 3
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES + [(host, "/es/" + "p" * 299_999, "allow")], "host string, path string, verdict string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(table, rules).collect()}
+    want = {i: brute(u) for i, u in enumerate(urls)}
+    for i in range(0, len(urls), 5):
+        want[i] = (*want[i][:2], host + "/es/" + "p" * 299_999, "allow")
+    assert got == want
