@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fieldframe.functions import constants as C
 from fieldframe.functions.numeric import safe_ratio
 
+#: Columns that a wide table may have at most.
+MOST_SERIES = 10_000
+
 
 def infer_unit(path: Column) -> Column:
     """Unit of a dataset path: the first token of the table found in it (PRJ34)."""
@@ -173,9 +176,12 @@ def product_listing(df: DataFrame, suffixes: tuple[str, ...] = (".h5", ".hdf5"),
 def wide_spectrum(rows: DataFrame, freq: str, series: str, value: str, names: list[str] | None = None) -> DataFrame:
     """One column per series, in the given order or else by name (SNK7).
 
-    The series that occur are found now. One that ``names`` leaves out, or without a name, is an error.
+    The series that occur are found now. One that ``names`` leaves out, or without a name, is an error, and so are more than
+    ``MOST_SERIES``, as that many columns are no table.
     """
-    found = {r[0] for r in rows.select(series).distinct().collect()}
+    found = {r[0] for r in rows.select(series).distinct().limit(MOST_SERIES + 1).collect()}
+    if len(found) > MOST_SERIES:
+        raise ValueError(f"more than {MOST_SERIES} series in {series}")
     if None in found:
         raise ValueError(f"a series of {series} has no name")
     names = sorted(found) if names is None else names

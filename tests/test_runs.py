@@ -147,6 +147,14 @@ def test_wide_spectrum_has_every_series(spark):
         catalog.wide_spectrum(rows.withColumn("case", rows["case"].substr(1, 0)).selectExpr("frame", "nullif(case, '') AS case", "v"), "frame", "case", "v")
 
 
+def test_wide_spectrum_refuses_endless_columns(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "MOST_SERIES", 2)
+    rows = spark.createDataFrame([(1, c, 1.0) for c in "abc"], "frame int, case string, v double")
+    with pytest.raises(ValueError, match="more than 2 series"):
+        catalog.wide_spectrum(rows, "frame", "case", "v")
+    assert catalog.wide_spectrum(rows.filter("case < 'c'"), "frame", "case", "v").columns == ["frame", "a", "b"]
+
+
 def test_wide_query_writes_all_series(spark, tmp_path, monkeypatch):
     orders = [(i, f"2000-01-{i + 1:02d}", name, 10.0 + i) for i, name in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NEW"])]
     (spark.createDataFrame(orders, "o_orderkey long, o_orderdate string, o_orderpriority string, o_totalprice double")
