@@ -208,20 +208,24 @@ def _frames_of(rows: DataFrame) -> DataFrame:
 
 
 def _stream(spark, sf, partial, merge, late: bool = False) -> DataFrame:
-    """Three files, one a micro-batch, each with rows of all frames; with ``late`` the last comes after the query has stopped."""
+    """Three arrivals, one a micro-batch, each with rows of all frames; with ``late`` the last comes after the query has stopped.
+
+    Every task that reads the table writes a file of an arrival, and a micro-batch takes as many files as the largest has.
+    """
     rows = T.table(spark, sf, "lineitem")
     folder, checkpoint = scratch_dir(spark, "stream-input"), scratch_dir(spark, "stream-checkpoint")
 
-    def arrive(part: int) -> None:
-        rows.filter(F.col("l_orderkey") % 3 == part).coalesce(1).write.parquet(f"{folder}/part={part}")
+    def arrive(part: int) -> int:
+        path = f"{folder}/part={part}"
+        rows.filter(F.col("l_orderkey") % 3 == part).write.parquet(path)
+        return len(spark.read.schema(rows.schema).parquet(path).inputFiles())
 
-    for part in (0, 1) if late else (0, 1, 2):
-        arrive(part)
+    files = max(arrive(part) for part in ((0, 1) if late else (0, 1, 2)))
     store = FrameStore(spark, scratch_dir(spark, "stream"), merge)
     for last in (False, True) if late else (True,):
         if late and last:
-            arrive(2)
-        store.follow(_frames_of(ST.read_frames(spark, f"{folder}/*", rows.schema, files_per_batch=1)), partial, checkpoint).awaitTermination()
+            files = max(files, arrive(2))
+        store.follow(_frames_of(ST.read_frames(spark, f"{folder}/*", rows.schema, files_per_batch=files)), partial, checkpoint).awaitTermination()
     return store.read()
 
 
