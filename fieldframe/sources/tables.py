@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,12 +125,29 @@ def merge_results(spark: SparkSession, path: str, schema: str, format: str = "pa
 
 # -- sinks ---------------------------------------------------------------------------------------------
 
+#: Files of different groups that a task writes at a time.
+OPEN_FILES = 64
+
+
+@contextmanager
+def _open_files(spark: SparkSession, count: int) -> Iterator[None]:
+    """Partitioned writes inside keep a file open for each group instead of sorting the rows of a task by group."""
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, count)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, overwrite: bool = False,
                 format: str = "parquet") -> None:
     """Write a result table; earlier output is refused unless ``overwrite`` (SNK10).
 
     Partitioned output is rebalanced first: AQE merges small frames and splits large ones,
-    so a frame with most of the rows is written by many tasks.
+    so a frame with most of the rows is written by many tasks. AQE goes by compressed bytes, of which
+    a task may hold many times as many rows; they are written as they come, not sorted by group.
     """
     out = df.hint("rebalance", *partition_by) if partition_by else df
     writer = out.write.mode("overwrite" if overwrite else "errorifexists").format(format)
@@ -136,7 +155,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         writer = writer.option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    with _open_files(df.sparkSession, OPEN_FILES):
+        writer.save(path)
 
 
 def write_run_summary(summary: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -41,3 +41,29 @@ def test_arrivals_are_written_by_all_tasks_and_read_in_three_batches(spark, tmp_
     assert stored == [1000, 2000, 3000]
     assert sum(r["stored"] for r in got) == 3000 and sum(r["active"] for r in got) == 1500
     assert sum(r["weight_sum"] for r in got) == 4500.0
+
+
+_WRITE = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from fieldframe.sources import tables as IO
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.buffer.pageSize", "1m")
+         .config("spark.eventLog.enabled", "true").config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false")
+         .config("spark.eventLog.dir", "file://" + sys.argv[1] + "/events").getOrCreate())
+before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+table = spark.range(1_500_000).select(F.when(F.col("id") % 500 == 0, "b").otherwise("a").alias("case"), (F.col("id") % 11).cast("double").alias("weight"))
+IO.write_table(table, sys.argv[1] + "/out", ["case"])
+assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+counted = spark.read.parquet(sys.argv[1] + "/out").groupBy("case").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in table.groupBy("case").agg(F.count("*"), F.sum("weight")).collect()}
+spark.stop()
+"""
+
+
+def test_a_partitioned_write_does_not_hold_the_rows_of_a_task(tmp_path):
+    """Rows that compress well lie in one task; sorted by group they took 56 bytes each."""
+    os.makedirs(f"{tmp_path}/events")
+    subprocess.run([sys.executable, "-c", _WRITE, str(tmp_path)], check=True, timeout=300, cwd=tmp_path, env=os.environ | {"PYTHONPATH": ROOT})
+    (log,) = [f for f in glob.glob(f"{tmp_path}/events/*") if os.path.isfile(f)]
+    ended = [e for e in map(json.loads, open(log)) if e["Event"] == "SparkListenerTaskEnd"]
+    assert max(e["Task Metrics"]["Peak Execution Memory"] for e in ended) < 20e6
