@@ -38,7 +38,7 @@ def src1(spark, sf):
     folder = scratch_dir(spark, "particles")
     sample_files.write_particles(T.particles(spark, sf), folder)
     register_all(spark)
-    rows = spark.read.format("particle_snapshot").option("targetBytes", 100_000).schema(
+    rows = spark.read.format("particle_snapshot").option("targetBytes", 100_000).option("pieces", 256).schema(
         "frame int, particle_id bigint, status int, x double, y double, prev_x double, p double, weight double").load(folder)
     return rows.groupBy("frame").agg(
         F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.max("p").alias("p_max"), F.min("x").alias("x_min"),

@@ -85,6 +85,12 @@ def plan_headers(files: list[tuple[str, int]], target: int) -> list[Pieces]:
     return [Pieces(tuple(Piece(path, size, 0, 1) for path, size in files[i:i + share])) for i in range(0, len(files), share)]
 
 
+def target_for(files: list[tuple[str, int]], target: int, pieces: int) -> int:
+    """A target that cuts the files into about ``pieces`` at most, as long as that leaves TARGET_BYTES a piece."""
+    total = sum(size for _, size in files)
+    return max(target, min(TARGET_BYTES, -(-total // pieces)))
+
+
 def plan(files: list[tuple[str, int]], target: int) -> list[Pieces]:
     """Cut large files, pack small ones."""
     groups: list[Pieces] = []
@@ -130,7 +136,8 @@ class PieceReader(D.DataSourceReader):
 
     Filters on ``frame`` prune files by name before any is opened (Spark hands them over
     when ``spark.sql.python.filterPushdown.enabled`` is set); the options ``startFrame``
-    and ``endFrame`` do the same explicitly.
+    and ``endFrame`` do the same explicitly. ``targetBytes`` is the size of a piece; with the
+    option ``pieces`` a small target grows with the data, so that tasks do not outnumber their work.
     """
 
     def __init__(self, options: dict, schema: StructType, pattern: str, decode: Callable) -> None:
@@ -138,6 +145,7 @@ class PieceReader(D.DataSourceReader):
         if not self.path:
             raise ValueError("a path is required")
         self.target = int(options.get("targetBytes", TARGET_BYTES))
+        self.pieces = int(options.get("pieces", 0))
         self.pattern = options.get("pattern", pattern)
         self.start, self.end = options.get("startframe"), options.get("endframe")
         self.start = options.get("startFrame", self.start)
@@ -164,7 +172,9 @@ class PieceReader(D.DataSourceReader):
                 continue
             if all(_keeps(frame, t) for t in self.tests):
                 files.append((path, size))
-        return plan_headers(files, self.target) if self.headers else plan(files, self.target)
+        if self.headers:
+            return plan_headers(files, self.target)
+        return plan(files, target_for(files, self.target, self.pieces) if self.pieces else self.target)
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -142,8 +142,8 @@ def decode_header(stream, piece: Piece, frame: int | None, wanted: set[str]) ->
 class ParticleSnapshotSource(DataSource):
     """``spark.read.format("particle_snapshot").load(path)``.
 
-    Options: ``what`` (records or header), ``pattern``, ``targetBytes``, ``startFrame``,
-    ``endFrame``. A schema with fewer columns leaves the other record fields undecoded.
+    Options: ``what`` (records or header), ``pattern``, ``targetBytes``, ``pieces``,
+    ``startFrame``, ``endFrame``. A schema with fewer columns leaves the other record fields undecoded.
     """
 
     @classmethod

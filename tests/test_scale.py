@@ -43,6 +43,18 @@ def test_arrivals_are_written_by_all_tasks_and_read_in_three_batches(spark, tmp_
     assert sum(r["weight_sum"] for r in got) == 4500.0
 
 
+def test_small_pieces_grow_with_the_data(spark, tmp_path):
+    W.put(f"{tmp_path}/particles_00001.bin", W.particle_bytes(rows(1000)))
+    for k in range(2, 22):
+        W.put(f"{tmp_path}/particles_{k:05d}.bin", W.particle_bytes(rows(30)))
+    assert load(spark, tmp_path, targetBytes="500").rdd.getNumPartitions() > 200
+    df = load(spark, tmp_path, targetBytes="500", pieces="8")
+    assert df.rdd.getNumPartitions() <= 2 * 8
+    assert df.count() == 1600 and df.filter("frame = 1").select("particle_id").distinct().count() == 1000
+    # the target holds where it makes fewer
+    assert load(spark, tmp_path, targetBytes="500000", pieces="8").rdd.getNumPartitions() == 1
+
+
 _WRITE = """
 import sys
 from pyspark.sql import SparkSession, functions as F
